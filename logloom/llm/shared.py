@@ -70,11 +70,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     known = None
     for _ in range(rounds):
+        # the smallest neighbours are dealt anew before each join, so that both sides of it are plain exchanges: only then
+        # can adaptive execution split the rows of a node with very many neighbours
         both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")).repartition(F.xxhash64("v"))
         # larger neighbours of v go to the smallest of v and its neighbours
         large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = large.groupBy("v").agg(F.min("u").alias("m")).repartition(F.xxhash64("v"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
         now = cut(small.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct())
         # a star forest has each v once, and no centre that is itself a v
