@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -87,3 +88,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     return now.groupBy("v").agg(F.min("u").alias("component")).select(F.col("v").alias("node"), "component").union(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df`, written once as a compressed table in the shared folder and read again; for what is too large for `cut`."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
