@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .shared import batch_of, texts
 
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the number of matches in a cell that holds it below the score.
 _BITS = 24
@@ -189,3 +191,10 @@ def _against(docs: DataFrame, sent, similarity: float, common: float) -> DataFra
                 yield batch_of(found, *zip(*out, strict=True))
 
     return docs.mapInArrow(search, _FOUND)
+
+
+def clean(df: DataFrame, items: DataFrame, **parameters) -> DataFrame:
+    """`df` without the documents that contain a test item; all columns stay. Rows without an id count as one document."""
+    key = "_".join([*df.columns, "key"])  # a name that is free
+    found = contaminated(df, items, **parameters).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key)).distinct()
+    return df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(found, key, "left_anti").select(*df.columns)

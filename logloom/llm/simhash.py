@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import batch_of, components, cut, texts, words_of
 
 SEED = 42
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
 #: Hashes that are added up at a time.
 AT_A_TIME = 1 << 15
 
@@ -209,3 +211,15 @@ def near_duplicates(df: DataFrame, radius: int = 3, shingle: int = 3, large: int
     reached = components(by_id)
     home = cut(distinct.join(reached, distinct.first_id == reached.node, "left").select("fp", F.coalesce("component", "first_id").alias("component_id")))
     return marked.join(home, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, radius: int = 3, shingle: int = 3, large: int = 4096) -> DataFrame:
+    """`df` with one document of each component, that of the smallest id; all columns stay.
+
+    Rows without an id count as one document, which goes only if all of its texts link to some with an id. Rows that repeat id
+    and text are one document. Decisions are made over ids; texts move once, to meet them.
+    """
+    key = "_".join([*df.columns, "key"])  # a name that is free
+    stays = near_duplicates(df, radius, shingle, large).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key)).distinct()
+    keyed = df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return keyed.join(stays, key, "left_semi").withColumn(f"{key}_text", F.xxhash64("text")).dropDuplicates([key, f"{key}_text"]).select(*df.columns)

@@ -298,20 +298,24 @@ def repeated(df: DataFrame, depth: int = DEPTH, gram: int = GRAM, large: int = 2
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("data", pa.binary()), ("kept_sha256", pa.string())])
 
 
+def _rest(data: bytes, spans) -> tuple[bytes, int]:
+    """What is left of the bytes without the spans, and how many runs these make."""
+    parts, at, n = [], 0, 0
+    for lo, hi in sorted({(min(x["lo"], len(data)), min(x["hi"], len(data))) for x in spans or ()}):
+        if lo > at or not n:
+            n += hi > lo
+            parts.append(data[at:lo])
+        at = max(at, hi)
+    parts.append(data[at:])
+    return b"".join(parts), n
+
+
 def _cut_out(batches, with_data: bool):
     for batch in batches:
         out = []
         for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
             data = (text.as_py() or "").encode()
-            parts, at, n = [], 0, 0
-            runs = sorted({(min(x["lo"], len(data)), min(x["hi"], len(data))) for x in spans or ()})
-            for lo, hi in runs:
-                if lo > at or not n:
-                    n += hi > lo
-                    parts.append(data[at:lo])
-                at = max(at, hi)
-            parts.append(data[at:])
-            rest = b"".join(parts)
+            rest, n = _rest(data, spans)
             out.append((doc_id if doc_id != NO_ID else None, len(data), len(data) - len(rest), n, rest if with_data else None, hashlib.sha256(rest).hexdigest()))
         if out:
             yield batch_of(_KEPT, *zip(*out, strict=True))
@@ -324,3 +328,28 @@ def remove_repeats(df: DataFrame, depth: int = DEPTH, gram: int = GRAM, large: i
     return docs.join(repeated(docs, depth, gram, large), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
         lambda b: _cut_out(b, with_data), "doc_id long, n_bytes long, n_removed long, n_spans long, data binary, kept_sha256 string"
     )
+
+
+def without_repeats(df: DataFrame, depth: int = DEPTH, gram: int = GRAM, large: int = 2048) -> DataFrame:
+    """`df` with each text cut down to what is left of it; all rows and columns stay, and n_chars, if there, is counted anew.
+
+    A character of which only some bytes are left goes as a whole. Null texts stay null.
+    """
+    key = "_".join([*df.columns, "key"])  # a name that is free
+    keyed = df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    spans = repeated(keyed.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), depth, gram, large)
+    met = keyed.join(spans.select(F.col("doc_id").alias(key), F.col("spans").alias(f"{key}_spans")), key, "left").select(*df.columns, f"{key}_spans")
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            texts_, spans_ = batch.column("text"), batch.column(f"{key}_spans").to_pylist()
+            out = []
+            for text, found in zip(texts_, spans_, strict=True):
+                text = text.as_py()
+                out.append(_rest(text.encode(), found)[0].decode(errors="ignore") if text and found else text)
+            columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names if n != f"{key}_spans"]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n != f"{key}_spans"])
+
+    cut_down = met.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
+    return cut_down.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)).select(*df.columns) if "n_chars" in df.columns else cut_down
