@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import evaluation_queries, state_queries, text_queries
+
+_ALL = text_queries.QUERIES | state_queries.QUERIES | evaluation_queries.QUERIES
+FLAGSHIP = "classify_histogram"
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which class is each log's rejection?"""
+    return _ALL[FLAGSHIP][0](spark, sf_dir)
