@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.lines import any_of, ascii_lower
 
 # Fixed values: (kind, mode, needles) in the order in which they are tried.
@@ -72,11 +73,15 @@ def _fits(low: Column, mode: str, needles) -> Column:
 
 
 def first_rule(message: Column) -> Column:
-    """The number (from 1) of the first rule that fits; null if none does. One CASE in the rules' order, inside codegen."""
-    low, out = ascii_lower(message), F.lit(None).cast("int")
-    for k, (_, mode, needles) in reversed(list(enumerate(RULES, 1))):
-        out = F.when(_fits(low, mode, needles), F.lit(k)).otherwise(out)
-    return out
+    """The number (from 1) of the first rule that fits; null if none does. One CASE in the rules' order."""
+
+    def cases(low: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for k, (_, mode, needles) in reversed(list(enumerate(RULES, 1))):
+            out = F.when(_fits(low, mode, needles), F.lit(k)).otherwise(out)
+        return out
+
+    return let(ascii_lower(message), cases)
 
 
 def kind_of(rule: Column) -> Column:

@@ -46,4 +46,4 @@ def initialized_prefix(slots: DataFrame, keys: list[str], start: str, size: str)
     broken = F.sum((F.col("s_start") > F.col("reach")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("broken", broken)
     ends = rows.groupBy(*keys).agg(F.max(F.when(F.col("broken") == 0, F.col("s_end"))).alias("end"), F.first(start).alias("_start"), F.first(size).alias("_size"))
-    return ends.select(*keys, F.coalesce(F.least(F.col("end") - F.col("_start"), F.col("_size")), F.lit(0)).alias("prefix"))
+    return ends.select(*keys, F.least(F.coalesce(F.col("end") - F.col("_start"), F.lit(0)), F.col("_size")).alias("prefix"))

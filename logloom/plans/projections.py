@@ -242,6 +242,20 @@ RUNS = """turns AS (
 )"""
 
 
+_STATE_FORM = "'%d: (b7) r1 = 0 ; R%d_w=scalar(id=%d,smin=smin32=%d,umax=%d,var_off=(0x0; 0x%x)) R%d=Pfp-%d fp-8=mmmm???? refs=%d,%d'"
+_STATE_ARGS = ("l_linenumber", "l_partkey % 10", "l_suppkey % 50 + 1", "0 - l_suppkey % 100", "l_partkey % 255", "l_partkey % 255", "l_suppkey % 2 + 9", "l_partkey % 64 + 1", "l_suppkey % 5", "l_partkey % 9 + 1")
+
+
+def _state_expr(function: str) -> str:
+    return f"{function}({_STATE_FORM}, {', '.join(f'CAST({x} AS BIGINT)' for x in _STATE_ARGS)})"
+
+
+def state_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log_id, line_no, line): a state for each line item."""
+    w = Window.partitionBy("l_orderkey").orderBy(*ORDER.split(", "))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("log_id"), F.row_number().over(w).cast("long").alias("line_no"), F.expr(_state_expr("format_string")).alias("line"))
+
+
 def sql(*relations: str, query: str) -> str:
     """A query over the given relations."""
     return f"WITH {', '.join(relations)}\n{query}"

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
-from ..operators import asof, graph, intervals, select
+from ..functions import states as S
+from ..operators import asof, diagnose, graph, intervals, select, states
 from . import projections as P
+from .text_queries import _CLASSIFIED, _is_error
 
 
 def _points(spark, d):
@@ -168,11 +170,42 @@ def branch_rates(spark, d):
     return out.select("pc", "n", "taken", F.round(F.col("taken") / F.col("n"), 6).alias("rate"))
 
 
+def state_parse(spark, d):
+    """Register states that the parser finds in the text of a state for each line item."""
+    rows = states.register_states(states.states(P.state_lines(spark, d)))
+    return rows.select("log_id", "log_line", F.col("pc").cast("long").alias("pc"), "kind", F.col("reg").cast("long").alias("reg"), "reg_type", "narrow", "precise", "smin", F.col("smin32").cast("long").alias("smin32"), F.col("umax").cast("long").alias("umax"), F.col("tnum_mask").cast("long").alias("tnum_mask"), F.col("exact").cast("long").alias("exact"), F.col("off").cast("long").alias("off"), F.col("id").cast("long").alias("id"))
+
+
+def state_slots(spark, d):
+    found = states.states(P.state_lines(spark, d))
+    slots = states.slot_states(found).groupBy("slot_off", "slot_types").agg(F.count("*").alias("n"))
+    refs = found.select(S.references(F.col("tokens")).alias("ids"))
+    return slots.select(F.col("slot_off").cast("long").alias("slot_off"), "slot_types", "n").crossJoin(refs.agg(F.count("ids").alias("with_refs"), F.sum(F.element_at("ids", 2)).alias("sum_second")))
+
+
+def diagnose_logs(spark, d):
+    out = diagnose.diagnostics(P.logs(spark, d))
+    return out.select("log_id", F.col("line_no").cast("long").alias("line_no"), "error_id", F.col("register").cast("long").alias("register"), F.col("state_line").cast("long").alias("state_line"), "state")
+
+
 _POINTS = "points AS (SELECT event_id AS point_id, log_id, log_line, pc, reg FROM states WHERE event_type = 'error')"
 _EDGES = "edges AS (SELECT * FROM (SELECT o_custkey % 500 AS src, o_orderkey * 7 % 500 AS dst FROM orders) WHERE src <> dst)"
 _HIGH, _LOW = "coalesce(smax, umax, smax32)", "coalesce(smin, umin, smin32)"
 
+_STATE_NUMBERS = f"SELECT l_orderkey AS log_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {P.ORDER}) AS log_line, CAST(l_linenumber AS BIGINT) AS pc, l_partkey, l_suppkey FROM lineitem"
+
 QUERIES = {
+    "state_parse": (state_parse, f"""WITH n AS ({_STATE_NUMBERS}), both_ AS (
+  SELECT log_id, log_line, pc, 0 AS at_, l_partkey % 10 AS reg, 'scalar' AS reg_type, true AS narrow, false AS precise, -(l_suppkey % 100) AS smin, -(l_suppkey % 100) AS smin32, l_partkey % 255 AS umax, l_partkey % 255 AS tnum_mask,
+         CASE WHEN l_partkey % 255 = 0 THEN 0 END AS exact, CAST(NULL AS BIGINT) AS off, l_suppkey % 50 + 1 AS id FROM n
+  UNION ALL SELECT log_id, log_line, pc, 1, l_suppkey % 2 + 9, 'fp', false, true, NULL, NULL, NULL, NULL, NULL, -(l_partkey % 64 + 1), NULL FROM n
+) SELECT log_id, log_line, pc, 'insn_delta' AS kind, reg, reg_type, narrow, precise, smin, smin32, umax, tnum_mask, exact, off, id FROM (SELECT *, row_number() OVER (PARTITION BY log_id, log_line, reg ORDER BY at_ DESC) AS k FROM both_) WHERE k = 1"""),
+    "state_slots": (state_slots, "SELECT CAST(-8 AS BIGINT) AS slot_off, 'mmmm????' AS slot_types, count(*) AS n, count(*) FILTER (WHERE l_suppkey % 5 > 0) AS with_refs, sum(l_partkey % 9 + 1) FILTER (WHERE l_suppkey % 5 > 0) AS sum_second FROM lineitem"),
+    "diagnose": (diagnose_logs, P.sql(P.INSTRUCTION_LINES, P.MESSAGES, P.LOGS, _CLASSIFIED, query=f"""
+, ends AS (SELECT log_id, max(line_no) AS line_no FROM logs WHERE {_is_error("trim(line)")} GROUP BY 1),
+points AS (SELECT e.log_id, e.line_no, c.error_id, TRY_CAST(nullif(regexp_extract(c.message, 'R([0-9]+)', 1), '') AS BIGINT) AS register FROM ends e JOIN classified c ON e.log_id = c.log_id),
+known AS (SELECT log_id, line_no, CAST(regexp_extract(line, '^[0-9]+: R([0-9]+)=scalar', 1) AS BIGINT) AS reg, 'scalar(umax=' || regexp_extract(line, 'umax=([0-9]+)', 1) || ')' AS state FROM logs WHERE regexp_matches(line, '^[0-9]+: R[0-9]+=scalar'))
+SELECT p.log_id, p.line_no, error_id, register, max(k.line_no) AS state_line, arg_max(k.state, k.line_no) AS state FROM points p LEFT JOIN known k ON p.log_id = k.log_id AND p.register = k.reg AND k.line_no < p.line_no GROUP BY ALL""".replace("\n, ends", ", ends", 1))),
     "asof_reg_before": (asof_reg_before, P.sql(P.STATES, _POINTS, query="SELECT point_id, p.log_id, arg_max(s.event_id, s.log_line) AS state_id, arg_max(s.reg_type, s.log_line) AS reg_type FROM points p LEFT JOIN states s ON p.log_id = s.log_id AND p.reg = s.reg AND s.log_line < p.log_line AND s.pc <= p.pc GROUP BY 1, 2")),
     "asof_at_or_before": (asof_at_or_before, P.sql(P.STATES, _POINTS, query="SELECT point_id, p.log_id, arg_max(s.event_id, s.log_line) AS state_id FROM points p LEFT JOIN states s ON p.log_id = s.log_id AND p.reg = s.reg AND s.log_line <= p.log_line AND s.event_type <> 'error' GROUP BY 1, 2")),
     "asof_call_arg_fallback": (asof_call_arg_fallback, P.sql(P.STATES, query="""SELECT p.event_id AS point_id, coalesce(arg_max(CASE WHEN s.frame = p.frame THEN s.event_id END, CASE WHEN s.frame = p.frame THEN s.log_line END), arg_max(s.event_id, s.log_line)) AS state_id

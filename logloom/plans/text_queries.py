@@ -10,8 +10,8 @@ from ..functions import messages as M
 from ..operators import classify, logs
 from . import projections as P
 
-_STAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}"
-_NORMAL = rf"""regexp_replace(regexp_replace(regexp_replace(line, '\x1b\[[^@-~]*[@-~]', '', 'g'), '\r+$', ''), '^(?:\s*(?:\[{_STAMP}[^\]]*\]|{_STAMP}\S*\s))*\s*', '')"""
+_DAY, _TIME = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}:[0-9]{2}"
+_NORMAL = rf"""regexp_replace(regexp_replace(regexp_replace(line, '\x1b\[[^@-~]*[@-~]', '', 'g'), '\r+$', ''), '^(?:\s*(?:\[{_DAY}[Tt ]{_TIME}[^\]]*\]|{_DAY}[Tt]{_TIME}\S*\s))*\s*', '')"""
 _CONTROL = "(x LIKE '::group::%' OR x LIKE '::endgroup::%' OR starts_with(x, '##[group]') OR starts_with(x, '##[endgroup]'))"
 _INSTRUCTION = r"^\s*[0-9]+:\s*(?:[0-9.]+\s+)?\([0-9a-f]{2}\)\s.*$"
 _MARKERS = "|".join(L.ERROR_MARKERS)
