@@ -63,7 +63,7 @@ def signed(text: Column) -> Column:
 def attribute(attributes: Column, name: str) -> Column:
     """The value of the last `name=value`, of which several names may share one: `smin=umin=5`."""
     pattern = rf"(?:^|[,=])\s*{name}(?:=[a-z_]\w*)*=(-?(?:0x[0-9a-f]+|\d+)|\([^()]*\))"
-    return F.try_element_at(F.regexp_extract_all(attributes, F.lit(pattern), F.lit(1)), F.lit(-1))
+    return F.when(attributes != "", F.try_element_at(F.regexp_extract_all(attributes, F.lit(pattern), F.lit(1)), F.lit(-1)))
 
 
 def register_state(value: Column, narrow: Column) -> Column:
@@ -76,7 +76,7 @@ def _register_state(value: Column, narrow: Column) -> Column:
     v = F.when(precise, F.substring(value, 2, 1 << 20)).otherwise(value)
     number = _found(v, NUMBER, 1)
     is_fp = v.rlike(FRAME_POINTER)
-    attributes = F.regexp_extract(v, TYPED, 2)
+    attributes = F.regexp_extract(v, TYPED, 2)  # empty for most registers, which then cost one search
     kind = F.when(number.isNotNull(), "scalar").when(is_fp, "fp").otherwise(F.coalesce(_found(v, TYPED, 1), v))
     kind = F.when(kind == "inv", "scalar").otherwise(kind)
     tnum = attribute(attributes, "var_off")
