@@ -106,7 +106,8 @@ def train(df: DataFrame, labels: DataFrame, usable="true", *, sample_rows: int =
     chosen = chosen.groupBy("doc_id").agg((F.min("label") > 0).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     names = list(statistics(F.lit("")))
     rows = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of `sample_rows` rows at most
-    rows = cut(with_statistics(rows).join(F.broadcast(chosen), "doc_id").select("label", *names).repartition(4, *names))
+    # a few MB from here on, read anew for each round of the fits: a few tasks are enough
+    rows = cut(with_statistics(rows).join(F.broadcast(chosen), "doc_id").select("label", *names)).coalesce(4)
     shares = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     good, bad = shares.get(1.0, 0), shares.get(0.0, 0)
     base = F.log(F.lit((good + 1) / (bad + 1)))

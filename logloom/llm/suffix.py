@@ -288,6 +288,7 @@ def repeated(df: DataFrame, depth: int = DEPTH, gram: int = GRAM, large: int = 2
     met = kept(filed.repartition("key").sortWithinPartitions("key", "extent", "doc_id", "place").mapInArrow(lambda b: _meet(b, depth), "key long, doc_id long, place long, until long"))
     open_ = met.where("until = 0")
     hot = open_.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("key", F.lit(True).alias("hot"))
+    hot = hot.repartition(F.xxhash64("key"))  # dealt anew, so that the join has an exchange on both sides and can split a large key
     wanted = open_.join(hot, "key", "left").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
     extents = df.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda b: _extents(b, depth), "key long, doc_id long, place long, data binary")
     late = extents.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(lambda b: _sort_extents(b, depth), "key long, doc_id long, place long, until long")
