@@ -1,22 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare seeds and Smith-Waterman alignment of words.
 
-Seeds are the word n-grams of the test items. A first pass over all training texts counts in how many each seed occurs; a
-seed in more than `common` of them is a common one. In a second pass, a text and an item become a candidate pair if they
-share a rare seed, or common ones over at least half of the item, so that an item that has leaked into very many texts is
-still found in all of them. Around the shared seeds, the item's words are aligned with the text's by Smith-Waterman (match
-2, mismatch and gap -1). Similarity is the share of the item's words that the best alignment matches.
+Similarity of a text and a test item is the share of the item's words that the best alignment (Smith-Waterman; match 2,
+mismatch and gap -1) with the text matches. A first pass over all training texts counts in how many each word of the items
+occurs. An item's seeds are the rarest of its words, so many that no alignment of the similarity asked for misses them all. In
+a second pass, a text and an item that share a seed are a candidate pair if the words they have in common, within the reach of
+an alignment around the seed, are enough; only then they are aligned there. No such pair is lost, however many texts an item
+has leaked into and wherever its copies were edited.
 
 Test items are read in blocks of at most `block_bytes` of text, each of which is sent to all tasks; a larger benchmark
 takes more passes over the texts, not more memory. Words are runs of ASCII letters, digits and non-ASCII bytes, lower case.
 
-Nulls: null or empty texts and items match nothing. An item of fewer words than a seed has is a seed as a whole. Repeated
-rows of texts give repeated results; of items with the same id, each text counts as one item of that id, and the best match
-is returned. Null doc_ids are kept, items without an id left out.
+Nulls: null or empty texts and items match nothing. Repeated rows of texts give repeated results; of items with
+the same id, each text counts as one item of that id, and the best match is returned. Null doc_ids are kept, items without an id left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -58,83 +58,81 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Seeds:
-    """The n-grams of a block of test items, ready for the search in texts."""
+    """The words of a block of test items, ready for the search in texts.
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int):
+    An alignment that matches at least `least` words of an item misses `len - least` of them at most, so it matches one of any
+    `len - least + 1` of its words. Those that occur in the fewest texts are the item's seeds.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], similarity: float):
         found = [(i, w) for i, text in sorted(items, key=lambda x: (x[0], x[1] or "")) if (w := words(text))]
-        self.n, self.ids = n, [i for i, _ in found]
+        self.ids = [i for i, _ in found]
         self.number = {w: k for k, w in enumerate(sorted({w for _, ws in found for w in ws}))}
         self.items = [np.array([self.number[w] for w in ws], np.int64) for _, ws in found]
-        places = defaultdict(list)  # seed -> (item, place in it)
-        for k, item in enumerate(self.items):
-            for p in range(max(1, len(item) - n + 1)):
-                places[tuple(item[p : p + n].tolist())].append((k, p))
-        self.seeds = sorted(places)
-        self.places = [places[s] for s in self.seeds]
-        self.by_length = {}
-        for length in sorted({len(s) for s in self.seeds}):
-            index = [k for k, s in enumerate(self.seeds) if len(s) == length]
-            rows = np.array([self.seeds[k] for k in index], np.int64)
-            key = self._key(rows.T)
-            order = np.argsort(key, kind="stable")
-            self.by_length[length] = key[order], rows[order], np.array(index)[order]
-
-    @staticmethod
-    def _key(columns) -> np.ndarray:
-        key = np.zeros(len(columns[0]), np.uint64)
-        for c in columns:
-            key = (key + c.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        return key
+        self.counted = [np.unique(item, return_counts=True) for item in self.items]
+        self.least = [next((m for m in range(1, len(item) + 1) if m / len(item) >= similarity), len(item) + 1) for item in self.items]
 
     def numbers(self, text: str | None) -> np.ndarray:
         ws = words(text)
         return np.fromiter(map(self.number.get, ws, repeat(-1)), np.int64, len(ws))
 
-    def hits(self, numbers: np.ndarray) -> list[tuple[int, int]]:
-        """(place in the text, seed) of all seeds in it."""
+    def by_seed(self, texts_with: np.ndarray) -> dict[int, list[int]]:
+        """The items of each seed, given in how many texts each word occurs."""
+        out = defaultdict(list)
+        for k, (item, least) in enumerate(zip(self.items, self.least, strict=True)):
+            for w in set(item[np.lexsort((item, texts_with[item]))][: len(item) - least + 1].tolist()):
+                out[w].append(k)
+        return dict(out)
+
+    def spans(self, item: int, numbers: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of the text in which `least` words of the item can be aligned with a word at one of the places `at` among them.
+
+        A word that is passed over in the text costs a point and a match gains two: an alignment of a positive score reaches
+        over less than three times the item's words, all of them to either side of a place at most.
+        """
+        reach, least = 3 * len(self.items[item]), self.least[item]
+        edges = np.flatnonzero(at[1:] - at[:-1] > 2 * reach)
+        groups = zip(at[np.append(0, edges + 1)].tolist(), at[np.append(edges, len(at) - 1)].tolist(), strict=True)
+        which, most = self.counted[item]
         out = []
-        for length, (keys, rows, index) in self.by_length.items():
-            if len(numbers) < length:
-                continue
-            known = np.concatenate(([0], np.cumsum(numbers >= 0)))
-            at = np.flatnonzero(known[length:] - known[:-length] == length)
-            if not len(at):
+        for first, last in groups:
+            lo, hi = max(0, first - reach), min(len(numbers), last + reach + 1)
+            part = numbers[lo:hi]
+            k = np.minimum(np.searchsorted(which, part), len(which) - 1)
+            mine = np.flatnonzero(which[k] == part)
+            if np.minimum(np.bincount(k[mine], minlength=len(which)), most).sum() < least:
                 continue
-            columns = [numbers[at + k] for k in range(length)]
-            key = self._key(columns)
-            lo = np.searchsorted(keys, key)
-            lo[lo == len(keys)] = 0
-            same = np.flatnonzero(keys[lo] == key)
-            for j, p in zip(lo[same].tolist(), at[same].tolist(), strict=True):
-                end = j + 1
-                while end < len(keys) and keys[end] == keys[j]:  # seeds of one key stand together
-                    end += 1
-                out += [(p, int(index[k])) for k in range(j, end) if (rows[k] == numbers[p : p + length]).all()]
-        return out
-
-    def matches(self, text: str | None, rare: np.ndarray) -> list[tuple[int, int, int, float]]:
+            # of the item's words in the text, `least` in a row that stand within reach
+            near = np.flatnonzero(mine[least - 1 :] - mine[: len(mine) - least + 1] < reach)
+            for i in near.tolist():
+                a, b = lo + int(mine[i]), lo + int(mine[i]) + reach
+                if out and a <= out[-1][1]:
+                    out[-1] = out[-1][0], max(b, out[-1][1])
+                else:
+                    out.append((a, b))
+        return [(a, b) for a, b in out if self._holds(item, numbers[a:b])]
+
+    def _holds(self, item: int, part: np.ndarray) -> bool:
+        """Whether the words that part and item share, as often as both have them, are enough."""
+        which, most = self.counted[item]
+        k = np.minimum(np.searchsorted(which, part), len(which) - 1)
+        return np.minimum(np.bincount(k[which[k] == part], minlength=len(which)), most).sum() >= self.least[item]
+
+    def matches(self, text: str | None, by_seed: dict[int, list[int]], is_seed: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item_id, words, matched words, similarity) of the items that are candidates for the text."""
         numbers = self.numbers(text)
+        at = np.flatnonzero(is_seed[numbers])  # -1 reads the last place, which is no seed
         by_item = defaultdict(list)
-        for p, seed in self.hits(numbers):
-            for item, q in self.places[seed]:
-                by_item[item].append((p, q, seed))
+        for p, seed in zip(at.tolist(), numbers[at].tolist(), strict=True):
+            for item in by_seed[seed]:
+                by_item[item].append(p)
         best: dict[int, tuple[float, int, int]] = {}
-        for item, found in by_item.items():
+        for item, places in by_item.items():
             length = len(self.items[item])
-            covered = {q + k for _, q, _ in found for k in range(min(self.n, length))}
-            if not (any(rare[s] for _, _, s in found) or 2 * len(covered) >= length):
-                continue
-            slack = max(self.n, length // 4)
-            spans = []
-            for lo, hi in sorted({(max(0, p - q - slack), p - q + length + slack) for p, q, _ in found}):
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
-            matched = max(align(self.items[item], numbers[lo:hi])[1] for lo, hi in spans)
-            i = self.ids[item]
-            best[i] = max(best.get(i, (0.0, 0, 0)), (matched / length, length, matched))
+            for lo, hi in self.spans(item, numbers, np.array(places)):
+                matched = align(self.items[item], numbers[lo:hi])[1]
+                i = self.ids[item]
+                best[i] = max(best.get(i, (0.0, 0, 0)), (matched / length, length, matched))
         return [(i, length, matched, similarity) for i, (similarity, length, matched) in sorted(best.items())]
 
 
@@ -155,38 +153,45 @@ def _blocks(items: DataFrame, block_bytes: int):
 _FOUND = "doc_id long, item_id long, n_words long, n_matched long, similarity double"
 
 
-def contaminated(df: DataFrame, items: DataFrame, *, n: int = 5, similarity: float = 0.8, common: float = 0.001, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(df: DataFrame, items: DataFrame, *, similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, n_words, n_matched, similarity) of each text and test item that are alike by `similarity` or more."""
     docs, out = texts(df), None
     spark = df.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     for block in _blocks(items, block_bytes):
-        part = _against(docs, spark.sparkContext.broadcast(Seeds(block, n)), similarity, common)
+        part = _against(docs, spark.sparkContext.broadcast(Seeds(block, similarity)), similarity)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], _FOUND)
 
 
-def _against(docs: DataFrame, sent, similarity: float, common: float) -> DataFrame:
-    counts = pa.schema([("seed", pa.int32()), ("n", pa.int64())])
+def _against(docs: DataFrame, sent, similarity: float) -> DataFrame:
+    counts = pa.schema([("word", pa.int32()), ("n", pa.int64())])
     found = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int64()), ("n_matched", pa.int64()), ("similarity", pa.float64())])
 
     def count(batches):
-        seeds, total = sent.value, Counter()
+        seeds = sent.value
+        total = np.zeros(len(seeds.number), np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                total[-1] += 1
-                total.update({s for _, s in seeds.hits(seeds.numbers(text.as_py()))})
-        yield batch_of(counts, list(total), list(total.values()))
-
-    # as many rows as the block has seeds, whatever the corpus
-    told = {r.seed: r.n for r in docs.select("text").mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()}
-    most = max(1, common * told.get(-1, 0))
-    rare = docs.sparkSession.sparkContext.broadcast(np.array([told.get(k, 0) <= most for k in range(len(sent.value.seeds))], bool))
+                numbers = seeds.numbers(text.as_py())
+                total[np.unique(numbers[numbers >= 0])] += 1
+        at = np.flatnonzero(total)
+        yield batch_of(counts, at, total[at])
+
+    # as many rows as the block has words, whatever the corpus
+    told = docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    texts_with = np.zeros(len(sent.value.number), np.int64)
+    for r in told:
+        texts_with[r.word] = r.n
+    by_seed = sent.value.by_seed(texts_with)
+    is_seed = np.zeros(len(texts_with) + 1, bool)
+    is_seed[np.array(list(by_seed), np.int64)] = True
+    chosen = docs.sparkSession.sparkContext.broadcast((by_seed, is_seed))
 
     def search(batches):
-        seeds, few = sent.value, rare.value
+        seeds = sent.value
         for batch in batches:
-            out = [(i, *m) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for m in seeds.matches(text.as_py(), few) if m[3] >= similarity]
+            out = [(i, *m) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for m in seeds.matches(text.as_py(), *chosen.value) if m[3] >= similarity]
             if out:
                 yield batch_of(found, *zip(*out, strict=True))
 
