@@ -2,9 +2,10 @@
 
 Training takes a bounded sample of labelled rows (`sample_rows`, by a hash of the id), counts which features go with the
 label on the executors, keeps the `n_features` that tell most, and fits their weights. A labelled text that names a group
-also gives its counterfactuals, in which the term stands for another one of its group: differences of their log-odds are
-penalised in the fit, so that weight does not settle on the mention of a group. Only whole texts are read, in training
-and in scoring; ids, sources and languages are no features.
+also gives its counterfactuals, in which the term stands for another one of its group in the text's language: differences of
+their log-odds are penalised in the fit, so that weight does not settle on the mention of a group. `Model.pairs` says how many
+counterfactuals there were; without any, the penalty does nothing. Only whole texts are read, in training and in scoring; ids,
+sources and languages are no features.
 
 Nulls: a null text scores as the empty one, which has the score of the intercept. Labels of null ids or null labels are
 left out, and an id with several labels counts as toxic if one says so. Without any label of one of the two kinds, all
@@ -24,18 +25,58 @@ from pyspark.sql import functions as F
 
 from .shared import batch_of, cut, texts
 
-# Groups of terms that name people neutrally; terms of a group replace each other.
-IDENTITY_TERMS = (
-    ("women", "men", "girls", "boys"),
-    ("woman", "man", "girl", "boy"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
-    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("gay", "lesbian", "bisexual", "straight", "transgender"),
-    ("immigrant", "refugee", "foreigner", "citizen"),
-    ("immigrants", "refugees", "foreigners", "citizens"),
-    ("old", "young", "elderly", "disabled", "blind", "deaf"),
-)
+# For each language, groups of terms that name people neutrally; terms of a group replace each other.
+IDENTITY_TERMS = {
+    "en": (
+        ("women", "men", "girls", "boys"),
+        ("woman", "man", "girl", "boy"),
+        ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
+        ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "african", "european"),
+        ("gay", "lesbian", "bisexual", "straight", "transgender"),
+        ("immigrant", "refugee", "foreigner", "citizen"),
+        ("immigrants", "refugees", "foreigners", "citizens"),
+        ("old", "young", "elderly", "disabled", "blind", "deaf"),
+    ),
+    "de": (
+        ("frauen", "männer", "mädchen", "jungen"),
+        ("frau", "mann"),
+        ("christ", "muslim", "jude", "hindu", "buddhist", "atheist"),
+        ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+        ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+        ("schwule", "lesben", "bisexuelle", "heterosexuelle", "transgender"),
+        ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
+        ("alte", "junge", "behinderte", "blinde", "gehörlose"),
+    ),
+    "es": (
+        ("mujeres", "hombres", "niñas", "niños"),
+        ("mujer", "hombre", "niña", "niño"),
+        ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+        ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+        ("negros", "blancos", "asiáticos", "latinos", "africanos", "europeos"),
+        ("gays", "lesbianas", "bisexuales", "heterosexuales", "transexuales"),
+        ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+        ("ancianos", "jóvenes", "discapacitados", "ciegos", "sordos"),
+    ),
+    "fr": (
+        ("femmes", "hommes", "filles", "garçons"),
+        ("femme", "homme", "fille", "garçon"),
+        ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+        ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+        ("noirs", "blancs", "asiatiques", "africains", "européens"),
+        ("gays", "lesbiennes", "bisexuels", "hétérosexuels", "transgenres"),
+        ("immigrés", "réfugiés", "étrangers", "citoyens"),
+        ("vieux", "jeunes", "handicapés", "aveugles", "sourds"),
+    ),
+}
+
+
+def groups_of(groups, lang: str | None = None) -> tuple:
+    """The groups of a text's language; all, if that is not known or `groups` are not told apart by language."""
+    if not isinstance(groups, dict):
+        return tuple(groups)
+    return tuple(groups[lang]) if lang in groups else tuple(g for one in groups.values() for g in one)
+
 
 #: Upper case to lower case, and what is no letter or digit in ASCII to a space; other bytes stay.
 _SIMPLER = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32) for b in range(256))
@@ -54,7 +95,7 @@ def features(found: set[bytes]) -> set[bytes]:
 def swaps(found: set[bytes], groups=IDENTITY_TERMS) -> list[set[bytes]]:
     """The words of a text's counterfactuals: all its terms of a group replaced by one that it lacks, once for each."""
     out = []
-    for group in groups:
+    for group in groups_of(groups):
         terms = [t.encode() for t in group]
         if here := found.intersection(terms):
             out += [found - here | {other} for other in terms if other not in here]
@@ -65,6 +106,7 @@ def swaps(found: set[bytes], groups=IDENTITY_TERMS) -> list[set[bytes]]:
 class Model:
     intercept: float
     weight: dict[bytes, float]
+    pairs: int = 0  # counterfactual pairs that the fit saw
 
     def log_odds(self, found: set[bytes]) -> float:
         weight = self.weight
@@ -75,10 +117,12 @@ class Model:
 
 
 def labelled(df: DataFrame, labels: DataFrame, usable, sample_rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most `sample_rows` labelled rows: those of the smallest hashes of the id."""
+    """(doc_id, text, label, lang) of at most `sample_rows` labelled rows: those of the smallest hashes of the id."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(usable).where("doc_id is not null and label is not null")
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return texts(df).join(F.broadcast(chosen), "doc_id")  # of `sample_rows` rows at most
+    lang = F.col("lang").cast("string") if "lang" in df.columns else F.lit(None).cast("string")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    return docs.join(F.broadcast(chosen), "doc_id")  # of `sample_rows` rows at most
 
 
 def _told(batches):
@@ -135,7 +179,7 @@ def train(df: DataFrame, labels: DataFrame, usable="true", *, sample_rows: int =
     share = (F.col("toxic") + F.col("other") + 1) / (positive + negative + 2)
     tells = F.abs((F.col("toxic") + share) / (positive + 1) - (F.col("other") + share) / (negative + 1)) / F.sqrt(share * (1 - share) * (1 / (positive + 1) + 1 / (negative + 1)))
     best = told.where(F.length("feature") > 0).where(F.col("toxic") + F.col("other") >= min_texts).where(tells >= least_deviations).orderBy(tells.desc(), "feature").limit(n_features).collect()
-    terms = {f for group in groups for t in group for f in features({t.encode()})}
+    terms = {f for group in groups_of(groups) for t in group for f in features({t.encode()})}
     index = {f: i for i, f in enumerate(sorted({bytes(r.feature) for r in best} | terms))}
     known = df.sparkSession.sparkContext.broadcast(index)  # of n_features and the terms
 
@@ -144,14 +188,14 @@ def train(df: DataFrame, labels: DataFrame, usable="true", *, sample_rows: int =
         schema = pa.schema([("label", pa.int32()), ("found", pa.list_(pa.int32())), ("swapped", pa.list_(pa.list_(pa.int32())))])
         for batch in batches:
             out = []
-            for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+            for text, label, lang in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 has = words(text.as_py())
                 pick = lambda s: sorted(index[f] for f in features(s) if f in index)
-                out.append((int(label > 0), pick(has), [pick(s) for s in swaps(has, groups)]))
+                out.append((int(label > 0), pick(has), [pick(s) for s in swaps(has, groups_of(groups, lang))]))
             if out:
                 yield batch_of(schema, *zip(*out, strict=True))
 
-    rows = rows.select("text", "label").mapInArrow(reduce, "label int, found array<int>, swapped array<array<int>>").collect()
+    rows = rows.select("text", "label", "lang").mapInArrow(reduce, "label int, found array<int>, swapped array<array<int>>").collect()
     rows.sort(key=lambda r: (r.label, r.found))
     x = tuple(np.array([v for i, r in enumerate(rows) for v in c(i, r)], np.int64) for c in (lambda i, r: [i] * len(r.found), lambda i, r: r.found))
     pairs, m = [], 0
@@ -161,7 +205,7 @@ def train(df: DataFrame, labels: DataFrame, usable="true", *, sample_rows: int =
             m += 1
     pairs = np.array(pairs, np.int64).reshape(-1, 3).T
     w = _fit(x, np.array([r.label for r in rows], float), pairs, len(index), ridge, fairness)
-    return Model(float(w[-1]), {f: float(w[i]) for f, i in index.items() if w[i]})
+    return Model(float(w[-1]), {f: float(w[i]) for f, i in index.items() if w[i]}, m)
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
