@@ -13,7 +13,7 @@ and without references only the base rules count.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -97,8 +97,8 @@ class Reference:
     shares: np.ndarray  # of `words`, then of all others
 
 
-def references(df: DataFrame, *, common_words: int = 40, most_langs: int = 64) -> list[Reference]:
-    """The references of the languages with the most words. `df` has text and lang; all its documents are counted."""
+def references(df: DataFrame, *, common_words: int = 40) -> list[Reference]:
+    """The references of all languages. `df` has text and lang; all its documents are counted."""
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("class_", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
@@ -128,18 +128,16 @@ def references(df: DataFrame, *, common_words: int = 40, most_langs: int = 64) -
     ranked = told.where("word is not null").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64)))
     inner = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word"))).where(F.col("k") <= common_words).drop("k")
     top = inner.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= common_words)
-    total = told.where("word is not null").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(most_langs)
+    total = told.where("word is not null").groupBy("lang").agg(F.sum("n").alias("total"))
     totals = {r.lang: r.total for r in total.collect()}
-    names = list(totals)
-    found = top.where(F.col("lang").isin(names)).orderBy("lang", "k").collect() if names else []
-    chars = told.where("class_ is not null").where(F.col("lang").isin(names)).collect() if names else []
+    found, chars = defaultdict(list), defaultdict(lambda: np.zeros(len(_CLASSES)))
+    for r in top.orderBy("lang", "k").collect():
+        found[r.lang].append((bytes(r.word), r.n))
+    for r in told.where("class_ is not null").collect():
+        chars[r.lang][r.class_] = r.n
     out = []
     for lang in sorted(totals):
-        mine = [(bytes(r.word), r.n) for r in found if r.lang == lang]
-        classes = np.zeros(len(_CLASSES))
-        for r in chars:
-            if r.lang == lang:
-                classes[r.class_] = r.n
+        mine, classes = found[lang], chars[lang]
         shares = np.array([n for _, n in mine] + [totals[lang] - sum(n for _, n in mine)], float) / totals[lang]
         out.append(Reference(lang, classes / classes.sum(), [w for w, _ in mine], shares))
     return out
