@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, held_out, kept, texts, words_of
+from .shared import batch_of, held_out, kept, mixed, texts, words_of
 
 #: Bytes of an ending.
 ENDING = 3
@@ -226,10 +226,11 @@ def _file(batches, model: Model, n_buckets: int, modulus: int, remainder: int):
     """Texts' parts and their less frequent words, by bucket. A text's own parts stand in one of its rows."""
     held: list[tuple] = []
     count = 0
+    digest = xxhash.xxh64_intdigest
 
     def out():
         docs = np.repeat(np.arange(len(held)), [max(1, len(x[6])) for x in held])
-        words = np.concatenate([np.array(x[6] or [x[1] & (1 << 64) - 1], np.uint64) for x in held])
+        words = np.concatenate([np.array(x[6] or [digest(str(x[0]).encode(), x[1] & (1 << 64) - 1)], np.uint64) for x in held])
         real = np.repeat([bool(x[6]) for x in held], [max(1, len(x[6])) for x in held])
         bucket = (words % np.uint64(n_buckets)).astype(np.int64)
         order = np.lexsort((docs, bucket))
@@ -245,7 +246,6 @@ def _file(batches, model: Model, n_buckets: int, modulus: int, remainder: int):
             columns = [[x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], full, *([x[c] if m else 0 for x, m in zip(rows, mine.tolist(), strict=True)] for c in (3, 4, 5, 7)), words[a:b][real[a:b]].view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, f.type.value_type)) for c, f in zip(columns, list(_FILED_SCHEMA)[1:], strict=True))], schema=_FILED_SCHEMA)
 
-    digest = xxhash.xxh64_intdigest
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             value = text.as_py()
@@ -275,8 +275,11 @@ def _summed(table: pa.Table, n_homes: int) -> pa.Table:
     logs = np.bincount(doc, np.log10(count + UNSEEN), len(n))
     known = np.bincount(doc, count > 0, len(n)).astype(np.int64)
     mark, tokens = flat["mark"].to_numpy(), flat["tokens"].to_numpy()
-    columns = [flat["doc_id"].to_numpy(), mark, tokens, flat["known"].to_numpy() + known, flat["base"].to_numpy() + logs, flat["score"].to_numpy() + logs, (tokens > 0).astype(np.int64)]
-    return _packed(mark.view(np.uint64) % np.uint64(n_homes), columns)
+    doc_id = flat["doc_id"].to_numpy()
+    columns = [doc_id, mark, tokens, flat["known"].to_numpy() + known, flat["base"].to_numpy() + logs, flat["score"].to_numpy() + logs, (tokens > 0).astype(np.int64)]
+    # only rows equal in both must meet, so copies of a text with ids of their own spread over all homes
+    home = mixed(mark.view(np.uint64) ^ mixed(doc_id.view(np.uint64)))
+    return _packed(home % np.uint64(n_homes), columns)
 
 
 def _packed(home: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
