@@ -15,10 +15,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one on a local master.
+
+    On a cluster an unset folder is an error: executors would write to disks of their own.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="logloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="logloom-"))
     return sc.getCheckpointDir()
 
 
@@ -38,6 +44,12 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def text_hashes(text: str, names=("a", "b")) -> list:
+    """Two 64-bit hashes of a text column, which together tell different texts apart; null counts as a text of its own."""
+    column = F.col(text).cast("string")
+    return [F.xxhash64(column, F.lit(seed)).alias(n) for seed, n in enumerate(names)]
+
+
 def rows(batches, *names):
     """Python values row by row, over all Arrow batches of a task."""
     for batch in batches:

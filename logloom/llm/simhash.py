@@ -13,7 +13,8 @@ pairs. A group of more than `large` fingerprints is not compared inside: its fin
 once more with no block left out, where a common variant within floor(radius/2) of one and ceil(radius/2) of another
 proves the link by itself, so that a star around one fingerprint is enough. Nothing is dropped.
 
-Nulls and texts without words get fingerprint zero, and link like any other. Repeated rows stay repeated.
+Nulls and texts without words get fingerprint zero, and link like any other. Components are those of fingerprints; ids, null
+or shared by several texts, are looked up afterwards, so they neither make nor break a link. Repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -26,11 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, components, cut, texts, words_of
+from .shared import batch_of, components, cut, text_hashes, texts, words_of
 
 SEED = 42
-#: Stands for a null id in joins.
-NO_ID = -(1 << 63)
 #: Hashes that are added up at a time.
 AT_A_TIME = 1 << 15
 
@@ -56,16 +55,18 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long): the fingerprint's 64 bits as a signed number."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(df: DataFrame, shingle: int = 3, with_hashes: bool = False) -> DataFrame:
+    """(doc_id, fp long): the fingerprint's 64 bits as a signed number; `with_hashes` adds two of the whole text, a and b."""
+    names = ("a", "b") if with_hashes else ()
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *names)])
 
     def run(batches):
         for batch in batches:
             fps = [simhash(x.as_py(), shingle) for x in batch.column("text")]
-            yield batch_of(schema, batch.column("doc_id"), np.array(fps, np.uint64).view(np.int64))
+            yield batch_of(schema, batch.column("doc_id"), np.array(fps, np.uint64).view(np.int64), *(batch.column(c) for c in names))
 
-    return texts(df).mapInArrow(run, "doc_id long, fp long")
+    rows = texts(df)
+    return (rows.select("*", *text_hashes("text")) if with_hashes else rows).mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
 
 
 def ball(mask: int, reach: int) -> np.ndarray:
@@ -197,29 +198,38 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int = 3, large: int = 40
     return met.where("a <> b").union(whole.mapInArrow(lambda b: _stars(b, radius), "a long, b long")).distinct()
 
 
+def _homes(distinct: DataFrame, radius: int, large: int) -> DataFrame:
+    """(fp, root) of each fingerprint that links to another: root is the same for all that links reach."""
+    return components(links(distinct, radius, large=large)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+
+
 def near_duplicates(df: DataFrame, radius: int = 3, shingle: int = 3, large: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: 16 hex digits, and the smallest doc_id that links reach.
 
-    Null ids stay null and never become a component's id, unless a component has no other id.
+    Null ids stay null and never become a component's id, unless a component has no other id. Links run over fingerprints, so
+    rows without an id carry links like any other, and texts that share an id are linked only if they are alike.
     """
     marked = cut(fingerprints(df, shingle))
     # one row for each distinct fingerprint; grouped by more than the key so that a later join can split a hot key
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = links(distinct, radius, large=large)
-    a, b = (distinct.select(F.col("fp").alias(c), F.col("first_id").alias(f"{c}_id")) for c in "ab")
-    by_id = found.join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).where("a is not null and b is not null")
-    reached = components(by_id)
-    home = cut(distinct.join(reached, distinct.first_id == reached.node, "left").select("fp", F.coalesce("component", "first_id").alias("component_id")))
+    rooted = distinct.join(_homes(distinct, radius, large), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).repartition(F.xxhash64("root"))  # as in `components`
+    home = cut(rooted.join(least, "root").select("fp", "component_id"))
     return marked.join(home, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, radius: int = 3, shingle: int = 3, large: int = 4096) -> DataFrame:
     """`df` with one document of each component, that of the smallest id; all columns stay.
 
-    Rows without an id count as one document, which goes only if all of its texts link to some with an id. Rows that repeat id
-    and text are one document. Decisions are made over ids; texts move once, to meet them.
+    A document is an id with a text: rows that repeat both are one. Among documents of the smallest id, and where no document of
+    a component has an id, a hash of the text chooses. Decisions are made over ids and hashes; texts move once, to meet them.
     """
     key = "_".join([*df.columns, "key"])  # a name that is free
-    stays = near_duplicates(df, radius, shingle, large).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key)).distinct()
-    keyed = df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return keyed.join(stays, key, "left_semi").withColumn(f"{key}_text", F.xxhash64("text")).dropDuplicates([key, f"{key}_text"]).select(*df.columns)
+    one = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("a"), F.col("b"))
+    marked = fingerprints(df, shingle, with_hashes=True)
+    distinct = cut(marked.groupBy("fp").agg(F.min(one).alias("first")))
+    rooted = distinct.join(_homes(distinct, radius, large), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{c}").alias(f"{key}_{c}") for c in ("unnamed", "id", "a", "b")))
+    names = [f"{key}_{c}" for c in ("unnamed", "id", "a", "b")]
+    keyed = df.select("*", F.col("doc_id").isNull().alias(names[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(names[1]), *text_hashes("text", names[2:]))
+    return keyed.join(stays, names, "left_semi").dropDuplicates(names).select(*df.columns)
