@@ -16,8 +16,9 @@ of the suffixes that stops at that depth. Suffixes of all places are never shuff
 Strings are compared byte by byte, but for equal extents, which are told by 128 bits of hashes. Each extent's repeated
 strings all contain its gram, so they cover one interval. Intervals are merged per document at the end.
 
-Nulls: a null text is empty. A null doc_id counts as one id before all others. Ids have to identify documents; equal rows
-that repeat one get equal results and are no repetition of each other. Empty tables give empty results.
+Nulls: a null text is empty. A null doc_id comes before all others. A document is an id with a text (`mark`, a hash of the
+text, tells those of one id apart and orders them): texts that share an id, or have none, are documents of their own. Rows that
+repeat both id and text get equal results and are no repetition of each other. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, kept, mixed, texts
+from .shared import batch_of, kept, mixed, text_hashes, texts
 
 DEPTH, GRAM = 100, 32
 #: Bytes of a document that are searched for anchors at a time.
@@ -93,8 +94,25 @@ def anchors(data: np.ndarray, hashes: _Hashes, depth: int = DEPTH, gram: int = G
         yield grams[at], extent, first + start, at - first, more
 
 
-_ANCHORS = pa.schema([(c, pa.int64()) for c in ("key", "extent", "doc_id", "place", "until")])
-_FOUND = pa.schema([(c, pa.int64()) for c in ("key", "doc_id", "place", "until")])
+_ANCHORS = pa.schema([(c, pa.int64()) for c in ("key", "extent", "doc_id", "mark", "place", "until")])
+_FOUND = pa.schema([(c, pa.int64()) for c in ("key", "doc_id", "mark", "place", "until")])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{c} {'binary' if c == 'data' else 'long'}" for c in schema.names)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before in any column; the first one does."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _leaders(begin: np.ndarray) -> np.ndarray:
+    """For each row the last one at which a group begins."""
+    return np.maximum.accumulate(np.where(begin, np.arange(len(begin)), 0))
 
 
 def _pack(first, before, more):
@@ -105,20 +123,20 @@ def _unpack(place):
     return place >> 16, place >> 8 & 255, place & 255
 
 
-def _joined(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+def _joined(ids: np.ndarray, marks: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     """Intervals of the same document that touch, as one. They come sorted by document and start."""
     if not len(ids):
-        return ids, lo, hi
-    order = np.lexsort((lo, ids))
-    ids, lo, hi = ids[order], lo[order], hi[order]
-    new = np.ones(len(ids), bool)
+        return ids, marks, lo, hi
+    order = np.lexsort((lo, marks, ids))
+    ids, marks, lo, hi = ids[order], marks[order], lo[order], hi[order]
+    new = _changes(ids, marks)
     reach = hi.copy()
-    edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    edge = np.flatnonzero(new)
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
         reach[a:b] = np.maximum.accumulate(hi[a:b])
-    new[1:] = (ids[1:] != ids[:-1]) | (lo[1:] > reach[:-1])
+    new[1:] |= lo[1:] > reach[:-1]
     at = np.flatnonzero(new)
-    return ids[at], lo[at], reach[np.concatenate((at[1:] - 1, [len(ids) - 1]))]
+    return ids[at], marks[at], lo[at], reach[np.concatenate((at[1:] - 1, [len(ids) - 1]))]
 
 
 def _file(batches, depth: int, gram: int):
@@ -128,27 +146,24 @@ def _file(batches, depth: int, gram: int):
     count = 0
 
     def settle():
-        key, extent, first, before, more, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+        key, extent, first, before, more, ids, marks = (np.concatenate(c) for c in zip(*held, strict=True))
         place = _pack(first, before, more)
-        order = np.lexsort((place, ids, extent, key))
-        key, extent, place, ids = key[order], extent[order], place[order], ids[order]
-        same = np.concatenate(([False], (key[1:] == key[:-1]) & (extent[1:] == extent[:-1])))
-        twice = np.concatenate(([False], (ids[1:] == ids[:-1]) & (place[1:] == place[:-1]))) & same
-        begin = ~same
-        yield batch_of(_ANCHORS, key[begin].view(np.int64), extent[begin].view(np.int64), ids[begin], place[begin], np.zeros(begin.sum(), np.int64))
-        again = same & ~twice
+        order = np.lexsort((place, marks, ids, extent, key))
+        key, extent, place, ids, marks = (x[order] for x in (key, extent, place, ids, marks))
+        begin = _changes(key, extent)
+        yield batch_of(_ANCHORS, key[begin].view(np.int64), extent[begin].view(np.int64), ids[begin], marks[begin], place[begin], np.zeros(begin.sum(), np.int64))
         # a row that repeats the first one itself is no repetition; equal rows of another repeat are settled with it
-        leader = np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))
-        again &= (ids != ids[leader]) | (place != place[leader])
+        leader = _leaders(begin)
+        again = _changes(key, extent, ids, marks, place) & ((ids != ids[leader]) | (marks != marks[leader]) | (place != place[leader]))
         lo, _, span = _unpack(place[again])
-        who, lo, hi = _joined(ids[again], lo, lo + span + depth)
-        yield batch_of(_ANCHORS, mixed(who.view(np.uint64)).view(np.int64), np.zeros(len(who), np.int64), who, lo, hi)
+        who, mark, lo, hi = _joined(ids[again], marks[again], lo, lo + span + depth)
+        yield batch_of(_ANCHORS, mixed((who ^ mark).view(np.uint64)).view(np.int64), np.zeros(len(who), np.int64), who, mark, lo, hi)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for doc_id, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), strict=True):
             data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
             for part in anchors(data, hashes, depth, gram):
-                held.append((*part, np.full(len(part[0]), doc_id, np.int64)))
+                held.append((*part, np.full(len(part[0]), doc_id, np.int64), np.full(len(part[0]), mark, np.int64)))
                 count += len(part[0])
             if count >= HELD:
                 yield from settle()
@@ -160,32 +175,33 @@ def _file(batches, depth: int, gram: int):
 def _meet(batches, depth: int):
     """Reads anchors in order of key, extent, document and place. Gives intervals, and one anchor for each extent where a key has
     two or more of them; remembers only the row before."""
-    last = None  # key, extent, doc_id, place of the last extent's first anchor, and whether it was given out
+    last = None  # key, extent, doc_id, mark, place of the last extent's first anchor, and whether it was given out
     for batch in batches:
-        key, extent, ids, place, until = (batch.column(c).to_numpy() for c in _ANCHORS.names)
+        *columns, until = (batch.column(c).to_numpy() for c in _ANCHORS.names)
         done = until > 0
-        out = [(np.zeros(done.sum(), np.int64), ids[done], place[done], until[done])]
-        key, extent, ids, place = (x[~done] for x in (key, extent, ids, place))
-        if len(key):
+        out = [(np.zeros(done.sum(), np.int64), *(x[done] for x in columns[2:]), until[done])]
+        columns = [x[~done] for x in columns]
+        if len(columns[0]):
             if last is not None:
-                key, extent, ids, place = (np.concatenate(([x], y)) for x, y in zip(last[:4], (key, extent, ids, place), strict=True))
-            given = last is not None and last[4]
-            same = np.concatenate(([False], (key[1:] == key[:-1]) & (extent[1:] == extent[:-1])))
-            leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-            again = same & ((ids != ids[leader]) | (place != place[leader]))
+                columns = [np.concatenate(([x], y)) for x, y in zip(last[:5], columns, strict=True)]
+            given = last is not None and last[5]
+            key, extent, ids, marks, place = columns
+            begin = _changes(key, extent)
+            leader = _leaders(begin)
+            again = ~begin & ((ids != ids[leader]) | (marks != marks[leader]) | (place != place[leader]))
             lo, _, span = _unpack(place[again])
-            who, lo, hi = _joined(ids[again], lo, lo + span + depth)
-            out.append((np.zeros(len(who), np.int64), who, lo, hi))
-            key, extent, ids, place = (x[~same] for x in (key, extent, ids, place))
+            who, mark, lo, hi = _joined(ids[again], marks[again], lo, lo + span + depth)
+            out.append((np.zeros(len(who), np.int64), who, mark, lo, hi))
+            key, extent, ids, marks, place = (x[begin] for x in columns)
             near = key[1:] == key[:-1]
             several = np.concatenate(([given], near)) | np.concatenate((near, [False]))
-            last = (key[-1], extent[-1], ids[-1], place[-1], bool(several[-1]))
+            last = (key[-1], extent[-1], ids[-1], marks[-1], place[-1], bool(several[-1]))
             several[0] &= not given
-            out.append((key[several], ids[several], place[several], np.zeros(several.sum(), np.int64)))
+            out.append((key[several], ids[several], marks[several], place[several], np.zeros(several.sum(), np.int64)))
         yield batch_of(_FOUND, *(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
-_EXTENTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("data", pa.binary())])
+_EXTENTS = pa.schema([*((c, pa.int64()) for c in ("key", "doc_id", "mark", "place")), ("data", pa.binary())])
 
 
 def _extents(batches, depth: int):
@@ -193,17 +209,17 @@ def _extents(batches, depth: int):
     hashes = _Hashes()
     for batch in batches:
         out, size = [], 0
-        for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
+        for doc_id, mark, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
             data = (text.as_py() or "").encode()
             for x in found:
                 first, before, more = _unpack(x["place"])
                 extent = data[first : first + more + depth]
                 if not x["hot"]:
-                    out.append((x["key"], doc_id, x["place"], extent))
-                elif len(extent) == more + depth:
+                    out.append((x["key"], doc_id, mark, x["place"], extent))
+                else:
                     sums, each = hashes.sums(np.frombuffer(extent, np.uint8)), np.arange(more + 1)
                     for k, h in enumerate(hashes.of(sums, each, each + depth).view(np.int64).tolist()):
-                        out.append((h, doc_id, _pack(first + k, 255, 0), extent[k : k + depth]))
+                        out.append((h, doc_id, mark, _pack(first + k, 255, 0), extent[k : k + depth]))
                 size += len(extent)
             if size > 4_000_000:
                 yield batch_of(_EXTENTS, *zip(*out, strict=True))
@@ -233,43 +249,42 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, label: np.ndarray, depth:
 
 def _sort_extents(batches, depth: int):
     """Intervals of repeated strings inside groups of equal keys."""
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[tuple[int, int, int, int, bytes]] = []
     strings, key, seen = 0, None, {}
 
     def passes():
-        keys, ids = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:2])
-        first, before, more = _unpack(np.array([x[2] for x in held], np.int64))
-        whole = np.array([len(x[3]) for x in held]) == more + depth  # else the id stands for several documents
-        base = np.cumsum([0, *(len(x[3]) for x in held)])[:-1]
-        data = np.frombuffer(b"".join(x[3] for x in held) + bytes(8), np.uint8)
-        row = np.repeat(np.arange(len(held)), np.where(whole, more + 1, 0))
-        k = np.arange(len(row)) - np.repeat(np.cumsum(np.where(whole, more + 1, 0)) - np.where(whole, more + 1, 0), np.where(whole, more + 1, 0))
-        group = np.cumsum(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, ids, marks, places = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:4])
+        first, before, more = _unpack(places)
+        base = np.cumsum([0, *(len(x[4]) for x in held)])[:-1]
+        data = np.frombuffer(b"".join(x[4] for x in held) + bytes(8), np.uint8)
+        row = np.repeat(np.arange(len(held)), more + 1)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
+        group = np.cumsum(_changes(keys))
         alive, label = radix_groups(data, base[row] + k, group[row] * 256 + (before[row] - k + 128), depth)
         place = first[row[alive]] + k[alive]
-        who = ids[row[alive]]
-        order = np.lexsort((place, who, label))
-        label, who, place = label[order], who[order], place[order]
-        leader = np.maximum.accumulate(np.where(np.concatenate(([True], label[1:] != label[:-1])), np.arange(len(label)), 0)) if len(label) else label
-        again = (who != who[leader]) | (place != place[leader])
-        return _joined(who[again], place[again], place[again] + depth)
+        who, mark = ids[row[alive]], marks[row[alive]]
+        order = np.lexsort((place, mark, who, label))
+        label, who, mark, place = label[order], who[order], mark[order], place[order]
+        leader = _leaders(_changes(label))
+        again = (who != who[leader]) | (mark != mark[leader]) | (place != place[leader])
+        return _joined(who[again], mark[again], place[again], place[again] + depth)
 
-    def result(who, lo, hi):
-        return batch_of(_FOUND, np.zeros(len(who), np.int64), who, lo, hi)
+    def result(who, mark, lo, hi):
+        return batch_of(_FOUND, np.zeros(len(who), np.int64), who, mark, lo, hi)
 
     for batch in batches:
-        late: list[tuple[int, int, int]] = []
+        late: list[tuple[int, int, int, int]] = []
         for x in zip(*(batch.column(c).to_pylist() for c in _EXTENTS.names), strict=True):
             if x[0] != key:
                 key, seen = x[0], {}
                 if strings > SORTED_AT_ONCE:
                     yield result(*passes())
                     held, strings = [], 0
-            first, before, more = _unpack(x[2])
+            first, before, more = _unpack(x[3])
             if before == 255:  # a whole string: the first that is read is the first of all
-                earlier = seen.setdefault(x[3], (x[1], first))
-                if earlier != (x[1], first):
-                    late.append((x[1], first, first + depth))
+                earlier = seen.setdefault(x[4], (x[1], x[2], first))
+                if earlier != (x[1], x[2], first):
+                    late.append((x[1], x[2], first, first + depth))
             else:
                 held.append(x)
                 strings += more + 1
@@ -280,20 +295,20 @@ def _sort_extents(batches, depth: int):
 
 
 def repeated(df: DataFrame, depth: int = DEPTH, gram: int = GRAM, large: int = 2048) -> DataFrame:
-    """(doc_id, spans array<struct<lo, hi>>): the intervals of bytes that repeat earlier strings of `depth` bytes, by document.
+    """(doc_id, mark, spans array<struct<lo, hi>>): the intervals of bytes that repeat earlier strings of `depth` bytes, by document.
 
-    `df` has doc_id (NO_ID for null) and text. Documents without any are left out.
+    `df` has doc_id (NO_ID for null), mark and text. Documents without any are left out.
     """
-    filed = df.mapInArrow(lambda b: _file(b, depth, gram), "key long, extent long, doc_id long, place long, until long")
-    met = kept(filed.repartition("key").sortWithinPartitions("key", "extent", "doc_id", "place").mapInArrow(lambda b: _meet(b, depth), "key long, doc_id long, place long, until long"))
+    filed = df.mapInArrow(lambda b: _file(b, depth, gram), _ddl(_ANCHORS))
+    met = kept(filed.repartition("key").sortWithinPartitions("key", "extent", "doc_id", "mark", "place").mapInArrow(lambda b: _meet(b, depth), _ddl(_FOUND)))
     open_ = met.where("until = 0")
     hot = open_.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("key", F.lit(True).alias("hot"))
     hot = hot.repartition(F.xxhash64("key"))  # dealt anew, so that the join has an exchange on both sides and can split a large key
-    wanted = open_.join(hot, "key", "left").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
-    extents = df.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda b: _extents(b, depth), "key long, doc_id long, place long, data binary")
-    late = extents.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(lambda b: _sort_extents(b, depth), "key long, doc_id long, place long, until long")
-    spans = met.where("until > 0").union(late).select("doc_id", F.struct(F.col("place").alias("lo"), F.col("until").alias("hi")).alias("span"))
-    return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    wanted = open_.join(hot, "key", "left").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("key", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found"))
+    extents = df.join(wanted, ["doc_id", "mark"]).select("doc_id", "mark", "text", "found").mapInArrow(lambda b: _extents(b, depth), _ddl(_EXTENTS))
+    late = extents.repartition("key").sortWithinPartitions("key", "doc_id", "mark", "place").mapInArrow(lambda b: _sort_extents(b, depth), _ddl(_FOUND))
+    spans = met.where("until > 0").union(late).select("doc_id", "mark", F.struct(F.col("place").alias("lo"), F.col("until").alias("hi")).alias("span"))
+    return spans.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("data", pa.binary()), ("kept_sha256", pa.string())])
@@ -325,8 +340,8 @@ def _cut_out(batches, with_data: bool):
 def remove_repeats(df: DataFrame, depth: int = DEPTH, gram: int = GRAM, large: int = 2048, with_data: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, data, kept_sha256) of each row: what is left of its text (null without
     `with_data`) and what went."""
-    docs = texts(df).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    return docs.join(repeated(docs, depth, gram, large), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    docs = texts(df).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), *text_hashes("text", ("mark",)), "text")
+    return docs.join(repeated(docs, depth, gram, large), ["doc_id", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(
         lambda b: _cut_out(b, with_data), "doc_id long, n_bytes long, n_removed long, n_spans long, data binary, kept_sha256 string"
     )
 
@@ -337,9 +352,9 @@ def without_repeats(df: DataFrame, depth: int = DEPTH, gram: int = GRAM, large:
     A character of which only some bytes are left goes as a whole. Null texts stay null.
     """
     key = "_".join([*df.columns, "key"])  # a name that is free
-    keyed = df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    spans = repeated(keyed.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), depth, gram, large)
-    met = keyed.join(spans.select(F.col("doc_id").alias(key), F.col("spans").alias(f"{key}_spans")), key, "left").select(*df.columns, f"{key}_spans")
+    keyed = df.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(key), *text_hashes("text", (f"{key}_mark",)))
+    spans = repeated(keyed.select(F.col(key).alias("doc_id"), F.col(f"{key}_mark").alias("mark"), F.col("text").cast("string").alias("text")), depth, gram, large)
+    met = keyed.join(spans.select(F.col("doc_id").alias(key), F.col("mark").alias(f"{key}_mark"), F.col("spans").alias(f"{key}_spans")), [key, f"{key}_mark"], "left").select(*df.columns, f"{key}_spans")
 
     def run(batches):
         for batch in batches:
