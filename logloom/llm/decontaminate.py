@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from .shared import batch_of, texts
 
-#: Stands for a null id in joins.
-NO_ID = -(1 << 63)
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the number of matches in a cell that holds it below the score.
 _BITS = 24
@@ -150,6 +148,10 @@ def _blocks(items: DataFrame, block_bytes: int):
         yield block
 
 
+def _items(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+
+
 _FOUND = "doc_id long, item_id long, n_words long, n_matched long, similarity double"
 
 
@@ -157,16 +159,15 @@ def contaminated(df: DataFrame, items: DataFrame, *, similarity: float = 0.8, bl
     """(doc_id, item_id, n_words, n_matched, similarity) of each text and test item that are alike by `similarity` or more."""
     docs, out = texts(df), None
     spark = df.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    for block in _blocks(items, block_bytes):
+    for block in _blocks(_items(items), block_bytes):
         part = _against(docs, spark.sparkContext.broadcast(Seeds(block, similarity)), similarity)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], _FOUND)
 
 
-def _against(docs: DataFrame, sent, similarity: float) -> DataFrame:
+def _chosen(docs: DataFrame, sent):
+    """The block and what is chosen as its seeds after counting in how many texts each of its words occurs."""
     counts = pa.schema([("word", pa.int32()), ("n", pa.int64())])
-    found = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int64()), ("n_matched", pa.int64()), ("similarity", pa.float64())])
 
     def count(batches):
         seeds = sent.value
@@ -186,7 +187,13 @@ def _against(docs: DataFrame, sent, similarity: float) -> DataFrame:
     by_seed = sent.value.by_seed(texts_with)
     is_seed = np.zeros(len(texts_with) + 1, bool)
     is_seed[np.array(list(by_seed), np.int64)] = True
-    chosen = docs.sparkSession.sparkContext.broadcast((by_seed, is_seed))
+    return sent, docs.sparkSession.sparkContext.broadcast((by_seed, is_seed))
+
+
+def _against(docs: DataFrame, sent, similarity: float) -> DataFrame:
+    found = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int64()), ("n_matched", pa.int64()), ("similarity", pa.float64())])
+
+    _, chosen = _chosen(docs, sent)
 
     def search(batches):
         seeds = sent.value
@@ -198,8 +205,17 @@ def _against(docs: DataFrame, sent, similarity: float) -> DataFrame:
     return docs.mapInArrow(search, _FOUND)
 
 
-def clean(df: DataFrame, items: DataFrame, **parameters) -> DataFrame:
-    """`df` without the documents that contain a test item; all columns stay. Rows without an id count as one document."""
-    key = "_".join([*df.columns, "key"])  # a name that is free
-    found = contaminated(df, items, **parameters).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key)).distinct()
-    return df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(found, key, "left_anti").select(*df.columns)
+def clean(df: DataFrame, items: DataFrame, *, similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+    """`df` without the rows whose text contains a test item; all columns stay. Each row is judged by its own text, whatever its id."""
+    for block in _blocks(_items(items), block_bytes):
+        df = _left(df, *_chosen(texts(df), df.sparkSession.sparkContext.broadcast(Seeds(block, similarity))), similarity)
+    return df
+
+
+def _left(df: DataFrame, sent, chosen, similarity: float) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            dirty = [any(m[3] >= similarity for m in sent.value.matches(t.as_py(), *chosen.value)) for t in batch.column("text")]
+            yield batch.filter(pa.array([not d for d in dirty], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
