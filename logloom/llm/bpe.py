@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .shared import rows, texts
 
-#: Pieces and pairs that a worker remembers at most.
-REMEMBERED = 300_000
+#: Pieces and pairs that a worker remembers at most, and characters of the longest piece among them.
+REMEMBERED, LONGEST = 300_000, 64
 #: Finds a character besides ASCII (without separators that matchers treat differently) and Latin letters.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u024f]").search
 #: Characters of text that are handled at a time.
@@ -34,13 +34,16 @@ AT_A_TIME = 1 << 20
 
 
 class _Remembered(dict):
-    """A mapping that computes what it lacks; when it is full it keeps its older half, where the frequent keys are."""
+    """A mapping that computes what it lacks; when it is full it keeps its older half, where the frequent keys are. Long texts among
+    the keys (runs of letters or signs without a break) are computed each time, so that memory has a bound in bytes."""
 
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
 
     def __missing__(self, key):
+        if isinstance(key, str) and len(key) > LONGEST:
+            return self.compute(key)
         if len(self) >= REMEMBERED:
             kept = dict(islice(self.items(), REMEMBERED // 2))
             self.clear()
