@@ -2,16 +2,17 @@
 
 An ARC file starts with a version block, which says how many fields the header line of each record has (version 1: five,
 version 2: ten) and ends with its declared length; records follow one after the other. The converter reads them by these
-lengths, never by looking for marks in the content, and gives each a WARC record: an identifier made from its key, the time
-in ISO form, a type and digests of block and payload. Of records with equal payloads of at least `least` bytes, that with the
+lengths, never by looking for marks in the content, and gives each a WARC record: an identifier made from its place in the
+archive (file and number), which no other record has, the time in ISO form, a type and digests of block and payload. Of records with equal payloads of at least `least` bytes, that with the
 smallest key is the response and the others are revisits of it, which keep the HTTP header only.
 
-Archives are written and read by Spark's own writers and readers, a file for each partition, in the session's shared folder:
-records are values of the text writer, whose separator is what the formats put after a record, and files are read whole as
-binary and unpacked as a stream. So a task holds one packed file, and of its content one record at a time. Files are packed
-as a whole, not record by record.
+Archives are written and read by Spark's own writers and readers in the session's shared folder: a value of the text writer is
+a whole file of at most `FILE` bytes (or of one record), however much a partition holds, and files are read whole as binary and
+unpacked as a stream. So a task holds one packed file, and of its content one record at a time. Files are packed as a whole,
+not record by record.
 
-Which record is the first of its payload is found over digests alone; the payloads move once, to meet that decision.
+Which record is the first of its payload is found over digests alone. What follows from it is gathered by file, and meets the
+packed files; payloads are not shuffled.
 
 Nulls: a null html is the empty payload. A null url becomes `unknown:` and the key. A row without a key is always a response.
 Rows that repeat a key get a record each, and of the first key all are responses. Empty tables give archives without records.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch_of, rows, shared_folder
+from .shared import batch_of, kept, rows, shared_folder
 
 # Fixed values of the formats.
 ARC_FIELDS = {
@@ -40,6 +41,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The HTTP header that holds a record's key.
 KEY = "X-Page-Id"
 LEAST = 100
+#: Bytes of a file before packing.
+FILE = 24_000_000
 
 
 def _time(key: int | None) -> datetime:
@@ -157,9 +160,9 @@ def http_field(head: bytes, name: str) -> str | None:
 # ---- WARC ----
 
 
-def record_id(key: int | None, url: str, time: str) -> str:
-    name = f"key {key}" if key is not None else f"url {url} {time}"
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(name.encode()).digest()[:16], version=5)}>"
+def record_id(file: str, number: int) -> str:
+    """The identifier of the record that stands at this place of the archive it comes from."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{file} {number}'.encode()).digest()[:16], version=5)}>"
 
 
 def iso_time(arc_date: str) -> str:
@@ -168,13 +171,13 @@ def iso_time(arc_date: str) -> str:
     return datetime.strptime(digits, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def warc_record(header: dict[str, str], content: bytes, key: int | None, first: int | None) -> bytes:
-    """The WARC record of an ARC record; a revisit of the record with key `first` if that is given."""
+def warc_record(header: dict[str, str], content: bytes, own_id: str, first: int | None = None, first_id: str | None = None) -> bytes:
+    """The WARC record of an ARC record; a revisit of the record with key `first` and identifier `first_id` if these are given."""
     head, payload = http_parts(content)
     block, time = (content, iso_time(header["Archive-date"])) if first is None else (head, iso_time(header["Archive-date"]))
     fields = {
         "WARC-Type": "response" if first is None else "revisit",
-        "WARC-Record-ID": record_id(key, header["URL"], time),
+        "WARC-Record-ID": own_id,
         "WARC-Date": time,
         "WARC-Target-URI": header["URL"],
         "WARC-IP-Address": header["IP-address"],
@@ -182,7 +185,7 @@ def warc_record(header: dict[str, str], content: bytes, key: int | None, first:
         "WARC-Payload-Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}",
     }
     if first is not None:
-        fields |= {"WARC-Refers-To": record_id(first, "", ""), "WARC-Profile": REVISIT, "X-Refers-To-Key": str(first)}
+        fields |= {"WARC-Refers-To": first_id, "WARC-Profile": REVISIT, "X-Refers-To-Key": str(first)}
     fields |= {"Content-Type": "application/http;msgtype=response" if head else header["Content-type"], "Content-Length": str(len(block))}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block
 
@@ -205,13 +208,13 @@ def warc_records(packed: bytes):
 # ---- jobs ----
 
 
-def _write(values: DataFrame, folder: str, separator: str) -> None:
-    """Writes records as they are, each followed by the separator, a file for each partition."""
-    values.select(F.col("value").cast("string")).write.option("lineSep", separator).option("compression", "gzip").text(folder)
+def _write(files: DataFrame, folder: str) -> None:
+    """Writes each value as a file of its own, packed."""
+    files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(folder).select("path", "content")
+    return spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("file"), "content")
 
 
 def _some(spark: SparkSession, name: str) -> str:
@@ -221,80 +224,81 @@ def _some(spark: SparkSession, name: str) -> str:
 _VALUE = pa.schema([("value", pa.binary())])
 
 
-def _in_batches(values, most: int = 4_000_000):
-    held, size = [], 0
-    for v in values:
-        held.append(v)
-        size += len(v)
-        if size > most:
-            yield batch_of(_VALUE, held)
-            held, size = [], 0
+def _bundled(records, separator: bytes, most: int, begin=lambda n: b""):
+    """A row for each file: what `begin` says for its number, and records, each followed by the separator."""
+    held, size, number = [], 0, 0
+    for record in records:
+        if held and size + len(record) > most:
+            yield batch_of(_VALUE, [b"".join(held)])
+            held, size, number = [], 0, number + 1
+        if not held:
+            held.append(begin(number))
+        held += (record, separator)
+        size += len(record)
     if held:
-        yield batch_of(_VALUE, held)
+        yield batch_of(_VALUE, [b"".join(held)])
 
 
-def write_arc(pages: DataFrame, folder: str) -> None:
-    """Writes a record for each row (page_id, url, html); files by turns of version 1 and 2."""
+def write_arc(pages: DataFrame, folder: str, file_bytes: int = FILE) -> None:
+    """Writes a record for each row (page_id, url, html); partitions by turns in version 1 and 2."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
-        version, name = 1 + number % 2, f"pages-{number:05d}.arc"
+        part = TaskContext.get().partitionId()
+        version, name = 1 + part % 2, f"pages-{part:05d}"
+        records = (arc_record(version, url, key, (html or "").encode(), name) for key, url, html in rows(batches, "page_id", "url", "html"))
+        yield from _bundled(records, b"\n", file_bytes, lambda n: arc_version_block(version, f"{name}-{n:05d}.arc") + b"\n")
 
-        def records():
-            begun = False
-            for key, url, html in rows(batches, "page_id", "url", "html"):
-                if not begun:
-                    yield arc_version_block(version, name)
-                    begun = True
-                yield arc_record(version, url, key, (html or "").encode(), name)
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    _write(plain.mapInArrow(run, "value binary"), folder)
 
-        yield from _in_batches(records())
 
-    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    _write(plain.mapInArrow(run, "value binary"), folder, "\n")
+_PARSED = pa.schema([("file", pa.string()), ("number", pa.int64()), ("key", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64())])
 
 
-_PARSED = pa.schema([("key", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("header", pa.list_(pa.string())), ("content", pa.binary())])
+def _of_arc(packed: bytes):
+    """(number, key, payload, header, content) of each record of an ARC file."""
+    for number, (header, content) in enumerate(arc_records(packed)):
+        head, payload = http_parts(content)
+        key = http_field(head, KEY)
+        yield number, None if key is None else int(key), payload, header, content
 
 
-def read_arc(spark: SparkSession, folder: str, with_content: bool = True) -> DataFrame:
-    """(key, digest and n_bytes of the payload, header as names and values in turn, content) of each record."""
+def read_arc(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, number in it, key, digest and n_bytes of the payload) of each record."""
 
     def run(batches):
-        for (packed,) in rows(batches, "content"):
-            out, size = [], 0
-            for header, content in arc_records(packed):
-                head, payload = http_parts(content)
-                key = http_field(head, KEY)
-                out.append((None if key is None else int(key), hashlib.sha256(payload).hexdigest(), len(payload), [x for p in header.items() for x in p] if with_content else None, content if with_content else None))
-                size += len(content)
-                if size > 4_000_000 or len(out) >= 10_000:
-                    yield batch_of(_PARSED, *zip(*out, strict=True))
-                    out, size = [], 0
+        for file, packed in rows(batches, "file", "content"):
+            out = []
+            for number, key, payload, *_ in _of_arc(packed):
+                out.append((file, number, key, hashlib.sha256(payload).hexdigest(), len(payload)))
             if out:
                 yield batch_of(_PARSED, *zip(*out, strict=True))
 
-    return _files(spark, folder).mapInArrow(run, "key long, digest string, n_bytes long, header array<string>, content binary")
+    return _files(spark, folder).mapInArrow(run, "file string, number long, key long, digest string, n_bytes long")
 
 
-def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least: int = LEAST) -> None:
+def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least: int = LEAST, file_bytes: int = FILE) -> None:
     """Converts a folder of ARC files to one of WARC files."""
-    small = read_arc(spark, arc_folder, with_content=False).select("key", "digest", "n_bytes").where(F.col("n_bytes") >= least)
+    large = kept(read_arc(spark, arc_folder).where((F.col("n_bytes") >= least) & F.col("key").isNotNull()))
     # grouped by more than the later join's key, so that the join gets its own exchange and can split a hot digest
-    first = small.groupBy("digest", "n_bytes").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = small.select("key", "digest").join(first, "digest").where("key > first").select("key", "digest", "first").distinct()
-    records = read_arc(spark, arc_folder).join(again, ["key", "digest"], "left")
+    first = large.groupBy("digest", "n_bytes").agg(F.min(F.struct("key", "file", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = large.join(first, "digest").where("key > first.key").select("file", F.struct("number", "first").alias("one"))
+    decided = again.groupBy("file").agg(F.collect_list("one").alias("again"))  # as many as the file has records
 
     def run(batches):
         def out():
-            for key, header, content, first in rows(batches, "key", "header", "content", "first"):
-                yield warc_record(dict(zip(header[::2], header[1::2], strict=True)), content, key, first)
+            for file, packed, again in rows(batches, "file", "content", "again"):
+                firsts = {x["number"]: x["first"] for x in again or ()}
+                for number, _, _, header, content in _of_arc(packed):
+                    first = firsts.get(number)
+                    yield warc_record(header, content, record_id(file, number), *((first["key"], record_id(first["file"], first["number"])) if first else ()))
 
-        yield from _in_batches(out())
+        yield from _bundled(out(), b"\r\n\r\n", file_bytes)
 
-    _write(records.select("key", "header", "content", "first").mapInArrow(run, "value binary"), warc_folder, "\r\n\r\n")
+    files = _files(spark, arc_folder).join(decided, "file", "left").select("file", "content", "again")
+    _write(files.mapInArrow(run, "value binary"), warc_folder)
 
 
 _BACK = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string())])

@@ -35,9 +35,21 @@ def test_round_trip(spark, parts):
     assert sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(pages())
     ids = {r.page_id: r.record_id for r in got}
     assert len(set(ids.values())) == len(ids)
+    assert len({r.record_id for r in got}) == len(pages())
     assert {r.target_uri for r in got if r.page_id in (1, 2)} == {"http://a%20b/%0A", "unknown:2"}
 
 
+def test_files_have_a_bound(spark, tmp_path):
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string").coalesce(1)
+    W.write_arc(df, f"{tmp_path}/arc", 3000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in tmp_path.glob("arc/*.gz")]
+    assert len(sizes) > 3 and sorted(sizes)[-2] < 5000  # the longest page is a file by itself
+    W.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", file_bytes=3000)
+    got = W.read_warc(spark, f"{tmp_path}/warc").collect()
+    assert sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(pages())
+    assert len({r.record_id for r in got}) == len(pages())
+
+
 @pytest.mark.parametrize("version", [1, 2])
 @pytest.mark.parametrize("step", [1, 7, 1 << 16])
 def test_arc_by_length(version, step, monkeypatch):
