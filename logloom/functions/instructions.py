@@ -1,13 +1,12 @@
-"""Column functions over the text of instructions, `PC: (xx) body`."""
+"""Column functions over the text of instructions, `PC: (xx) body`. A tail is the text from the opcode on."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INSTRUCTION = r"^\s*(\d+):\s*(?:[0-9.]+\s+)?(\([0-9a-f]{2}\)\s.*)$"
-ACCESS = r"\*\(u(8|16|32|64) \*\)\(([^)]*)\)"
-OPERAND = r"\*\(u(?:8|16|32|64) \*\)\(r(\d+) ?([+-]?\d+)?\)"
+INSTRUCTION = r"^\s*(\d+):\s*(?:[0-9.]+\s+)?(\([0-9a-fA-F]{2}\).*)$"
+REGISTER = r"(\d{1,3})"
 
 
 def _found(c: Column, pattern: str, group: int) -> Column:
@@ -15,8 +14,12 @@ def _found(c: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def _number(c: Column, pattern: str, group: int = 1) -> Column:
+    return _found(c, pattern, group).try_cast("int")
+
+
 def pc_prefix(line: Column) -> Column:
-    return _found(line, r"^\s*(\d+):", 1).try_cast("int")
+    return _number(line, r"^\s*(\d+):")
 
 
 def is_instruction(line: Column) -> Column:
@@ -24,7 +27,7 @@ def is_instruction(line: Column) -> Column:
 
 
 def pc(line: Column) -> Column:
-    return _found(line, INSTRUCTION, 1).try_cast("int")
+    return _number(line, INSTRUCTION)
 
 
 def tail(line: Column) -> Column:
@@ -33,82 +36,166 @@ def tail(line: Column) -> Column:
 
 
 def opcode(tail_: Column) -> Column:
-    return _found(tail_, r"^\(([0-9a-f]{2})\)", 1)
+    return _found(tail_, r"^\(([0-9a-fA-F]{2})\)", 1)
+
+
+def opcode_body(tail_: Column) -> Column:
+    """The text up to a semicolon, opcode included."""
+    return F.trim(F.substring_index(tail_, ";", 1))
 
 
 def body(tail_: Column) -> Column:
     """What follows the opcode, up to a semicolon."""
-    return F.trim(F.regexp_replace(F.substring_index(tail_, ";", 1), r"^\([0-9a-f]{2}\)\s*", ""))
+    return F.trim(F.regexp_replace(F.substring_index(tail_, ";", 1), r"^\([0-9a-fA-F]{2}\)\s*", ""))
 
 
-def call_target(tail_: Column) -> Column:
-    return _found(tail_, r"\bcall\s+([^\s#]+)", 1)
+# ---- calls ----
 
 
-def is_exit(tail_: Column) -> Column:
-    return tail_.startswith("(95) exit")
+def call_target(tail_: Column) -> Column:
+    """The word behind the first word `call`, up to `#`."""
+    return _found(tail_, r"(?:^|\s)call\s+([^\s#]+)", 1)
 
 
-def access_width(tail_: Column) -> Column:
-    """Bytes of a memory access."""
-    return (_found(tail_, ACCESS, 1).try_cast("int") / 8).cast("int")
+def direct_call_target(tail_: Column) -> Column:
+    """The target of an instruction that is exactly a direct call."""
+    return _found(tail_, r"^\s*\(85\)\s+call\s+([^\s#]+)", 1)
 
 
-def is_load(tail_: Column) -> Column:
-    return tail_.contains("= *(")
+def is_exit(tail_: Column) -> Column:
+    return tail_.rlike(r"^\s*\(95\)\s+exit(?:\s|$)")
 
 
-def is_store(tail_: Column) -> Column:
-    return tail_.rlike(r"^\([0-9a-f]{2}\) \*\(u\d+ \*\)\([^)]*\) = ")
+# ---- registers ----
 
 
-def is_atomic(tail_: Column) -> Column:
-    return tail_.rlike(r"\b(?:lock|atomic\w*)\b")
+def register_token(token: Column) -> Column:
+    """The number of `rN`, whatever commas and semicolons follow."""
+    return _number(token, r"^r(\d+)[,;]*$")
 
 
-def base_register(tail_: Column) -> Column:
-    return _found(tail_, OPERAND, 1).try_cast("int")
+def write_token(token: Column) -> Column:
+    """As `register_token`, of `rN` or its lower half `wN`."""
+    return _number(token, r"^[rw](\d+)[,;]*$")
 
 
-def access_offset(tail_: Column) -> Column:
-    """The signed offset of a memory access; 0 for a bare register."""
-    return F.when(tail_.rlike(OPERAND), F.coalesce(_found(tail_, OPERAND, 2).try_cast("int"), F.lit(0)))
+def mentioned(text: Column) -> Column:
+    """All `rN` in a text, in order, wherever they stand."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"r(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
 
 
 def destination(tail_: Column) -> Column:
-    """The register that an assignment or update writes."""
-    return _found(body(tail_), r"^[rw](\d+) (?:\S{0,3})= ?", 1).try_cast("int")
+    """The register that an assignment writes."""
+    return _number(tail_, r"^[^)]*\)\s*[rw](\d+)[,;]* = ")
+
+
+def assigns(tail_: Column, register: Column) -> Column:
+    """Whether the text names the register first; a call assigns r0."""
+    first = _number(F.substring_index(tail_, ";", 1), r"^[^)]*\)\s*[rw](\d+) ")
+    return F.coalesce(first == register, F.lit(False)) | ((register == 0) & call_target(tail_).isNotNull())
 
 
 def writes(tail_: Column, register: Column) -> Column:
-    """Whether a register is written; a call writes r0 to r5."""
-    return F.coalesce(destination(tail_) == register, F.lit(False)) | (call_target(tail_).isNotNull() & (register <= 5))
+    """Whether an assignment or update writes the register; a call writes r0 to r5."""
+    called = tail_.rlike(r"^\s*(?:\(\S*\s+)?call(?:\s|$)")
+    written = _number(tail_, r"^\s*(?:\(\S*\s+)?[rw](\d+)[,;]*\s+\S*=(?:\s|$)")
+    return F.when(called, register <= 5).otherwise(F.coalesce(written == register, F.lit(False)))
+
+
+def _assigned(tail_: Column) -> Column:
+    """The right side of an assignment."""
+    return _found(F.substring_index(tail_, ";", 1), r"^[^)]*\)\s*\S.*? = (.*)$", 1)
 
 
 def copy_source(tail_: Column) -> Column:
-    return _found(body(tail_), r"^[rw]\d+ = [rw](\d+)$", 1).try_cast("int")
+    """The register that is copied whole into the destination."""
+    return F.when(destination(tail_).isNotNull(), register_token(F.trim(_assigned(tail_))))
+
+
+def single_source(tail_: Column) -> Column:
+    """The only register of a right side that starts with one."""
+    right = _assigned(tail_)
+    return F.when(destination(tail_).isNotNull() & right.rlike("^[rw]") & (F.size(mentioned(right)) == 1), F.get(mentioned(right), F.lit(0)))
 
 
 def added_register(tail_: Column) -> Column:
-    return _found(body(tail_), r"^[rw]\d+ \+= [rw](\d+)$", 1).try_cast("int")
+    return _number(tail_, r"(?:^|\s)r\d+[,;]* \+= r(\d+)[,;]*(?:\s|$)")
 
 
-def registers(tail_: Column) -> Column:
-    """All registers that the text mentions, in order."""
-    return F.transform(F.regexp_extract_all(tail_, F.lit(r"\b[rw](\d+)\b"), F.lit(1)), lambda x: x.try_cast("int"))
+def adds(tail_: Column, into: Column, register: Column) -> Column:
+    """Whether the text adds one register to another."""
+    return F.coalesce((_number(tail_, r"(?:^|\s)r(\d+)[,;]* \+= r\d+[,;]*(?:\s|$)") == into) & (added_register(tail_) == register), F.lit(False))
+
+
+def uses(tail_: Column, register: Column) -> Column:
+    """Whether `rN` is one of the text's words."""
+    return F.array_contains(F.split(tail_, "[^A-Za-z0-9]+"), F.concat(F.lit("r"), register.cast("string")))
+
+
+def reads(tail_: Column, register: Column) -> Column:
+    """Whether a register is mentioned in a memory operand, or in a text that assigns nothing."""
+    operand = access_operand(tail_)
+    return F.when(operand.isNotNull(), F.array_contains(mentioned(operand), register)).when(tail_.contains(" = "), False).otherwise(F.array_contains(mentioned(tail_), register))
 
 
 def branch_registers(tail_: Column) -> Column:
     """Registers of a conditional branch; null for other instructions."""
-    return F.when(tail_.rlike(r"\bif .* goto "), registers(_found(tail_, r"\bif (.*) goto ", 1)))
+    return F.when(tail_.rlike(r"(?:^|\s)if "), mentioned(F.substring_index(_found(tail_, r"(?:^|\s)if (.*)$", 1), " goto ", 1)))
 
 
 def branch_target(tail_: Column, at: Column) -> Column:
     """Where a jump goes, given its own pc."""
-    return F.try_add(at + 1, _found(tail_, r"goto pc([+-]\d+)", 1).try_cast("int"))
+    return F.try_add(at + 1, _number(tail_, r"goto pc([+-]\d+)"))
 
 
-def reads(tail_: Column, register: Column) -> Column:
-    """Whether a register is a memory operand's base or mentioned beside the one that an assignment writes."""
-    assigned = _found(body(tail_), r"^[rw]\d+ = (.*)$", 1)
-    return F.coalesce(base_register(tail_) == register, F.lit(False)) | F.array_contains(registers(F.coalesce(assigned, body(tail_))), register)
+# ---- memory ----
+
+
+def access_operand(tail_: Column) -> Column:
+    """What stands in brackets behind the type of a memory access."""
+    return F.trim(_found(tail_, r"\*\)\(([^)]*)\)", 1))
+
+
+def access_width(tail_: Column) -> Column:
+    """Bytes of a memory access."""
+    return F.floor(_number(tail_, r"^(?:(?!\*\(u).)*\*\(u(\d+) \*\)") / 8).cast("int")
+
+
+def is_load(tail_: Column) -> Column:
+    return tail_.contains("= *(")
+
+
+def is_store(tail_: Column) -> Column:
+    return ~is_load(tail_) & tail_.contains("*)(") & tail_.contains(" = ")
+
+
+def is_atomic(tail_: Column) -> Column:
+    text = opcode_body(tail_)
+    return (text.contains("atomic") & text.contains("*)(")) | text.contains("lock *(")
+
+
+def atomic_width(tail_: Column) -> Column:
+    """Bytes of an atomic memory access."""
+    return F.when(is_atomic(tail_), F.floor(_number(opcode_body(tail_), r"\(u(\d+) \*\)\(") / 8).cast("int"))
+
+
+def base_register(tail_: Column) -> Column:
+    return F.get(mentioned(access_operand(tail_)), F.lit(0))
+
+
+def access_offset(tail_: Column) -> Column:
+    """The signed offset of a memory access; 0 for a bare register."""
+    operand = access_operand(tail_)
+    plus, minus = _found(operand, r"\+\s*([+-]?\d+)\s*$", 1).try_cast("long"), _found(operand, r"-\s*(\d+)\s*$", 1).try_cast("long")
+    return F.when(operand.contains("+"), plus).when(operand.contains("-"), -minus).when(F.size(mentioned(operand)) > 0, F.lit(0).cast("long"))
+
+
+# ---- validation windows ----
+
+
+def opens_validation(line: Column) -> Column:
+    return line.rlike(r"^Validating .+?\(\) func#")
+
+
+def closes_validation(line: Column) -> Column:
+    return line.startswith("Func#") & line.contains(" is safe for any args")

@@ -13,102 +13,233 @@ from .binding import let
 from .instructions import _found
 
 _NESTED = r"\((?:[^()]|\([^()]*\))*\)"
-TOKEN = rf"(?:[^\s()]|{_NESTED})+"
-FROM = r"^from\s+(\d+) to (\d+)( \(speculative execution\))?:\s*(.*)$"
-PLAIN = r"^\s*(\d+):\s*(.*)$"
+TOKEN = rf"(?:[^\s()]|{_NESTED}|[()].*$)+"  # an open bracket takes the rest
+FROM = r"^from\s*(\d+)\s* to (\d+)( \(speculative execution\))?:\s*(.*)$"
+PLAIN = r"^\s*(\d+)\s*:\s*(.*)$"
 DELTA = rf"^((?:[^;()]|{_NESTED})*);\s*(.*)$"
 TEXT = r"^(?:R|frame|fp-|refs=|(?:async_)?cb$)"
+LOOKS = r"^from .*(?: R|: R|frame)|^\s*\d*\s*:\s*(?:[^;]*;\s*)?(?:R|frame|fp-|refs=|(?:async_)?cb\s*$)"
 REGISTER = r"^R(\d+)(_w)?=(.*)$"
-SLOT = r"^fp(-\d+)(?:_[rw]+)?=([?rm0dif]{8}$)?(.*)$"
-NUMBER = r"^(?:inv)?(-?(?:0x[0-9a-f]+|\d+))$"
-FRAME_POINTER = r"^fp(?:\[(\d+)\])?([+-]?\d+)?$"
-TYPED = r"^([A-Za-z_]\w*)\((.*)\)$"
+SLOT = r"^fp([+-]?\d+)(?:_[rw]+)?=(.*)$"
+SLOT_TYPES = "[?rm0dif]"
+NUMBER = r"^([+-]?(?:0[xX][0-9a-fA-F]+|\d+))$"
+FRAME_POINTER = r"^fp(?:\[(\d+)\])?([+-]?(?:0[xX][0-9a-fA-F]+|\d+))?$"
+TYPED = r"^([^(]*)\((.*)\)[^)]*$"
+#: One `name=` of a chain `a=b=value`, with the chain's value.
+ATTRIBUTE = r"(\w+?)(?:_value)?=(?=(?:\w+=)*((?:\([^()]*\)|[^,()=])*)(?:,|$))"
 U64 = "decimal(20,0)"
 
 
 def state(line: Column) -> Column:
     """(pc, from_pc, kind, speculative, frame, tokens) of a state line; null for others.
 
-    Kinds: edge_full, pc_full, branch_delta, insn_delta."""
+    Kinds: edge_full, pc_full, branch_delta, insn_delta. A line without any register, slot, reference or callback is none."""
     return let(F.trim(line), _state)
 
 
 def _state(t: Column) -> Column:
-    from_text, after = F.regexp_extract(t, FROM, 4), F.regexp_extract(t, PLAIN, 2)
-    is_from = t.rlike(FROM) & from_text.rlike(TEXT)
-    is_full = t.rlike(PLAIN) & after.rlike(TEXT)
-    insn, delta = F.regexp_extract(after, DELTA, 1), F.trim(F.regexp_extract(after, DELTA, 2))
-    is_delta = t.rlike(PLAIN) & ~is_full & delta.rlike(TEXT)
-    branch = insn.contains(" if ") & insn.contains(" goto ")
-    kind = F.when(is_from, "edge_full").when(is_full, "pc_full").when(is_delta & branch, "branch_delta").when(is_delta, "insn_delta")
-    text = F.when(is_from, from_text).when(is_full, after).otherwise(delta)
-    frame = F.coalesce(_found(text, r"^frame(\d+)\s*:", 1).try_cast("int"), F.lit(0))
-    tokens = F.regexp_extract_all(F.regexp_replace(text, r"^frame\d+\s*:\s*", ""), F.lit(TOKEN), F.lit(0))
-    pc = F.when(is_from, _found(t, FROM, 2)).otherwise(_found(t, PLAIN, 1)).try_cast("int")
-    return F.when(kind.isNotNull(), F.struct(pc.alias("pc"), F.when(is_from, _found(t, FROM, 1).try_cast("int")).alias("from_pc"), kind.alias("kind"), (F.coalesce(_found(t, FROM, 3).isNotNull(), F.lit(False)) & is_from).alias("speculative"), frame.alias("frame"), tokens.alias("tokens")))
+    forms = F.struct(t.alias("line"), F.when(t.startswith("from "), F.regexp_extract(t, FROM, 4)).alias("edge"), F.when(t.rlike(r"^\d+\s*:"), F.regexp_extract(t, PLAIN, 2)).alias("after"))
+    return let(forms, lambda x: let(_kind(x), lambda k: F.when(k["kind"].isNotNull(), _fields(x["line"], k))))
+
+
+def _kind(x: Column) -> Column:
+    after = x["after"]
+    is_from, is_full = F.coalesce(x["edge"].rlike(TEXT), F.lit(False)), F.coalesce(after.rlike(TEXT), F.lit(False))
+    delta = F.when(after.contains(";"), F.trim(F.regexp_extract(after, DELTA, 2)))
+    insn = F.substring_index(after, ";", 1)
+    text = F.when(is_from, x["edge"]).when(is_full, after).when(delta.rlike(TEXT), delta)
+    kind = F.when(is_from, "edge_full").when(is_full, "pc_full").when(insn.contains(" if ") & insn.contains(" goto "), "branch_delta").otherwise("insn_delta")
+    return let(text, lambda found: F.struct(found.alias("text"), F.when(found.isNotNull(), kind).alias("kind")))
+
+
+def _fields(t: Column, k: Column) -> Column:
+    is_from = k["kind"] == "edge_full"
+    framed = k["text"].startswith("frame")
+    frame = F.coalesce(F.when(framed, _found(k["text"], r"^frame(\d+)\s*:", 1).try_cast("int")), F.lit(0))
+    tokens = F.regexp_extract_all(F.when(framed, F.regexp_replace(k["text"], r"^frame\d+\s*:\s*", "")).otherwise(k["text"]), F.lit(TOKEN), F.lit(0))
+    pc = F.when(is_from, _found(t, FROM, 2)).otherwise(F.trim(F.substring_index(t, ":", 1))).try_cast("int")
+    return F.struct(pc.alias("pc"), F.when(is_from, _found(t, FROM, 1).try_cast("int")).alias("from_pc"), k["kind"].alias("kind"), (is_from & t.contains(" (speculative execution):")).alias("speculative"), frame.alias("frame"), tokens.alias("tokens"))
+
+
+def malformed(line: Column) -> Column:
+    """Whether a line looks like a state and is none, or has nothing that a state could hold."""
+
+    def check(t: Column) -> Column:
+        found = _state(t)
+        empty = ~F.exists(found["tokens"], lambda x: holds(x))
+        return F.coalesce(F.when(found.isNull(), t.rlike(LOOKS) & t.contains(":")).otherwise(empty), F.lit(False))
+
+    return let(F.trim(line), check)
+
+
+def holds(token: Column) -> Column:
+    """Whether a token is a register or slot with a valid value, a callback mark or a count of references."""
+    register = token.rlike(REGISTER) & _valid(F.regexp_extract(token, REGISTER, 3))
+    slot = token.rlike(SLOT) & _valid(F.regexp_replace(F.regexp_extract(token, SLOT, 2), rf"^{SLOT_TYPES}{{8}}(?=.)", ""))
+    return register | slot | token.isin("cb", "async_cb") | token.rlike(r"^refs=(?:\d+(?:,\d+)*)$")
+
+
+def _valid(value: Column) -> Column:
+    """A frame pointer needs a number for its offset, and a type with an opening bracket a closing one."""
+    v = F.regexp_replace(value, "^P", "")
+    return F.when(v.rlike(r"^fp(?!\()"), v.rlike(FRAME_POINTER)).otherwise(~v.contains("(") | v.contains(")"))
+
+
+# ---- numbers ----
 
 
 def unsigned(text: Column) -> Column:
     """Decimal or hexadecimal digits as an unsigned 64-bit number; negative ones wrap."""
-    plain = F.when(text.rlike("^-?0x"), F.conv(F.regexp_replace(text, "^-?0x", ""), 16, 10)).otherwise(F.regexp_replace(text, "^-", "")).try_cast(U64)
-    wrapped = (F.lit("18446744073709551616").cast("decimal(21,0)") - plain).cast("decimal(21,0)").try_cast(U64)
-    return F.when(text.startswith("-") & (plain > 0), wrapped).otherwise(plain)
+
+    def wrapped(x: Column) -> Column:
+        return F.when(x["minus"] & (x["n"] > 0), (F.lit("18446744073709551616").cast("decimal(21,0)") - x["n"]).cast("decimal(21,0)").try_cast(U64)).otherwise(x["n"])
+
+    return F.when(text.isNotNull(), let(text, lambda t: let(F.struct(t.startswith("-").alias("minus"), _magnitude(F.ltrim(t, F.lit("+-"))).alias("n")), wrapped)))
+
+
+def _magnitude(digits: Column) -> Column:
+    """Digits without a sign, up to 64 bits; null for what is none."""
+
+    def value(d: Column) -> Column:
+        hexadecimal = F.when(F.length(d) <= 18, F.when(d.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(d, 3, 16), 16, 10).try_cast(U64)))
+        decimal = F.when(d.rlike(r"^\d{1,20}$"), d.try_cast(U64))
+        return F.when(d.startswith("0x") | d.startswith("0X"), hexadecimal).otherwise(F.when(decimal <= F.lit("18446744073709551615").cast(U64), decimal))
+
+    return let(digits, value)
+
+
+def natural(text: Column) -> Column:
+    """An unsigned 64-bit number that may have a plus; null if negative or malformed."""
+    return let(text, lambda t: F.when(~t.startswith("-"), _magnitude(F.ltrim(t, F.lit("+")))))
 
 
 def signed(text: Column) -> Column:
-    """As a signed 64-bit number; hexadecimal digits wrap."""
-    return F.when(text.rlike("^0x"), F.conv(F.substring(text, 3, 16), 16, -10).try_cast("long")).otherwise(text.try_cast("long"))
+    """As a signed 64-bit number; hexadecimal digits wrap unless they have a minus."""
+
+    def value(t: Column) -> Column:
+        hexadecimal = F.when(t.startswith("-"), (-_magnitude(F.ltrim(t, F.lit("-"))).cast("decimal(21,0)")).try_cast("long")).otherwise(F.when(F.length(t) <= 19, F.conv(F.regexp_extract(t, "^[+]?0[xX]([0-9a-fA-F]{1,16})$", 1), 16, -10).try_cast("long")))
+        return F.when(t.rlike("^[+-]?0[xX]"), hexadecimal).when(t.rlike(r"^[+-]?\d+$"), t.try_cast("long"))
+
+    return let(text, value)
+
+
+def _bound32(number: Column, least: int, most: int) -> Column:
+    return F.when(number.between(least, most), number)
 
 
-def attribute(attributes: Column, name: str) -> Column:
-    """The value of the last `name=value`, of which several names may share one: `smin=umin=5`."""
-    pattern = rf"(?:^|[,=])\s*{name}(?:=[a-z_]\w*)*=(-?(?:0x[0-9a-f]+|\d+)|\([^()]*\))"
-    return F.when(attributes != "", F.try_element_at(F.regexp_extract_all(attributes, F.lit(pattern), F.lit(1)), F.lit(-1)))
+# ---- attributes ----
+
+
+def attributes(text: Column) -> Column:
+    """(names, values) of `a=1,b=c=2,d=(0x0; 0xff)`, last first; several names may share a value, `_value` behind one is dropped."""
+    text = F.regexp_replace(text, r"\bmem_size=", "sz=")
+    found = lambda k: F.reverse(F.regexp_extract_all(text, F.lit(ATTRIBUTE), F.lit(k)))
+    return F.struct(found(1).alias("names"), F.transform(found(2), lambda x: F.trim(x)).alias("values"))
+
+
+def attribute(pairs: Column, name: str) -> Column:
+    """The last value of a name, valid or not: an invalid one overwrites an earlier one."""
+    return F.get(pairs["values"], F.array_position(pairs["names"], name).cast("int") - 1)
 
 
 def register_state(value: Column, narrow: Column) -> Column:
-    """The state of a register or slot behind `=`: type, precision, exact value, known bits, bounds, offset and ids."""
-    return let(value, lambda v: _register_state(v, narrow))
-
-
-def _register_state(value: Column, narrow: Column) -> Column:
-    precise = value.rlike(r"^P[^A-Z]")
-    v = F.when(precise, F.substring(value, 2, 1 << 20)).otherwise(value)
-    number = _found(v, NUMBER, 1)
-    is_fp = v.rlike(FRAME_POINTER)
-    attributes = F.regexp_extract(v, TYPED, 2)  # empty for most registers, which then cost one search
-    kind = F.when(number.isNotNull(), "scalar").when(is_fp, "fp").otherwise(F.coalesce(_found(v, TYPED, 1), v))
-    kind = F.when(kind == "inv", "scalar").otherwise(kind)
-    tnum = attribute(attributes, "var_off")
-    bits, mask = unsigned(_found(tnum, r"^\(([^;]+);", 1)), unsigned(_found(tnum, r";\s*([^)]+)\)$", 1))
-    umin, umax = unsigned(attribute(attributes, "umin(?:_value)?")), unsigned(attribute(attributes, "umax(?:_value)?"))
-    exact = F.coalesce(unsigned(number), F.when(mask == 0, bits), F.when(umin == umax, umin))
-    integer = lambda name: attribute(attributes, name).try_cast("int")
+    """The state of a register or slot behind `=`: type, precision, exact value, known bits, bounds, offset and ids.
+
+    Each step names what the next one uses several times: texts, numbers, state."""
+    start = F.struct(value.startswith("P").alias("precise"), F.when(value.startswith("P"), F.substring(value, 2, 1 << 20)).otherwise(value).alias("v"), narrow.alias("narrow"))
+    return let(start, lambda x: let(_texts(x), lambda t: let(_numbers(t), lambda n: _register_state(t, n))))
+
+
+_BOUND_NAMES = ("smin", "smax", "umin", "umax", "smin32", "smax32", "umin32", "umax32")
+_SIZES = {"r": "packet_range", "vs": "map_value_size", "sz": "mem_size", "id": "id", "ref_id": "ref_id"}
+
+
+def _texts(x: Column) -> Column:
+    seen = F.struct(_found(x["v"], NUMBER, 1).alias("number"), x["v"].rlike(r"^fp(?!\()").alias("is_fp"), x["v"].contains("(").alias("typed"))
+    return let(seen, lambda s: _named(x, s))
+
+
+def _named(x: Column, s: Column) -> Column:
+    v = x["v"]
+    kind = F.when(s["number"].isNotNull() | (v == "inv") | v.startswith("inv("), "scalar").when(s["is_fp"], "fp").when(s["typed"], F.substring_index(v, "(", 1)).otherwise(v)
+    of = lambda pairs: F.struct(*(attribute(pairs, n).alias(n) for n in (*_BOUND_NAMES, *_SIZES, "off", "var_off")))
+    found = F.when(s["typed"], let(attributes(F.regexp_extract(v, TYPED, 2)), of))  # of an untyped register: none
+    return let(found, lambda a: F.struct(x["precise"].alias("precise"), x["narrow"].alias("narrow"), kind.alias("kind"), unsigned(s["number"]).alias("given"), F.when(s["is_fp"], _found(v, FRAME_POINTER, 2)).otherwise(a["off"]).alias("off"), F.when(s["is_fp"], _found(v, FRAME_POINTER, 1)).alias("frame"), a.alias("a")))
+
+
+def _numbers(t: Column) -> Column:
+    a = t["a"]
+    u32 = lambda c: let(natural(c).try_cast("long"), lambda x: _bound32(x, 0, (1 << 32) - 1))
+    i32 = lambda c: let(signed(c), lambda x: _bound32(x, -(1 << 31), (1 << 31) - 1).cast("int"))
+    parsers = {"smin": signed, "smax": signed, "umin": natural, "umax": natural, "smin32": i32, "smax32": i32, "umin32": u32, "umax32": u32}
+    tnum = let(F.struct(natural(F.trim(_found(a["var_off"], r"^\(([^;]+);", 1))).alias("bits"), natural(F.trim(_found(a["var_off"], r";([^)]+)\)$", 1))).alias("mask")), lambda x: F.when(x["bits"].isNotNull() & x["mask"].isNotNull(), x))
+    given = t["given"].cast("decimal(21,0)")
+    half = t["given"] % 4294967296
     return F.struct(
-        kind.alias("reg_type"), narrow.alias("narrow"), F.coalesce(precise, F.lit(False)).alias("precise"), F.when(kind == "scalar", exact).alias("exact"),
-        bits.alias("tnum_value"), mask.alias("tnum_mask"),
-        signed(attribute(attributes, "smin(?:_value)?")).alias("smin"), signed(attribute(attributes, "smax(?:_value)?")).alias("smax"), umin.alias("umin"), umax.alias("umax"),
-        integer("smin32(?:_value)?").alias("smin32"), integer("smax32(?:_value)?").alias("smax32"), attribute(attributes, "umin32(?:_value)?").try_cast("long").alias("umin32"), attribute(attributes, "umax32(?:_value)?").try_cast("long").alias("umax32"),
-        integer("r").alias("packet_range"), integer("vs").alias("map_value_size"), integer("mem_size|sz").alias("mem_size"),
-        F.coalesce(F.when(is_fp, F.coalesce(_found(v, FRAME_POINTER, 2).try_cast("int"), F.lit(0))), integer("off|imm")).alias("off"), _found(v, FRAME_POINTER, 1).try_cast("int").alias("source_frame"),
-        integer("id").alias("id"), integer("ref_obj_id").alias("ref_id"),
+        *(F.when(a[n].isNotNull(), f(a[n])).alias(n) for n, f in parsers.items()), *(F.when(a[n].isNotNull(), u32(a[n]).try_cast("int")).alias(name) for n, name in _SIZES.items()), i32(t["off"]).alias("off"), F.when(a["var_off"].isNotNull(), tnum).alias("tnum"),
+        half.cast("long").alias("half"), F.when(half > (1 << 31) - 1, half - (1 << 32)).otherwise(half).cast("int").alias("half_signed"), F.when(t["given"] > (1 << 63) - 1, given - F.lit("18446744073709551616").cast("decimal(21,0)")).otherwise(given).try_cast("long").alias("whole_signed"),
+    )
+
+
+def _register_state(t: Column, n: Column) -> Column:
+    """An exact value fills the bounds, of a narrow register only the 32-bit ones; bounds that meet make a scalar exact."""
+    given, is_scalar = t["given"], t["kind"] == "scalar"
+    inferred = F.coalesce(F.when(n["tnum"]["mask"] == 0, n["tnum"]["bits"]), F.when(n["umin"] == n["umax"], n["umin"]))
+    by_half = F.when(is_scalar & given.isNull() & inferred.isNull() & (n["umin32"] == n["umax32"]), n["umin32"].cast(U64))
+    whole = lambda c, name: F.coalesce(F.when(~t["narrow"], c), n[name]).alias(name)
+    return F.struct(
+        t["kind"].alias("reg_type"), (t["narrow"] | by_half.isNotNull()).alias("narrow"), F.coalesce(t["precise"], F.lit(False)).alias("precise"), F.when(is_scalar, F.coalesce(given, inferred, by_half)).alias("exact"),
+        n["tnum"]["bits"].alias("tnum_value"), n["tnum"]["mask"].alias("tnum_mask"), whole(n["whole_signed"], "smin"), whole(n["whole_signed"], "smax"), whole(given, "umin"), whole(given, "umax"),
+        *(F.coalesce(n[h], n[name]).alias(name) for h, name in (("half_signed", "smin32"), ("half_signed", "smax32"), ("half", "umin32"), ("half", "umax32"))),
+        *(n[name].alias(name) for name in ("packet_range", "map_value_size", "mem_size", "off")), t["frame"].try_cast("int").alias("source_frame"), n["id"].alias("id"), n["ref_id"].alias("ref_id"),
     )
 
 
 def registers(tokens: Column) -> Column:
-    """(reg, state) of each register token, r0 to r10."""
-    found = F.filter(tokens, lambda t: t.rlike(REGISTER))
-    return F.transform(found, lambda t: F.struct(_found(t, REGISTER, 1).try_cast("int").alias("reg"), register_state(F.regexp_extract(t, REGISTER, 3), F.regexp_extract(t, REGISTER, 2) != "").alias("state")))
+    """(reg, state) of each register token, r0 to r10; of one that is named twice, the last. Invalid values are left out."""
+    found = F.filter(tokens, lambda t: t.startswith("R") & t.rlike(REGISTER))
+    parts = F.transform(found, lambda t: F.struct(F.regexp_extract(t, REGISTER, 1).try_cast("int").alias("reg"), (F.regexp_extract(t, REGISTER, 2) != "").alias("narrow"), F.trim(F.regexp_extract(t, REGISTER, 3)).alias("value")))
+    valid = F.filter(parts, lambda x: _valid(x["value"]))
+    last = let(valid, lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["reg"] == x["reg"])))
+    return F.transform(last, lambda x: F.struct(x["reg"].alias("reg"), register_state(x["value"], x["narrow"]).alias("state")))
 
 
 def slots(tokens: Column) -> Column:
-    """(slot_off, slot_types, value) of each stack token; the value is the state's text."""
-    found = F.filter(tokens, lambda t: t.rlike(SLOT))
-    return F.transform(found, lambda t: F.struct(_found(t, SLOT, 1).try_cast("int").alias("slot_off"), _found(t, SLOT, 2).alias("slot_types"), _found(t, SLOT, 3).alias("value")))
+    """(slot_off, slot_types, value) of each stack token; the value is the state's text. A value may be the next token."""
+    is_value = lambda t: ~t.rlike(REGISTER) & ~t.rlike(SLOT) & ~t.rlike("^refs=|^(?:async_)?cb$")
+    types = rf"^({SLOT_TYPES}{{8}})(?=$|[^?rm0dif]|0x)|^({SLOT_TYPES}+)$"
+
+    def one(t: Column, i: Column) -> Column:
+        raw, after = F.trim(F.regexp_extract(t, SLOT, 2)), F.get(tokens, i + 1)
+        found = F.coalesce(_found(raw, types, 1), _found(raw, types, 2))
+        own = F.nullif(F.when(found.isNull(), raw).otherwise(F.substring(raw, F.length(found) + 1, 1 << 20)), F.lit(""))
+        value = F.coalesce(own, F.when(after.isNotNull() & is_value(after), after))
+        return F.when(t.rlike(SLOT), F.struct(F.regexp_extract(t, SLOT, 1).try_cast("int").alias("slot_off"), found.alias("slot_types"), value.alias("value")))
+
+    return F.filter(F.transform(tokens, one), lambda x: x.isNotNull() & x["slot_off"].isNotNull())
 
 
 def references(tokens: Column) -> Column:
     """Ids of live references, all of them or none: `refs=2,4`."""
-    text = F.get(F.filter(tokens, lambda t: t.startswith("refs=")), F.lit(0))
+    text = F.try_element_at(F.filter(tokens, lambda t: t.startswith("refs=")), F.lit(-1))
     ids = F.transform(F.split(F.substring(text, 6, 1 << 20), ","), lambda x: x.try_cast("long"))
-    return F.when(F.forall(ids, lambda x: x > 0), ids)
+    return F.when(F.forall(ids, lambda x: F.coalesce(x > 0, F.lit(False))), ids)
+
+
+def reference_count(tokens: Column) -> Column:
+    """`refs=3` as a number, or how many a list has."""
+    text = F.substring(F.get(F.filter(tokens, lambda t: t.startswith("refs=")), F.lit(0)), 6, 1 << 20)
+    return F.coalesce(text.try_cast("int"), F.when(text.rlike(r"^\d+(?:,\d+)+$"), F.size(F.split(text, ","))))
+
+
+def callback(tokens: Column) -> Column:
+    """sync or async where the state is inside a callback."""
+    return F.when(F.array_contains(tokens, "async_cb"), "async").when(F.array_contains(tokens, "cb"), "sync")
+
+
+def same_loop_state(a: Column, b: Column) -> Column:
+    """Whether two states (frame, tokens) are the same but for r10, and say enough: two registers, or one and a slot."""
+    plain = lambda s: F.array_sort(F.filter(s["tokens"], lambda t: ~t.startswith("R10=")))
+    n = F.size(F.filter(plain(a), lambda t: t.rlike(REGISTER)))
+    some_slot = F.exists(a["tokens"], lambda t: t.rlike(SLOT))
+    return F.coalesce((a["frame"] == b["frame"]) & (plain(a) == plain(b)) & ((n >= 2) | ((n >= 1) & some_slot)), F.lit(False))

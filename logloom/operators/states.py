@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import states as S
-from ..functions.lines import is_state
+from ..functions.lines import is_boundary
 
 
 def states(all_lines: DataFrame) -> DataFrame:
@@ -17,15 +17,30 @@ def states(all_lines: DataFrame) -> DataFrame:
 
 def malformed_logs(all_lines: DataFrame) -> DataFrame:
     """(log_id): logs with a line that looks like a state and is none. One such line makes all states of its log unusable."""
-    return all_lines.where(is_state(F.trim("line")) & S.state(F.col("line")).isNull()).select("log_id").distinct()
+    return all_lines.where(S.malformed(F.col("line"))).select("log_id").distinct()
+
+
+def usable_states(all_lines: DataFrame, branch_deltas: bool = True) -> DataFrame:
+    """The states of logs without a malformed state line; those after a conditional branch only if asked for."""
+    found = states(all_lines).join(malformed_logs(all_lines), "log_id", "left_anti")
+    return found if branch_deltas else found.where("kind <> 'branch_delta'")
 
 
 def register_states(found: DataFrame) -> DataFrame:
     """A row for each register of each state; of a register that a line names twice, the last."""
-    rows = found.select("log_id", "log_line", "pc", "frame", "kind", F.posexplode(S.registers(F.col("tokens"))).alias("at", "r")).select("log_id", "log_line", "pc", "frame", "kind", "at", "r.reg", "r.state.*")
-    w = Window.partitionBy("log_id", "log_line", "reg").orderBy(F.desc("at"))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "at")
+    rows = found.select("log_id", "log_line", "pc", "frame", "kind", F.explode(S.registers(F.col("tokens"))).alias("r"))
+    return rows.select("log_id", "log_line", "pc", "frame", "kind", "r.reg", "r.state.*")
 
 
 def slot_states(found: DataFrame) -> DataFrame:
     return found.select("log_id", "log_line", "pc", "frame", F.explode(S.slots(F.col("tokens"))).alias("s")).select("log_id", "log_line", "pc", "frame", "s.*")
+
+
+def loop_snapshots(all_lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """(log_id, current, previous): the states that a log prints as `cur state:` and `old state:` behind its error (log_id, line_no)
+    and before the next fragment."""
+    behind = all_lines.join(ends.select("log_id", F.col("line_no").alias("end")), "log_id").where("line_no > end").withColumn("line", F.trim("line"))
+    edge = F.min(F.when(is_boundary(F.col("line")), F.col("line_no"))).over(Window.partitionBy("log_id"))
+    behind = behind.withColumn("edge", edge).where("edge is null or line_no < edge")
+    first = lambda mark: F.min_by(F.when(F.col("line").startswith(mark), S.state(F.concat(F.lit("0: "), F.trim(F.substring("line", len(mark) + 1, 1 << 20))))), F.when(F.col("line").startswith(mark), F.col("line_no")))
+    return behind.groupBy("log_id").agg(first("cur state:").alias("current"), first("old state:").alias("previous")).where("current is not null and previous is not null")

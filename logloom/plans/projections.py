@@ -174,22 +174,29 @@ SLOTS = """slots AS (
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(part_id, range struct, size_of_value, offset, size): value ranges of parts, of which some bounds are missing."""
+    """(part_id, range, value_size, size): register states of parts, scalars and map values, of which some bounds are missing."""
     k, s = F.col("p_partkey"), F.col("p_size").cast("long")
-    null = F.lit(None)
+    u64 = "decimal(20,0)"
+    kind = F.when(k % 9 == 0, "map_value").when(k % 23 == 0, "pkt").otherwise("scalar")
     r = F.struct(
+        kind.alias("reg_type"), (k % 10 == 1).alias("narrow"), F.when((k % 11 == 0) & (kind == "scalar"), (s - 1) * (k % 13)).cast(u64).alias("exact"), F.when(k % 17 == 0, s).cast(u64).alias("tnum_value"),
         F.when(k % 3 != 0, s - 20).cast("long").alias("smin"), F.when(k % 4 != 0, s * (k % 7) * 100_000_000).cast("long").alias("smax"),
-        F.when(k % 5 == 0, s).cast("decimal(20,0)").alias("umin"), F.when(k % 2 == 0, s * (k % 5)).cast("decimal(20,0)").alias("umax"),
-        null.cast("int").alias("smin32"), F.when(k % 6 == 0, s).cast("int").alias("smax32"), null.cast("long").alias("umin32"), null.cast("long").alias("umax32"),
+        F.when(k % 5 == 0, s).cast(u64).alias("umin"), F.when(k % 2 == 0, s * (k % 5)).cast(u64).alias("umax"),
+        F.when(k % 13 == 0, s - 3).cast("int").alias("smin32"), F.when(k % 6 == 0, s).cast("int").alias("smax32"), F.when(k % 19 < 9, s % 2).cast("long").alias("umin32"), F.when(k % 19 < 12, s).cast("long").alias("umax32"),
+        F.when(k % 7 != 3, k % 16 - 2).cast("int").alias("off"), (k % 64 + 1).cast("int").alias("map_value_size"),
     )
-    return table(spark, sf_dir, "part").select(k.alias("part_id"), r.alias("range"), (k % 64 + 1).alias("value_size"), (k % 16).alias("off"), (k % 8 + 1).alias("size"))
+    return table(spark, sf_dir, "part").select(k.alias("part_id"), r.alias("range"), (k % 64 + 1).alias("value_size"), (k % 8 + 1).alias("size"))
 
 
 RANGES = """ranges AS (
-  SELECT p_partkey AS part_id, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size AS BIGINT) - 20 END AS smin, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS BIGINT) * (p_partkey % 7) * 100000000 END AS smax,
-         CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS BIGINT) END AS umin, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) * (p_partkey % 5) END AS umax,
-         CAST(NULL AS BIGINT) AS smin32, CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size AS BIGINT) END AS smax32, p_partkey % 64 + 1 AS value_size, p_partkey % 16 AS off, p_partkey % 8 + 1 AS size
-  FROM part
+  SELECT *, CASE WHEN k % 11 = 0 AND reg_type = 'scalar' THEN (s - 1) * (k % 13) END AS exact FROM (
+    SELECT p_partkey AS part_id, p_partkey AS k, CAST(p_size AS BIGINT) AS s, CASE WHEN p_partkey % 9 = 0 THEN 'map_value' WHEN p_partkey % 23 = 0 THEN 'pkt' ELSE 'scalar' END AS reg_type, p_partkey % 10 = 1 AS narrow,
+           CASE WHEN p_partkey % 17 = 0 THEN CAST(p_size AS BIGINT) END AS tnum_value, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size AS BIGINT) - 20 END AS smin, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS BIGINT) * (p_partkey % 7) * 100000000 END AS smax,
+           CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS BIGINT) END AS umin, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) * (p_partkey % 5) END AS umax,
+           CASE WHEN p_partkey % 13 = 0 THEN CAST(p_size AS BIGINT) - 3 END AS smin32, CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size AS BIGINT) END AS smax32,
+           CASE WHEN p_partkey % 19 < 9 THEN CAST(p_size AS BIGINT) % 2 END AS umin32, CASE WHEN p_partkey % 19 < 12 THEN CAST(p_size AS BIGINT) END AS umax32,
+           CASE WHEN p_partkey % 7 <> 3 THEN p_partkey % 16 - 2 END AS off, p_partkey % 64 + 1 AS value_size, p_partkey % 8 + 1 AS size
+    FROM part)
 )"""
 
 # ---- evaluation rows ----

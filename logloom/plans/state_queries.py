@@ -87,17 +87,19 @@ def live_refs_at_exit(spark, d):
 
 def range_unsafe_flags(spark, d):
     r = F.col("range")
-    return P.ranges(spark, d).select("part_id", R.may_be_negative(r).alias("negative"), R.too_large(r).alias("large"), R.unsafe(r).alias("unsafe"), R.bounded(r).alias("bounded"), R.may_include_zero(r).alias("zero"))
+    flags = {"negative": R.may_be_negative, "large": R.too_large, "unsafe": R.unsafe, "bounded": R.bounded, "zero": R.may_include_zero, "varies": R.variable_offset, "pointer": R.pointer_like, "unsafe_state": R.unsafe_state, "is_zero": R.is_zero}
+    return P.ranges(spark, d).select("part_id", *(f(r).alias(n) for n, f in flags.items()), R.exact_u64(r).cast("long").alias("exact64"), R.exact_u32(r).alias("exact32"), R.exact_scalar(r).cast("long").alias("exact_scalar"))
 
 
 def range_outside_required(spark, d):
     r = F.col("range")
-    return P.ranges(spark, d).select("part_id", R.lowest(r).alias("lo"), R.highest(r).alias("hi"), R.outside(r, F.lit(0), F.col("value_size")).alias("outside"), R.summary(r).alias("summary"))
+    lo = F.when(F.col("part_id") % 4 == 0, F.lit(-2)).otherwise(F.col("part_id") % 3)
+    return P.ranges(spark, d).select("part_id", R.lowest(r).alias("lo"), R.highest(r).alias("hi"), R.outside(r, lo, F.col("value_size")).alias("outside"), R.summary(r).alias("summary"), R.value_summary(r).alias("value_summary"), R.same(r, r.withField("smin", F.coalesce(r["smin"], F.lit(-19).cast("long")))).alias("same"))
 
 
 def map_value_oob(spark, d):
     r = F.col("range")
-    return P.ranges(spark, d).select("part_id", R.remaining(F.col("value_size"), F.col("off")).alias("remaining"), R.may_exceed(r, F.col("off"), F.col("size"), F.col("value_size")).alias("exceeds"), R.at_most(r, F.col("value_size")).alias("capped"))
+    return P.ranges(spark, d).select("part_id", R.remaining(F.col("value_size"), r["off"]).cast("long").alias("remaining"), R.variable_offset_max(r).cast("long").alias("widest"), R.access_may_exceed(r, F.col("size")).alias("exceeds"), R.offset_may_exceed(r).alias("outside"), R.at_most(r, F.col("value_size")).alias("capped"))
 
 
 def slot_overlap_newest(spark, d):
@@ -190,7 +192,14 @@ def diagnose_logs(spark, d):
 
 _POINTS = "points AS (SELECT event_id AS point_id, log_id, log_line, pc, reg FROM states WHERE event_type = 'error')"
 _EDGES = "edges AS (SELECT * FROM (SELECT o_custkey % 500 AS src, o_orderkey * 7 % 500 AS dst FROM orders) WHERE src <> dst)"
-_HIGH, _LOW = "coalesce(smax, umax, smax32)", "coalesce(smin, umin, smin32)"
+_NEGATIVE = "CASE WHEN exact IS NOT NULL THEN exact > 9223372036854775807 WHEN smin IS NOT NULL THEN smin < 0 ELSE umin IS NULL END"
+_LARGE = "coalesce(smax > 2147483647, false) OR coalesce(umax > 2147483647, false) OR (smax IS NULL AND umax IS NULL)"
+_UNSAFE = "smin IS NULL OR smin < 0 OR umin IS NULL OR umax IS NULL OR umax > 2147483647"
+_BOUNDED = "smin IS NOT NULL OR smax IS NOT NULL OR umin IS NOT NULL OR umax IS NOT NULL OR smin32 IS NOT NULL OR smax32 IS NOT NULL OR umin32 IS NOT NULL OR umax32 IS NOT NULL"
+_WIDEST = "coalesce(umax, CASE WHEN smax >= 0 THEN smax END)"
+_LARGEST = f"CASE WHEN off >= 0 THEN off + coalesce({_WIDEST}, 0) ELSE {_WIDEST} END"
+_PARTS = "concat_ws(',', 'smin=' || smin, 'smax=' || smax, 'umin=' || umin, 'umax=' || umax)"
+_SUMMARY = f"CASE WHEN exact IS NOT NULL THEN 'scalar exact ' || exact WHEN {_PARTS} = '' THEN 'scalar with unknown bounds' ELSE 'scalar(' || {_PARTS} || ')' END"
 
 _STATE_NUMBERS = f"SELECT l_orderkey AS log_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {P.ORDER}) AS log_line, CAST(l_linenumber AS BIGINT) AS pc, l_partkey, l_suppkey FROM lineitem"
 
@@ -227,12 +236,19 @@ FROM states p LEFT JOIN states s ON p.log_id = s.log_id AND s.reg = 1 AND s.log_
     "live_refs_at_exit": (live_refs_at_exit, P.sql(P.STATES, query="""SELECT log_id, count(*) AS live, '[' || string_agg(reg, ', ' ORDER BY reg) || ']' AS regs FROM (
   SELECT log_id, reg, max(CASE WHEN event_type = 'purchase' THEN log_line END) AS got, max(CASE WHEN event_type = 'error' THEN log_line END) AS gone FROM states GROUP BY 1, 2
 ) WHERE got IS NOT NULL AND (gone IS NULL OR gone < got) GROUP BY 1""")),
-    "range_unsafe_flags": (range_unsafe_flags, P.sql(P.RANGES, query=f"""SELECT part_id, negative, large, negative OR large AS unsafe, smin IS NOT NULL OR smax IS NOT NULL OR umin IS NOT NULL OR umax IS NOT NULL OR smax32 IS NOT NULL AS bounded, coalesce(lo <= 0, true) AND coalesce(hi >= 0, true) AS zero
-FROM (SELECT *, coalesce(coalesce(smin, smin32) < 0, true) AS negative, coalesce({_HIGH} > 2147483647, true) AS large, {_LOW} AS lo, {_HIGH} AS hi FROM ranges)""")),
-    "range_outside_required": (range_outside_required, P.sql(P.RANGES, query=f"""SELECT part_id, {_LOW} AS lo, {_HIGH} AS hi, coalesce({_LOW} < 0, true) OR coalesce({_HIGH} > value_size, true) AS outside,
-'scalar(' || concat_ws(',', 'smin=' || smin, 'smax=' || smax, 'umin=' || umin, 'umax=' || umax, 'smax32=' || smax32) || ')' AS summary FROM ranges""")),
-    "map_value_oob": (map_value_oob, P.sql(P.RANGES, query="""SELECT part_id, CASE WHEN value_size - off >= 0 THEN value_size - off END AS remaining, coalesce(coalesce(umax, CASE WHEN smax >= 0 THEN smax END) + off + size > value_size, true) AS exceeds,
-coalesce(smax <= value_size, false) OR coalesce(umax <= value_size, false) OR coalesce(smax32 <= value_size, false) AS capped FROM ranges""")),
+    "range_unsafe_flags": (range_unsafe_flags, P.sql(P.RANGES, query=f"""SELECT part_id, {_NEGATIVE} AS negative, {_LARGE} AS large, {_UNSAFE} AS unsafe, {_BOUNDED} AS bounded,
+CASE WHEN exact IS NOT NULL THEN exact = 0 ELSE NOT (coalesce(smax < 0, false) OR coalesce(smin > 0, false) OR coalesce(umin > 0, false)) END AS zero,
+tnum_value IS NOT NULL OR {_BOUNDED} AS varies, reg_type NOT IN ('scalar', 'fp') AS pointer, (reg_type = 'scalar' AND ({_UNSAFE})) OR coalesce(reg_type = 'map_value' AND ({_LARGEST}) >= value_size, false) AS unsafe_state,
+coalesce(exact = 0, false) AS is_zero, CASE WHEN NOT narrow THEN exact END AS exact64, exact % 4294967296 AS exact32, CASE WHEN narrow THEN exact % 4294967296 ELSE exact END AS exact_scalar FROM ranges""")),
+    "range_outside_required": (range_outside_required, P.sql(P.RANGES, query=f"""SELECT part_id, coalesce(smin, umin, smin32, umin32) AS lo, coalesce(smax, umax, smax32, umax32) AS hi,
+reg_type = 'scalar' AND CASE WHEN exact IS NOT NULL THEN NOT exact BETWEEN least_ AND value_size WHEN smin IS NOT NULL AND smax IS NOT NULL THEN smin < least_ OR smax > value_size
+  WHEN least_ >= 0 AND umin IS NOT NULL AND umax IS NOT NULL THEN umin < least_ OR umax > value_size WHEN smin32 IS NOT NULL AND smax32 IS NOT NULL THEN smin32 < least_ OR smax32 > value_size
+  WHEN least_ >= 0 AND umin32 IS NOT NULL AND umax32 IS NOT NULL THEN umin32 < least_ OR umax32 > value_size ELSE true END AS outside,
+{_SUMMARY} AS summary, CASE WHEN reg_type = 'scalar' THEN {_SUMMARY} ELSE reg_type || '(' || concat_ws(',', 'off=' || off, 'value_size=' || value_size, CASE WHEN {_PARTS} <> '' THEN 'range(' || {_PARTS} || ')' END) || ')' END AS value_summary, smin IS NOT NULL AS same
+FROM (SELECT *, CASE WHEN part_id % 4 = 0 THEN -2 ELSE part_id % 3 END AS least_ FROM ranges)""")),
+    "map_value_oob": (map_value_oob, P.sql(P.RANGES, query=f"""SELECT part_id, CASE WHEN coalesce(off, 0) >= 0 AND value_size - coalesce(off, 0) >= 0 THEN value_size - coalesce(off, 0) END AS remaining, {_WIDEST} AS widest,
+coalesce(reg_type = 'map_value' AND coalesce({_LARGEST}, 0) + size > value_size, false) AS exceeds, coalesce(reg_type = 'map_value' AND ({_LARGEST}) >= value_size, false) AS outside,
+reg_type = 'scalar' AND (coalesce(exact <= value_size, false) OR coalesce(umax <= value_size, false) OR coalesce(smax BETWEEN 0 AND value_size, false) OR coalesce(umax32 <= value_size, false) OR coalesce(smax32 BETWEEN 0 AND value_size, false)) AS capped FROM ranges""")),
     "slot_overlap_newest": (slot_overlap_newest, P.sql(P.SLOTS, query="""SELECT access_id, state_id, s_start, s_end, initialized FROM (
   SELECT *, max(state_id) OVER (PARTITION BY access_id) AS newest FROM (SELECT o_orderkey AS access_id, -8 * (o_custkey % 64 + 1) AS a_start FROM orders) a JOIN slots s ON a.access_id = s.order_id AND a_start < s_end AND s_start < a_start + 64
 ) WHERE state_id = newest""")),

@@ -81,7 +81,6 @@ def classify_histogram(spark, d):
     return found.groupBy("error_id", "failure_class").agg(F.count("*").alias("n"), F.countDistinct("message").alias("n_messages"))
 
 
-_ENDS = "|".join
 _RULE_CASES = " ".join(
     f"WHEN {(' OR ' if mode == 'any' else ' AND ').join('contains(low, ' + chr(39) + n.replace(chr(39), chr(39) * 2) + chr(39) + ')' for n in needles)} THEN {k}" for k, (_, mode, needles) in enumerate(classify.RULES, 1)
 )
@@ -198,13 +197,13 @@ FROM above GROUP BY log_id, ended""".replace("\n, flagged", ", flagged", 1))),
          {_x("tail", _OPERAND, 1, "BIGINT")} AS base, CASE WHEN regexp_matches(tail, '{_OPERAND}') THEN coalesce({_x("tail", _OPERAND, 2, "BIGINT")}, 0) END AS off FROM tails) WHERE width IS NOT NULL GROUP BY ALL""")),
     "call_targets": (call_targets, P.sql(_I, _TAILS, query=rf"SELECT target, count(*) AS n, count(DISTINCT log_id) AS n_logs FROM (SELECT log_id, {_x('tail', r'\bcall\s+([^\s#]+)')} AS target FROM tails) WHERE target IS NOT NULL GROUP BY 1")),
     "branch_registers": (branch_registers, P.sql(_I, _TAILS, query=r"SELECT CAST(regexp_extract(tail, 'if r([0-9]+) > r([0-9]+) goto pc\+([0-9]+)', 1) AS BIGINT) AS a, CAST(regexp_extract(tail, 'if r([0-9]+) > r([0-9]+) goto pc\+([0-9]+)', 2) AS BIGINT) AS b, count(*) AS n, sum(1 + CAST(regexp_extract(tail, 'goto pc\+([0-9]+)', 1) AS BIGINT)) AS sum_jump FROM tails WHERE tail LIKE '%if % goto %' GROUP BY 1, 2")),
-    "register_effects": (register_effects, P.sql(_I, _TAILS, query=rf"""SELECT {_x("tail", r"^\(([0-9a-f]{2})\)")} AS opcode, count(*) AS n, sum({_x("body", r"^[rw]([0-9]+) (?:\S{0,3})= ?", 1, "BIGINT")}) AS sum_dst, sum({_x("body", r"^[rw][0-9]+ = [rw]([0-9]+)$", 1, "BIGINT")}) AS sum_copied,
-       sum({_x("body", r"^[rw][0-9]+ \+= [rw]([0-9]+)$", 1, "BIGINT")}) AS sum_added,
+    "register_effects": (register_effects, P.sql(_I, _TAILS, query=rf"""SELECT {_x("tail", r"^\(([0-9a-f]{2})\)")} AS opcode, count(*) AS n, sum({_x("body", r"^[rw]([0-9]+) = ", 1, "BIGINT")}) AS sum_dst, sum({_x("body", r"^[rw][0-9]+ = r([0-9]+)$", 1, "BIGINT")}) AS sum_copied,
+       sum({_x("body", r"^r[0-9]+ \+= r([0-9]+)$", 1, "BIGINT")}) AS sum_added,
        count(*) FILTER (WHERE coalesce({_x("body", r"^[rw]([0-9]+) (?:\S{0,3})= ?", 1, "BIGINT")} = 1, false) OR regexp_matches(tail, '\bcall\s+[^\s#]+')) AS writes_r1,
-       count(*) FILTER (WHERE coalesce({_x("tail", _OPERAND, 1, "BIGINT")} = 1, false) OR regexp_matches(coalesce({_x("body", r"^[rw][0-9]+ = (.*)$")}, body), '\b[rw]1\b')) AS reads_r1
+       count(*) FILTER (WHERE CASE WHEN contains(tail, '*)(') THEN {_x("tail", _OPERAND, 1, "BIGINT")} = 1 WHEN contains(tail, ' = ') THEN false ELSE regexp_matches(tail, 'r1([^0-9]|$)') END) AS reads_r1
 FROM (SELECT tail, {_BODY} AS body FROM tails WHERE tail IS NOT NULL) GROUP BY 1""")),
     "terminal_numbers": (terminal_numbers, P.sql(P.MESSAGES, query=rf"""SELECT log_id, {_x("message", "R([0-9]+)", 1, "BIGINT")} AS register, argument, CASE WHEN argument < 5 THEN argument + 1 END AS argument_register,
-       coalesce({", ".join(_x("message", mark + r"([^\s#]+)") for mark in M.HELPER_MARKS)}) AS helper,
+       coalesce({", ".join(_x("message", mark + r"\s*[:,;]*(\S*[^\s:,;])") for mark in M.HELPER_MARKS)}) AS helper,
        {_x("message", r"should have been in \[(-?[0-9]+), (-?[0-9]+)\]", 1, "BIGINT")} AS lo, {_x("message", r"should have been in \[(-?[0-9]+), (-?[0-9]+)\]", 2, "BIGINT")} AS hi
 FROM (SELECT *, coalesce({_x("message", "arg #([0-9]+)", 1, "BIGINT")}, {_x("message", "arg#([0-9]+)", 1, "BIGINT")}, {_x("message", "arg ([0-9]+)", 1, "BIGINT")}) AS argument FROM messages)""")),
     "map_value_error_triples": (map_value_error_triples, P.sql(P.MESSAGES, query=rf"SELECT * FROM (SELECT log_id, {_x('message', '(?:^|[^A-Za-z0-9_])value_size=([0-9]+)', 1, 'BIGINT')} AS value_size, {_x('message', '(?:^|[^A-Za-z0-9_])off=([+-]?[0-9]+)', 1, 'BIGINT')} AS off, {_x('message', '(?:^|[^A-Za-z0-9_])size=([0-9]+)', 1, 'BIGINT')} AS size FROM messages) WHERE value_size IS NOT NULL AND off IS NOT NULL AND size IS NOT NULL")),
