@@ -43,3 +43,31 @@ def percentiles(rows: DataFrame, column: str, *shares: float) -> DataFrame:
 def paired(rows: DataFrame, keys: list[str], mode: str, value: str, modes: list[str]) -> DataFrame:
     """One row for each pair, a column for each mode."""
     return rows.groupBy(*keys).pivot(mode, modes).agg(F.first(value))
+
+
+def fallback_rows(rows: DataFrame, error_id: str = "error_id") -> DataFrame:
+    """Rows whose diagnostic is of no known kind."""
+    from ..functions.evaluation import FALLBACK_IDS
+
+    return rows.where(F.col(error_id).isin(*FALLBACK_IDS))
+
+
+def fallback_gate(rows: DataFrame, error_id: str = "error_id") -> DataFrame:
+    """(failures, passed): one row; passed if no diagnostic is of an unknown kind."""
+    from ..functions.evaluation import FALLBACK_IDS
+
+    n = F.count_if(F.col(error_id).isin(*FALLBACK_IDS))
+    return rows.agg(n.alias("failures"), (n == 0).alias("passed"))
+
+
+def sample_audit(sample: DataFrame, scores: list[str]) -> DataFrame:
+    """(metric, score, n): how often each score occurs in a sample, for each of its score columns."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("metric"), F.col(s).alias("score")) for s in scores))).alias("x")
+    return sample.select(each).select("x.*").groupBy("metric", "score").agg(F.count("*").alias("n"))
+
+
+def object_coverage(rows: DataFrame, issues: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Totals of programs, sections with states, matched and ambiguous ones, and errors of rows (case_id, programs, attached, ambiguous,
+    error); and the first issues, for a report."""
+    totals = rows.agg(F.count("*").alias("cases"), F.coalesce(F.sum("programs"), F.lit(0)).alias("programs"), F.coalesce(F.sum("attached"), F.lit(0)).alias("attached"), F.coalesce(F.sum("ambiguous"), F.lit(0)).alias("ambiguous"), F.count("error").alias("errors"))
+    return totals, rows.where("error is not null").orderBy("case_id").limit(issues).select("case_id", "error")

@@ -61,7 +61,7 @@ LOGS = {
     "ContextAccessSourceArgumentMismatch": "; int BPF_PROG(f, int *p) @ a.c:2\n1: (79) r6 = *(u64 *)(r1 +16)\nfunc 'g' arg0 type PTR is not a struct\ninvalid bpf_context access off=16 size=8",
     "MapLookupKeyArgumentUnreadable": "; v = bpf_map_lookup_elem(&m, key); @ a.c:2\n1: R1=map_ptr(ks=4,vs=8)\n2: (85) call bpf_map_lookup_elem#1\nR2 !read_ok",
     "MapPointerArgumentScalarZero": '; struct x mm SEC(".maps"); @ a.c:1\n0: (b7) r1 = 0 ; R1_w=0\n; v = bpf_map_lookup_elem(&mm, &key); @ a.c:9\n1: (85) call bpf_map_lookup_elem#1\nR1 type=scalar expected=map_ptr',
-    "none, class only": "1: (61) r2 = *(u32 *)(r1 +0)\nR1 Unsupported reg type for frobs",
+    "none, class only": "1: (61) r2 = *(u32 *)(r1 +0)\nmisaligned value access off (0x0; 0x0)+1+2 size 4",
     "malformed": "1: R2=foo(bar\n2: (79) r3 = *(u64 *)(r2 +0)\nR2 invalid mem access 'scalar'",
 }
 RELOCATED = "libbpf: loading object 'x'\nlibbpf: prog 'p': relo #0: <byte_off> [1] struct sock.sk_hash\nlibbpf: prog 'p': relo #0: patched insn #2 (LDX) off 798 -> 798\nlibbpf: prog 'p': -- BEGIN PROG LOAD LOG --\n"
