@@ -1,15 +1,20 @@
 """Language-model scores from Brown class bigrams.
 
-Words are put into classes by exchange clustering: an item moves to the class where the likelihood of the class bigrams
-gains most, until nothing moves. Items are the most frequent words and, for all others, the endings that they share, so
-that every word, known or not, has a class. A text's probability is the product over its tokens of class given class
-before, item given class, and word given item; each of the three is smoothed and sums to one.
-
-Everything that is counted comes from all training texts: counts of all words, of all neighbouring items, and of words by
-ending. On the driver are only tables over the items, whose number is a parameter. Words besides the `top_words` most
-frequent are filed under a hash into as many buckets as their number asks for, so that each bucket fits in memory; a bucket
-has all occurrences of its words, counts them, and gives every text its sum of logarithms. The most frequent words, which
-would make a bucket hot, never go there: their counts are sent to all tasks. A text's sums meet in one of many homes.
+Words are put into classes by exchange clustering: a word moves to the class where the likelihood of the class bigrams gains
+most. It runs in two stages. First the `n_items` most frequent words, and the endings that all others share, are exchanged one
+by one until nothing moves; that fixes a table of class bigrams. Then every other word that occurs `min_count` times or more
+is exchanged against that table: counts of its neighbours' classes, from all training texts, are gathered by word, and the
+executors put each into the class that gains most (to first order, as a single word changes the table little). Rarer words,
+known or not, keep the class of their ending, so every word has one. The bigrams are then counted anew by the new classes.
+
+How many words are clustered grows with the corpus. Their table (a hash, a count and a class each) goes to all tasks; its size
+is bounded by `most_words`, and where more words than that reach `min_count`, the threshold rises to what the bound lets in.
+
+A text's probability is the product over its tokens of class given class before and word given class; both are smoothed and
+sum to one. Counts of words that no table holds are found by a shuffle: such words are filed under a hash into as many buckets
+as their number asks for, so that each bucket fits in memory; a bucket has all occurrences of its words, counts them, and gives
+every text its sum of logarithms. Frequent words, which would make a bucket hot, never go there. A text's sums meet in one of
+many homes.
 
 Nulls: a null text is empty and has the token `end` only. A null doc_id is held out. Rows that repeat both id and text are
 counted as often as they occur and get equal results. Without training texts, all words are unknown.
@@ -86,67 +91,114 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarray:
     return cls
 
 
+#: The token that ends a text; no word is empty.
+END = b""
+#: Words that are looked up at a time.
+AT_ONCE = 200_000
+_digest = xxhash.xxh64_intdigest
+
+
 @dataclass
 class Words:
     """The item of every word. Item 0 is the end of a text, then come the most frequent words, then endings; the last item has
-    all other endings. `top` numbers the frequent words, of which the first are items by themselves."""
+    all other endings. `top` numbers the frequent words, of which the first `n_items` are items by themselves, and has the end
+    as -2; `more` are the hashes of all other words that are clustered, in order."""
 
     top: dict[bytes, int]
     n_items: int
     ending: dict[bytes, int]
+    more: np.ndarray
 
     @property
     def last(self) -> int:
         return self.n_items + len(self.ending) + 1
 
-    def items(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(items with the end, numbers of frequent words or -1, the other words) of a text."""
-        top = np.fromiter(map(self.top.get, words, repeat(-1)), np.int64, len(words))
-        items = np.append(top + 1, 0)
-        at = np.flatnonzero((top < 0) | (top >= self.n_items))
-        items[at] = [self.ending.get(words[k][-ENDING:], self.last) for k in at.tolist()]
-        return items, top, [words[k] for k in np.flatnonzero(top < 0).tolist()]
+    def look_up(self, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(items, numbers of frequent words, places of other words, their hashes, their places in `more` or -1) of words and ends."""
+        top = np.fromiter(map(self.top.get, flat, repeat(-1)), np.int64, len(flat))
+        items = np.where(top >= 0, top + 1, 0)
+        at = np.flatnonzero((top == -1) | (top >= self.n_items))
+        items[at] = np.fromiter(map(self.ending.get, [flat[k][-ENDING:] for k in at.tolist()], repeat(self.last)), np.int64, len(at))
+        rest = np.flatnonzero(top == -1)
+        hashes = np.fromiter(map(_digest, [flat[k] for k in rest.tolist()]), np.uint64, len(rest))
+        if not len(self.more):
+            return items, top, rest, hashes, np.full(len(rest), -1)
+        place = np.minimum(np.searchsorted(self.more, hashes), len(self.more) - 1)
+        return items, top, rest, hashes, np.where(self.more[place] == hashes, place, -1)
+
+
+def _flat(texts_):
+    """Words of several texts, each with an end behind it, some `AT_ONCE` at a time: (words, number of texts)."""
+    flat, n = [], 0
+    for text in texts_:
+        flat += words_of(text)
+        flat.append(END)
+        n += 1
+        if len(flat) > AT_ONCE:
+            yield flat, n
+            flat, n = [], 0
+    if n:
+        yield flat, n
+
+
+def _before(x: np.ndarray, first: int) -> np.ndarray:
+    """What stands before each: an end, at the start."""
+    return np.concatenate(([first], x[:-1]))
+
+
+@dataclass
+class Classes:
+    """The class of every token: of items, of frequent words and of the others in `more` (-1: that of the ending)."""
+
+    item: np.ndarray
+    top: np.ndarray
+    more: np.ndarray
+
+    def of(self, items, top, rest, place) -> np.ndarray:
+        out = self.item[items]
+        at = np.flatnonzero(top >= 0)
+        own = self.top[top[at]]
+        out[at[own >= 0]] = own[own >= 0]
+        found = place >= 0
+        own = self.more[place[found]]
+        at = rest[found]
+        out[at[own >= 0]] = own[own >= 0]
+        return out
 
 
 @dataclass
 class Model:
     words: Words
+    classes: Classes
     tokens: int  # training tokens with ends
     distinct: int
     top_counts: np.ndarray
+    more_counts: np.ndarray
     ends: int
-    cls: np.ndarray
     step: np.ndarray  # log10 of class given class
-    emit: np.ndarray  # log10 of item given class, less the log10 of an ending's total
-
-    @classmethod
-    def fit(cls, words: Words, pairs: np.ndarray, ends: int, top_counts, tokens: int, distinct: int, ending_totals: np.ndarray, ending_words: np.ndarray, n_classes: int, strength: float) -> Model:
-        classes = exchange(pairs, min(n_classes, len(pairs)))
-        k = classes.max() + 1
-        member = np.eye(k)[classes]
-        table = member.T @ pairs @ member
-        share = (table.sum(0) + UNSEEN) / (table.sum() + UNSEEN * k)
-        step = (table + strength * share) / (table.sum(1, keepdims=True) + strength)
-        count = pairs.sum(0) + UNSEEN
-        emit = np.log10(count / np.bincount(classes, count)[classes])
-        emit[words.n_items + 1 :] -= np.log10(ending_totals + UNSEEN * (ending_words + 1))
-        return cls(words, tokens, distinct, np.asarray(top_counts, np.int64), ends, classes, np.log10(step), emit)
+    total: np.ndarray  # log10 of what a class emits
 
     @property
     def floor(self) -> float:
         """What the base takes off for each token."""
         return float(np.log10(self.tokens + UNSEEN * (self.distinct + 1)))
 
-    def parts(self, words: list[bytes]) -> tuple[int, float, float, list[bytes]]:
-        """Of a text: its known tokens, base and score as far as they come from frequent words, items and classes, and the other
-        words, each of which adds log10(count + UNSEEN) to both."""
-        items, top, rest = self.words.items(words)
-        at = top[top >= 0]
-        logs = np.log10(self.top_counts + UNSEEN)
-        ends = np.log10(self.ends + UNSEEN)
-        cls = self.cls[items]
-        score = self.step[np.concatenate((self.cls[:1], cls[:-1])), cls].sum() + self.emit[items].sum() + logs[at[at >= self.words.n_items]].sum()
-        return len(at) + (self.ends > 0), float(logs[at].sum() + ends - len(items) * self.floor), float(score), rest
+    def parts(self, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token (ends included): whether it is known, its share of base and score as far as its count is at hand, and places
+        and hashes of the other words, each of which adds log10(count + UNSEEN) to both."""
+        items, top, rest, hashes, place = self.words.look_up(flat)
+        cls = self.classes.of(items, top, rest, place)
+        count = np.zeros(len(flat))
+        at = np.flatnonzero(top >= 0)
+        count[at] = self.top_counts[top[at]]
+        count[top == -2] = self.ends
+        found = place >= 0
+        count[rest[found]] = self.more_counts[place[found]]
+        log = np.log10(count + UNSEEN)
+        away = rest[~found]
+        log[away] = 0
+        end = self.classes.item[0]
+        return count > 0, log - self.floor, log + self.step[_before(cls, end), cls] - self.total[cls], away, hashes[~found]
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -175,15 +227,25 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def _neighbours(docs: DataFrame, words: Words) -> np.ndarray:
     """How often item j follows item i in the texts; the end also stands before each text."""
-    sent, size = docs.sparkSession.sparkContext.broadcast(words), words.last + 1
+    return _table(docs, words, lambda w, seen: seen[0], words.last + 1)
+
+
+def _bigrams(docs: DataFrame, words: Words, classes: Classes) -> np.ndarray:
+    """How often class j follows class i."""
+    return _table(docs, (words, classes), lambda w, seen: w[1].of(seen[0], seen[1], seen[2], seen[4]), int(classes.item.max()) + 1, first=int(classes.item[0]))
+
+
+def _table(docs: DataFrame, known, kind, size: int, first: int = 0) -> np.ndarray:
+    sent = docs.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         total = np.zeros(size * size, np.int64)
+        w = sent.value
         for batch in batches:
-            for text in batch.column("text"):
-                items = sent.value.items(words_of(text.as_py()))[0]
-                np.add.at(total, np.concatenate(([0], items[:-1])) * size + items, 1)
+            for flat, _ in _flat(t.as_py() for t in batch.column("text")):
+                x = kind(w, (w if isinstance(w, Words) else w[0]).look_up(flat))
+                total += np.bincount(_before(x, first) * size + x, minlength=size * size)
         at = np.flatnonzero(total)
         yield batch_of(schema, at, total[at])
 
@@ -193,7 +255,87 @@ def _neighbours(docs: DataFrame, words: Words) -> np.ndarray:
     return pairs.reshape(size, size)
 
 
-def train(docs: DataFrame, *, top_words: int = 16_384, n_items: int = 500, n_endings: int = 250, n_classes: int = 40, strength: float = 5.0) -> Model:
+def _further(docs: DataFrame, words: Words, cls: np.ndarray, table: np.ndarray, clustered_top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the frequent words from `n_items` on (those before `clustered_top`) and of `more`: where the likelihood gains most.
+
+    Counts of neighbours' classes are combined in the tasks, shuffled by word, and judged on the executors; a class for each word
+    comes back."""
+    k, n_top = int(cls.max()) + 1, len(words.top) - 1
+    sent = docs.sparkSession.sparkContext.broadcast((words, cls))
+    counts = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+
+    def gather(batches):
+        w, c = sent.value
+        held, size = [], 0
+
+        def out():
+            code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            code, at = np.unique(code, return_inverse=True)
+            return code, np.bincount(at, n).astype(np.int64)
+
+        for batch in batches:
+            for flat, _ in _flat(t.as_py() for t in batch.column("text")):
+                items, top, rest, _, place = w.look_up(flat)
+                word = np.where((top >= w.n_items) & (top < clustered_top), top, -1)
+                word[rest] = np.where(place >= 0, n_top + place, -1)
+                of = c[items]
+                at = np.flatnonzero(word >= 0)
+                # the class that follows (an end always does) and the class before
+                code = np.concatenate((word[at] * (2 * k) + of[at + 1], word[at] * (2 * k) + k + _before(of, c[0])[at]))
+                code, n = np.unique(code, return_counts=True)
+                held.append((code, n))
+                size += len(code)
+                if size > 2_000_000:
+                    held = [out()]
+                    size = len(held[0][0])
+                    if size > 1_500_000:
+                        yield batch_of(counts, *held[0])
+                        held, size = [], 0
+        if held:
+            yield batch_of(counts, *out())
+
+    log = np.log(table + UNSEEN)
+    margin = np.log(table.sum(1) + UNSEEN) + np.log(table.sum(0) + UNSEEN)
+    judged = pa.schema([("word", pa.int64()), ("cls", pa.int32())])
+
+    def judge(batches):
+        for batch in batches:
+            word = batch.column("word").to_numpy()
+            lists = batch.column("c")
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(word)), np.diff(lists.offsets.to_numpy()))
+            seen = np.zeros((len(word), 2 * k))
+            np.add.at(seen, (row, flat.field("side").to_numpy()), flat.field("n").to_numpy())
+            follows, leads = seen[:, :k], seen[:, k:]
+            gain = follows @ log.T + leads @ log - follows.sum(1)[:, None] * margin
+            yield batch_of(judged, word, gain.argmax(1).astype(np.int32))
+
+    summed = docs.select("text").mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    size = F.lit(2 * k)
+    by_word = summed.groupBy((F.col("code") - F.pmod("code", size)).alias("key")).agg(F.collect_list(F.struct(F.pmod("code", size).alias("side"), "n")).alias("c"))  # 2k entries at most
+    found = by_word.select((F.col("key") / size).cast("long").alias("word"), "c").mapInArrow(judge, "word long, cls int").toArrow()
+    word, new = found["word"].to_numpy(), found["cls"].to_numpy()
+    top_class, more_class = np.full(n_top, -1, np.int16), np.full(len(words.more), -1, np.int16)
+    top_class[word[word < n_top]] = new[word < n_top]
+    more_class[word[word >= n_top] - n_top] = new[word >= n_top]
+    return top_class, more_class
+
+
+def _hashed(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, in order, and their counts."""
+    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            yield batch_of(schema, np.fromiter(map(_digest, batch.column("word").to_pylist()), np.uint64, batch.num_rows).view(np.int64), batch.column("n"))
+
+    found = vocabulary.select("word", "n").mapInArrow(run, "hash long, n long").toArrow()
+    hashes, n = found["hash"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def train(docs: DataFrame, *, top_words: int = 16_384, n_items: int = 500, n_endings: int = 250, n_classes: int = 40, min_count: int = 4, most_words: int = 1 << 20, strength: float = 5.0) -> Model:
     """The model of all rows' whole texts (column text). What comes to the driver is bounded by the parameters."""
     vocabulary = kept(_counted(docs))
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
@@ -201,13 +343,47 @@ def train(docs: DataFrame, *, top_words: int = 16_384, n_items: int = 500, n_end
     top = vocabulary.orderBy(F.desc("n"), "word").limit(top_words).collect()
     numbers = {bytes(r.word): k for k, r in enumerate(top)}
     n_items = min(n_items, len(top))
+    # the least count that is clustered: how many words have each count, from the greatest on
+    sizes = sorted(((r.n, r.words) for r in vocabulary.where(F.col("n") >= min_count).groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, so_far = min_count, 0
+    for n, words_with in sizes:
+        so_far += words_with
+        if so_far > most_words:
+            least = n + 1
+            break
+    # what the tables hold: all words down to the least count, and the most frequent ones in any case
+    edge = (top[-1].n, bytes(top[-1].word)) if top else (0, b"")
+    beyond = (F.col("n") < edge[0]) | ((F.col("n") == edge[0]) & (F.col("word") > F.lit(edge[1])))
+    more, more_counts = _hashed(vocabulary.where(beyond & (F.col("n") >= least))) if len(top) == top_words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     items = F.broadcast(vocabulary.orderBy(F.desc("n"), "word").limit(n_items).select("word"))  # of n_items rows
-    by_ending = vocabulary.join(items, "word", "left_anti").groupBy(F.expr(f"substring(word, -{ENDING})").alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
-    rest = by_ending.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    ending = F.expr(f"substring(word, -{ENDING})").alias("ending")
+    rare = F.col("n") < least
+    by_ending = vocabulary.join(items, "word", "left_anti").groupBy(ending).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(rare, F.col("n"))), F.lit(0)).alias("rare_n"), F.count_if(rare).alias("rare_words"))
+    by_ending = kept(by_ending)
+    rest = by_ending.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rare_n", "rare_words"))).first()
     endings = by_ending.orderBy(F.desc("n"), "ending").limit(n_endings).collect()
-    words = Words(numbers, n_items, {bytes(r.ending): n_items + 1 + k for k, r in enumerate(endings)})
-    totals, distinct = (np.array([*(r[c] for r in endings), rest[c] - sum(r[c] for r in endings)], float) for c in ("n", "words"))
-    return Model.fit(words, _neighbours(docs, words), ends, [r.n for r in top], total.n + ends, total.words + (ends > 0), totals, distinct, n_classes, strength)
+    words = Words(numbers | {END: -2}, n_items, {bytes(r.ending): n_items + 1 + k for k, r in enumerate(endings)}, more)
+    pairs = _neighbours(docs, words)
+    cls = exchange(pairs, min(n_classes, len(pairs)))
+    k = int(cls.max()) + 1
+    member = np.eye(k)[cls]
+    counts = np.array([r.n for r in top], np.int64)
+    clustered_top = max(n_items, int((counts >= least).sum()))
+    top_class, more_class = _further(docs, words, cls, member.T @ pairs @ member, clustered_top)
+    top_class[:n_items] = cls[1 : n_items + 1]
+    classes = Classes(cls, top_class, more_class)
+    table = _bigrams(docs, words, classes).astype(float)
+    share = (table.sum(0) + UNSEEN) / (table.sum() + UNSEEN * k)
+    step = np.log10((table + strength * share) / (table.sum(1, keepdims=True) + strength))
+    # what each class emits: its end, its words, and of its endings the words that no table classifies, each with one unseen word
+    emits = np.zeros(k)
+    emits[cls[0]] += ends + UNSEEN
+    own = top_class >= 0
+    emits += np.bincount(top_class[own], counts[own] + UNSEEN, k) if own.any() else 0
+    emits += np.bincount(more_class[more_class >= 0], more_counts[more_class >= 0] + UNSEEN, k) if len(more) else 0
+    rare_n, rare_words = (np.array([*(r[c] for r in endings), rest[c] - sum(r[c] for r in endings)], float) for c in ("rare_n", "rare_words"))
+    emits += np.bincount(cls[n_items + 1 :], rare_n + UNSEEN * (rare_words + 1), k)
+    return Model(words, classes, total.n + ends, total.words + (ends > 0), counts, more_counts, ends, step, np.log10(np.maximum(emits, UNSEEN)))
 
 
 _FILED = "bucket int, doc_id array<long>, mark array<long>, learn array<boolean>, n array<int>, tokens array<long>, known array<long>, base array<double>, score array<double>, word array<long>"
@@ -226,11 +402,10 @@ def _file(batches, model: Model, n_buckets: int, modulus: int, remainder: int):
     """Texts' parts and their less frequent words, by bucket. A text's own parts stand in one of its rows."""
     held: list[tuple] = []
     count = 0
-    digest = xxhash.xxh64_intdigest
 
     def out():
         docs = np.repeat(np.arange(len(held)), [max(1, len(x[6])) for x in held])
-        words = np.concatenate([np.array(x[6] or [digest(str(x[0]).encode(), x[1] & (1 << 64) - 1)], np.uint64) for x in held])
+        words = np.concatenate([np.array(x[6] or [_digest(str(x[0]).encode(), x[1] & (1 << 64) - 1)], np.uint64) for x in held])
         real = np.repeat([bool(x[6]) for x in held], [max(1, len(x[6])) for x in held])
         bucket = (words % np.uint64(n_buckets)).astype(np.int64)
         order = np.lexsort((docs, bucket))
@@ -246,18 +421,42 @@ def _file(batches, model: Model, n_buckets: int, modulus: int, remainder: int):
             columns = [[x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], full, *([x[c] if m else 0 for x, m in zip(rows, mine.tolist(), strict=True)] for c in (3, 4, 5, 7)), words[a:b][real[a:b]].view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, f.type.value_type)) for c, f in zip(columns, list(_FILED_SCHEMA)[1:], strict=True))], schema=_FILED_SCHEMA)
 
+    def file(group):
+        """A few texts: what they are by themselves, and the hashes of their other words."""
+        flat = []
+        for _, value in group:
+            flat += words_of(value)
+            flat.append(END)
+        known, base, score, away, hashes = model.parts(flat)
+        ends = np.flatnonzero(np.fromiter(map(len, flat), np.int64, len(flat)) == 0)
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        known, base, score = (np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, score))
+        edges = np.searchsorted(away, np.append(starts, len(flat)))
+        for j, (doc_id, value) in enumerate(group):
+            learn = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus != remainder
+            mark = _digest((value or "").encode(), 1 + (value is None))
+            yield NO_ID if doc_id is None else doc_id, mark - (1 << 64) if mark >> 63 else mark, learn, int(ends[j] - starts[j]) + 1, int(known[j]), float(base[j]), hashes[edges[j] : edges[j + 1]].tolist(), float(score[j])
+
     for batch in batches:
+        group, size = [], 0
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             value = text.as_py()
-            words = words_of(value)
-            known, base, score, rest = model.parts(words)
-            learn = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus != remainder
-            mark = digest((value or "").encode(), 1 + (value is None))
-            held.append((NO_ID if doc_id is None else doc_id, mark - (1 << 64) if mark >> 63 else mark, learn, len(words) + 1, known, base, list(map(digest, rest)), score))
-            count += len(rest) + 1
-            if count > _HELD:
-                yield from out()
-                held, count = [], 0
+            group.append((doc_id, value))
+            size += len(value or "")
+            if size > 1_000_000:
+                rows_, group, size = list(file(group)), [], 0
+                held += rows_
+                count += sum(len(x[6]) + 1 for x in rows_)
+                if count > _HELD:
+                    yield from out()
+                    held, count = [], 0
+        if group:
+            rows_ = list(file(group))
+            held += rows_
+            count += sum(len(x[6]) + 1 for x in rows_)
+        if count > _HELD:
+            yield from out()
+            held, count = [], 0
     if held:
         yield from out()
 
@@ -309,8 +508,8 @@ def scored(df: DataFrame, *, modulus: int = 10, remainder: int = 0, **parameters
     docs = texts(df)
     learn = docs.where(~held_out("doc_id", modulus, remainder))
     model = train(learn, **parameters)
-    # less frequent tokens of training texts, and as large a share of the others
-    rare = (model.tokens - model.ends - int(model.top_counts.sum())) * modulus / max(1, modulus - 1)
+    # tokens of training texts whose words no table has, and as large a share of the others
+    rare = (model.tokens - model.ends - int(model.top_counts.sum()) - int(model.more_counts.sum())) * modulus / max(1, modulus - 1)
     n_buckets = max(1, round(rare / BUCKET))
     sent = df.sparkSession.sparkContext.broadcast(model)
     filed = docs.mapInArrow(lambda b: _file(b, sent.value, n_buckets, modulus, remainder), _FILED)

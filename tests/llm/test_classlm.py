@@ -68,21 +68,57 @@ def test_base_and_gain(spark, small_buckets):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def classes_of(model, words):
+    items, top, rest, _, place = model.words.look_up(words)
+    return model.classes.of(items, top, rest, place).tolist()
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all words of the vocabulary and one unseen word of each ending, after any class, the tokens' probabilities sum to one."""
     rows = [r for r in docs() if r[1]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     model = C.train(df, top_words=30, n_items=12, n_endings=10, n_classes=5)
+    assert len(model.words.more) > 20
     count = Counter(w for _, t in rows for w in C.words_of(t))
-    for c in range(model.cls.max() + 1):
-        total = 0.0
-        for item in range(model.words.last + 1):
-            p = 10 ** (model.step[c, model.cls[item]] + model.emit[item])
-            if item > model.words.n_items:
-                mine = [w for w in count if model.words.items([w])[0][0] == item]
-                p *= sum(count[w] + 0.1 for w in mine) + 0.1
-            total += p
-        assert total == pytest.approx(1)
+    words = [*count, C.END]
+    seen = [count[w] for w in count] + [len(rows)]
+    mass = np.zeros(model.step.shape[0])
+    for n, c in zip(seen, classes_of(model, words), strict=True):
+        mass[c] += n + 0.1
+    for item in range(model.words.n_items + 1, model.words.last + 1):
+        mass[model.classes.item[item]] += 0.1
+    for c in range(len(mass)):
+        assert sum(10 ** (model.step[c, j] - model.total[j]) * mass[j] for j in range(len(mass)) if mass[j]) == pytest.approx(1)
+
+
+def test_words_beyond_the_items_are_clustered_by_their_neighbours(spark):
+    """Words of shared endings, too rare to be items, that stand in two kinds of places: classes follow the places, not the endings."""
+    rng = random.Random(3)
+    left, right = [f"l{i}xx" for i in range(20)], [f"r{i}xx" for i in range(20)]
+    pick = lambda ws: rng.choice(ws[:3]) if rng.random() < 0.6 else rng.choice(ws)
+    rows = [(i, " ".join(w for _ in range(8) for w in ("go", pick(left), "to", pick(right)))) for i in range(400)]
+    model = C.train(spark.createDataFrame(rows, "doc_id long, text string"), top_words=10, n_items=8, n_endings=5, n_classes=5)
+    assert len(model.words.more) > 25
+    assert set(classes_of(model, left)).isdisjoint(classes_of(model, right))
+    few = C.train(spark.createDataFrame(rows, "doc_id long, text string"), top_words=10, n_items=2, n_endings=5, n_classes=4, most_words=1)
+    assert len(few.words.more) == 0 and few.tokens == model.tokens
+
+
+def test_score_against_the_model_by_hand(spark):
+    rows = docs()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = [(i, t) for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 10]
+    model = C.train(spark.createDataFrame(learn, "doc_id long, text string"), top_words=30, n_items=12, n_endings=10, n_classes=5)
+    count = Counter(w for _, t in learn for w in [*C.words_of(t), C.END])
+    expected = []
+    for i, t in rows:
+        words, before, score = [*C.words_of(t), C.END], int(model.classes.item[0]), 0.0
+        for w, c in zip(words, classes_of(model, words), strict=True):
+            score += model.step[before, c] + math.log10(count[w] + 0.1) - model.total[c]
+            before = c
+        expected.append((i if i is not None else -1, round(score, 6)))
+    got = C.scored(df, top_words=30, n_items=12, n_endings=10, n_classes=5).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 6)) for r in got) == sorted(expected)
 
 
 def test_no_training_texts(spark):
