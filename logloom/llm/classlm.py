@@ -4,8 +4,8 @@ Words are put into classes by exchange clustering: a word moves to the class whe
 most. It runs in two stages. First the `n_items` most frequent words, and the endings that all others share, are exchanged one
 by one until nothing moves; that fixes a table of class bigrams. Then every other word that occurs `min_count` times or more
 is exchanged against that table: counts of its neighbours' classes, from all training texts, are gathered by word, and the
-executors put each into the class that gains most (to first order, as a single word changes the table little). Rarer words,
-known or not, keep the class of their ending, so every word has one. The bigrams are then counted anew by the new classes.
+executors put each into the class that gains most. Rarer words, known or not, keep the class of their ending, so every word
+has one. The bigrams are then counted anew by the new classes.
 
 How many words are clustered grows with the corpus. Their table (a hash, a count and a class each) goes to all tasks; its size
 is bounded by `most_words`, and where more words than that reach `min_count`, the threshold rises to what the bound lets in.
@@ -42,6 +42,11 @@ UNSEEN = 0.1
 BUCKET = 2_000_000
 
 
+def _g(x):
+    """x log x, the terms of the bigrams' likelihood."""
+    return x * np.log(np.maximum(x, 1e-300))
+
+
 def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarray:
     """Class of each item, given how often item j follows item i. Starts from ranks of frequency, modulo the classes."""
     n = len(pairs)
@@ -56,9 +61,6 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarray:
         leads[:, k] = pairs[cls == k].sum(0)
     table = np.stack([follows[cls == k].sum(0) for k in range(n_classes)])
 
-    def g(x):
-        return x * np.log(np.maximum(x, 1e-300))
-
     for _ in range(sweeps):
         moved = 0
         for v in order:
@@ -69,12 +71,12 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarray:
             table[old] -= out
             table[:, old] -= into
             table[old, old] -= own
-            known, cell = g(table), np.diag(table)
+            known, cell = _g(table), np.diag(table)
             rows, columns = table.sum(1) + into, table.sum(0) + out
-            row = g(table + out) - known
-            column = g(table + into[:, None]) - known
-            gain = row.sum(1) - np.diag(row) + column.sum(0) - np.diag(column) + g(cell + out + into + own) - g(cell)
-            gain -= g(rows + out.sum() + own) - g(rows) + g(columns + into.sum() + own) - g(columns)
+            row = _g(table + out) - known
+            column = _g(table + into[:, None]) - known
+            gain = row.sum(1) - np.diag(row) + column.sum(0) - np.diag(column) + _g(cell + out + into + own) - _g(cell)
+            gain -= _g(rows + out.sum() + own) - _g(rows) + _g(columns + into.sum() + own) - _g(columns)
             new = int(np.argmax(gain)) if gain.max() > gain[old] + 1e-9 else old
             table[new] += out
             table[:, new] += into
@@ -294,8 +296,7 @@ def _further(docs: DataFrame, words: Words, cls: np.ndarray, table: np.ndarray,
         if held:
             yield batch_of(counts, *out())
 
-    log = np.log(table + UNSEEN)
-    margin = np.log(table.sum(1) + UNSEEN) + np.log(table.sum(0) + UNSEEN)
+    known, rows_, columns = _g(table), table.sum(1), table.sum(0)
     judged = pa.schema([("word", pa.int64()), ("cls", pa.int32())])
 
     def judge(batches):
@@ -306,9 +307,13 @@ def _further(docs: DataFrame, words: Words, cls: np.ndarray, table: np.ndarray,
             row = np.repeat(np.arange(len(word)), np.diff(lists.offsets.to_numpy()))
             seen = np.zeros((len(word), 2 * k))
             np.add.at(seen, (row, flat.field("side").to_numpy()), flat.field("n").to_numpy())
-            follows, leads = seen[:, :k], seen[:, k:]
-            gain = follows @ log.T + leads @ log - follows.sum(1)[:, None] * margin
-            yield batch_of(judged, word, gain.argmax(1).astype(np.int32))
+            best = np.empty(len(word), np.int32)
+            for j in range(0, len(word), 500):
+                follows, leads = seen[j : j + 500, None, :k], seen[j : j + 500, None, k:]
+                gain = (_g(table + follows) - known).sum(2) + (_g(table.T + leads) - known.T).sum(2)
+                gain -= _g(rows_ + follows.sum(2)) - _g(rows_) + _g(columns + leads.sum(2)) - _g(columns)
+                best[j : j + 500] = gain.argmax(1)
+            yield batch_of(judged, word, best)
 
     summed = docs.select("text").mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     size = F.lit(2 * k)

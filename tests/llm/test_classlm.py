@@ -99,7 +99,7 @@ def test_words_beyond_the_items_are_clustered_by_their_neighbours(spark):
     rows = [(i, " ".join(w for _ in range(8) for w in ("go", pick(left), "to", pick(right)))) for i in range(400)]
     model = C.train(spark.createDataFrame(rows, "doc_id long, text string"), top_words=10, n_items=8, n_endings=5, n_classes=5)
     assert len(model.words.more) > 25
-    assert set(classes_of(model, left)).isdisjoint(classes_of(model, right))
+    assert set(classes_of(model, [w.encode() for w in left])).isdisjoint(classes_of(model, [w.encode() for w in right]))
     few = C.train(spark.createDataFrame(rows, "doc_id long, text string"), top_words=10, n_items=2, n_endings=5, n_classes=4, most_words=1)
     assert len(few.words.more) == 0 and few.tokens == model.tokens
 
