@@ -20,18 +20,18 @@ def latest(points: DataFrame, states: DataFrame, keys: list[str], order: str, va
     return found.select("_point.*", F.col("_last.v").alias(name))
 
 
-def latest_bounded(points: DataFrame, states: DataFrame, keys: list[str], value: Column, *, inclusive: bool = False, name: str = "value") -> DataFrame:
-    """As `latest` by log_line, of states whose pc is at most the point's too.
+def latest_bounded(points: DataFrame, states: DataFrame, keys: list[str], value: Column, *, inclusive: bool = False, name: str = "value", bits: int = 20) -> DataFrame:
+    """As `latest` by log_line, of states whose pc is at most the point's too. Points need a unique column point_id.
 
-    pc does not follow log order, so two conditions bound the state; both sides meet on the keys, and the last one is kept by a
-    single aggregate that is combined before the shuffle of its results. Points need a unique column point_id.
-    """
-    right = states.select(*keys, F.col("log_line").alias("_line"), F.col("pc").alias("_pc"), value.alias("_value"))
-    before = F.col("_line") <= F.col("log_line") if inclusive else F.col("_line") < F.col("log_line")
-    joined = points.join(right, keys, "left").withColumn("_ok", before & (F.col("_pc") <= F.col("pc")))
-    pick = F.max_by(F.col("_value"), F.when(F.col("_ok"), F.col("_line")))
-    others = [c for c in points.columns if c not in ("point_id",)]
-    return joined.groupBy("point_id").agg(*(F.first(c).alias(c) for c in others), F.when(F.max("_ok"), pick).alias(name)).select(*points.columns, name)
+    pc does not follow log order. Each state is filed under the dyadic intervals of pcs that hold it (one for each of `bits` + 1
+    lengths; pcs have that many bits at most), and each point asks the few intervals that make up all pcs to its own: for each the
+    look-up is by order alone, and the last of the answers counts. No state meets a point but by one ordered pass."""
+    held = states.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn("_cell", F.expr("shiftright(cast(pc as bigint), _level)"))
+    until = F.col("pc").cast("long") + 1
+    asks = points.withColumn("_level", F.explode(F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.getbit(until, k) == 1))).withColumn("_cell", F.expr("shiftright(cast(pc as bigint) + 1, _level) - 1"))
+    near = latest(asks, held, [*keys, "_level", "_cell"], "log_line", F.struct(F.col("log_line").alias("_line"), value.alias("_v")), inclusive=inclusive, name="_near")
+    best = near.groupBy("point_id").agg(F.max_by("_near", "_near._line").alias("_best"))
+    return points.join(best, "point_id", "left").withColumn(name, F.col("_best._v")).select(*points.columns, name)
 
 
 def lost_pointers(states: DataFrame, is_pointer: Column, is_scalar: Column) -> DataFrame:
@@ -59,6 +59,16 @@ def floored_depth(rows: DataFrame, step: Column, partition: list[str], order: li
     return summed.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w))).drop("_sum")
 
 
+def dead_sites(states: DataFrame, site: list[str], speculative: Column) -> DataFrame:
+    """(site, visits) of sites that are reached speculatively only."""
+    return states.groupBy(*site).agg(F.bool_and(speculative).alias("_dead"), F.count("*").alias("visits")).where("_dead").drop("_dead")
+
+
+def latest_where(states: DataFrame, keys: list[str], condition: Column, *values: str) -> DataFrame:
+    """(keys, log_line, values): the last state of each key that meets a condition."""
+    return states.where(condition).groupBy(*keys).agg(F.max("log_line").alias("log_line"), *(F.max_by(v, "log_line").alias(v) for v in values))
+
+
 def agreed(states: DataFrame, site: list[str], value: str) -> DataFrame:
     """(site, value): the value that all states at a site share; null if they differ or one has none."""
     same = (F.min(value) == F.max(value)) & (F.count(value) == F.count("*"))

@@ -38,15 +38,20 @@ def difference(left: DataFrame, right: DataFrame, keys: list[str], columns: list
     return both.select(*keys, change.alias("change")).where("change is not null")
 
 
-def leaks(prompts: DataFrame, secrets: DataFrame, prompt_id: str, secret_id: str, n: int = 8) -> DataFrame:
+def leaks(prompts: DataFrame, secrets: DataFrame, prompt_id: str, secret_id: str, n: int = 8, broadcast_runs: int = 1_000_000) -> DataFrame:
     """(prompt_id, secret_id, shared): how many distinct runs of n words of a secret text a prompt repeats.
 
-    Runs are compared as hashes in an equi-join; runs that several secrets share are found in each of them."""
+    Runs are compared as hashes in an equi-join; runs that several secrets share are found in each of them. Where the secrets have
+    few runs (`broadcast_runs`, counted), these go to all tasks and drop most of the prompts' runs before anything is shuffled."""
 
     def runs(rows: DataFrame, key: str) -> DataFrame:
         words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
         at = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
         each = rows.select(F.col(key), words.alias("words")).select(key, F.explode(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("words", i, n), " ")))).alias("run"))
-        return each.distinct()
+        return each
 
-    return runs(prompts, prompt_id).join(runs(secrets, secret_id), "run").groupBy(prompt_id, secret_id).agg(F.count("*").alias("shared"))
+    known = runs(secrets, secret_id).distinct()
+    asked = runs(prompts, prompt_id)
+    if known.count() <= broadcast_runs:
+        asked = asked.join(F.broadcast(known.select("run").distinct()), "run", "left_semi")
+    return asked.distinct().join(known, "run").groupBy(prompt_id, secret_id).agg(F.count("*").alias("shared"))

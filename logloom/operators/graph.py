@@ -15,8 +15,8 @@ def predecessors(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(node, depth): the nodes that entries (node) reach, with the fewest steps. Only the frontier is joined each round."""
-    seen = _cut(entries.select("node", F.lit(0).alias("depth")).distinct())
-    frontier, depth = seen, 0
+    frontier, depth = _cut(entries.select("node", F.lit(0).alias("depth")).distinct()), 0
+    seen = frontier  # one part for each round; no round writes those before it again
     edges = _cut(edges.select("src", "dst").distinct())
     while True:
         depth += 1
@@ -24,7 +24,7 @@ def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
         frontier = _cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
 
 
 def live_in(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
@@ -40,4 +40,4 @@ def live_in(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
         new = _cut(back.join(defs, ["node", "var"], "left_anti").join(seen, ["node", "var"], "left_anti"))
         if new.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(new))
+        seen = seen.unionByName(new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a bucket; stack slots are eight bytes wide.
@@ -28,8 +28,8 @@ def newest_overlaps(accesses: DataFrame, slots: DataFrame, keys: list[str]) -> D
     right = slots.where("s_end > s_start").withColumn("bucket", F.explode(buckets(F.col("s_start"), F.col("s_end"))))
     met = left.join(right, [*keys, "bucket"]).where(overlaps(F.col("a_start"), F.col("a_end"), F.col("s_start"), F.col("s_end")))
     met = met.where(F.col("bucket") == F.floor(F.greatest("a_start", "s_start") / BUCKET)).drop("bucket")
-    newest = met.groupBy("access_id").agg(F.max("state_id").alias("newest"))
-    return met.join(newest, "access_id").where(F.col("state_id") == F.col("newest")).drop("newest")
+    newest = Window.partitionBy("access_id").orderBy(F.desc("state_id"))
+    return met.withColumn("_n", F.rank().over(newest)).where("_n = 1").drop("_n")
 
 
 def initialized_prefix(slots: DataFrame, keys: list[str], start: str, size: str) -> DataFrame:
@@ -38,8 +38,6 @@ def initialized_prefix(slots: DataFrame, keys: list[str], start: str, size: str)
     slots: keys, start, size of the access, and s_start, s_end of initialised slots. Ranges are merged by a running maximum of their
     ends in order; bytes are never listed one by one.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("s_start", "s_end")
     before = F.max("s_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = slots.where(F.col("s_end") > F.col(start)).withColumn("reach", F.greatest(F.coalesce(before, F.col(start)), F.col(start)))

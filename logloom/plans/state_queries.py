@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranges as R
 from ..functions import states as S
-from ..operators import asof, diagnose, graph, intervals, select, states
+from ..operators import asof, cfg, diagnose, graph, intervals, select, states
 from . import projections as P
 from .text_queries import _CLASSIFIED, _is_error
 
@@ -20,7 +20,7 @@ def _points(spark, d):
 def asof_reg_before(spark, d):
     s = P.states(spark, d)
     state = F.struct("event_id", "reg_type")
-    return asof.latest_bounded(_points(spark, d), s, ["log_id", "reg"], state).select("point_id", "log_id", F.col("value.event_id").alias("state_id"), F.col("value.reg_type").alias("reg_type"))
+    return asof.latest_bounded(_points(spark, d), s, ["log_id", "reg"], state, bits=6).select("point_id", "log_id", F.col("value.event_id").alias("state_id"), F.col("value.reg_type").alias("reg_type"))
 
 
 def asof_at_or_before(spark, d):
@@ -43,13 +43,14 @@ def ptr_to_scalar_transition(spark, d):
 
 
 def latest_unsafe_scalar(spark, d):
-    s = P.states(spark, d).where((F.col("reg_type") == "scalar") & ((F.col("value") < 5) | (F.col("value") > 50)))
-    return s.groupBy("log_id", "reg").agg(F.max("log_line").alias("log_line"), F.max_by("event_id", "log_line").alias("event_id"))
+    v = F.floor("value").cast("long")
+    u64 = "decimal(20,0)"
+    bounds = F.struct("reg_type", F.lit(None).cast(u64).alias("exact"), (v - 20).alias("smin"), F.when(F.col("event_id") % 3 != 0, v).cast(u64).alias("umin"), (v * 100_000_000).cast(u64).alias("umax"), v.alias("smax"), F.lit(None).cast("int").alias("off"), F.lit(8).alias("map_value_size"))
+    return asof.latest_where(P.states(spark, d), ["log_id", "reg"], R.unsafe_state(bounds), "event_id")
 
 
 def latest_nullable(spark, d):
-    s = P.states(spark, d).where(F.col("reg_type").endswith("_or_null"))
-    return s.groupBy("log_id").agg(F.max("log_line").alias("log_line"), F.max_by("reg", "log_line").alias("reg"))
+    return asof.latest_where(P.states(spark, d), ["log_id"], F.col("reg_type").contains("_or_null"), "reg")
 
 
 def path_snapshot_locf(spark, d):
@@ -63,7 +64,7 @@ def known_constant_agreement(spark, d):
 
 
 def dead_sites(spark, d):
-    return P.states(spark, d).groupBy("log_id", "pc").agg(F.bool_and(F.col("kind") == 3).alias("dead"), F.count("*").alias("visits")).where("dead").select("log_id", "pc", "visits")
+    return asof.dead_sites(P.states(spark, d), ["log_id", "pc"], F.col("kind") == 3)
 
 
 def packet_lineage_range(spark, d):
@@ -139,7 +140,7 @@ def relo_self_join(spark, d):
 
 
 def _edges(spark, d):
-    return P.table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("src"), (F.col("o_orderkey") * 7 % 500).alias("dst")).where("src <> dst")
+    return P.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
 def cfg_predecessors(spark, d):
@@ -149,13 +150,14 @@ def cfg_predecessors(spark, d):
 
 def cfg_reachable(spark, d):
     chain = P.table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.explode(F.array(F.col("c_custkey") * 2 + 1, F.col("c_custkey") * 3 + 2)).alias("dst"))
-    return graph.reachable(chain.where("dst <= 1500"), spark.range(1).select(F.lit(0).cast("long").alias("node"))).select("node", F.col("depth").cast("long").alias("depth"))
+    known = P.table(spark, d, "customer").select(F.col("c_custkey").alias("dst"))
+    return graph.reachable(chain.join(known, "dst", "left_semi").select("src", "dst"), spark.range(1).select(F.lit(0).cast("long").alias("node"))).select("node", F.col("depth").cast("long").alias("depth"))
 
 
 def liveness_fixpoint(spark, d):
     c = F.col("c_custkey")
     nodes = P.table(spark, d, "customer")
-    edges = nodes.select(c.alias("src"), (c * 2 + 1).alias("dst"))  # all of them; the SQL twin stops at node 1500
+    edges = nodes.select(c.alias("src"), (c * 2 + 1).alias("dst"))
     return graph.live_in(edges, nodes.where(c % 5 == 0).select(c.alias("node"), (c % 4).alias("var")), nodes.where(c % 6 == 1).select(c.alias("node"), (c % 4).alias("var")))
 
 
@@ -169,7 +171,7 @@ def slot_prefix_sum(spark, d):
 def branch_rates(spark, d):
     taken = F.count_if(F.col("event_type") == "click")
     out = P.states(spark, d).groupBy("pc").agg(F.count("*").alias("n"), taken.alias("taken"))
-    return out.select("pc", "n", "taken", F.round(F.col("taken") / F.col("n"), 6).alias("rate"))
+    return out.select("pc", "n", "taken", F.round(cfg.rate(F.col("taken"), F.col("n") - F.col("taken")), 6).alias("rate"))
 
 
 def state_parse(spark, d):
@@ -191,7 +193,7 @@ def diagnose_logs(spark, d):
 
 
 _POINTS = "points AS (SELECT event_id AS point_id, log_id, log_line, pc, reg FROM states WHERE event_type = 'error')"
-_EDGES = "edges AS (SELECT * FROM (SELECT o_custkey % 500 AS src, o_orderkey * 7 % 500 AS dst FROM orders) WHERE src <> dst)"
+_EDGES = "edges AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
 _NEGATIVE = "CASE WHEN exact IS NOT NULL THEN exact > 9223372036854775807 WHEN smin IS NOT NULL THEN smin < 0 ELSE umin IS NULL END"
 _LARGE = "coalesce(smax > 2147483647, false) OR coalesce(umax > 2147483647, false) OR (smax IS NULL AND umax IS NULL)"
 _UNSAFE = "smin IS NULL OR smin < 0 OR umin IS NULL OR umax IS NULL OR umax > 2147483647"
@@ -222,7 +224,7 @@ FROM states p LEFT JOIN states s ON p.log_id = s.log_id AND s.reg = 1 AND s.log_
     "ptr_to_scalar_transition": (ptr_to_scalar_transition, P.sql(P.STATES, query="""SELECT log_id, reg, max(log_line) AS log_line, arg_max(pc, log_line) AS pc, arg_max(before, log_line) AS pointer_type FROM (
   SELECT *, last_value(CASE WHEN reg_type <> 'scalar' THEN reg_type END IGNORE NULLS) OVER (PARTITION BY log_id, reg ORDER BY log_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM states
 ) WHERE reg_type = 'scalar' AND before IS NOT NULL GROUP BY 1, 2""")),
-    "latest_unsafe_scalar": (latest_unsafe_scalar, P.sql(P.STATES, query="SELECT log_id, reg, max(log_line) AS log_line, arg_max(event_id, log_line) AS event_id FROM states WHERE reg_type = 'scalar' AND (value < 5 OR value > 50) GROUP BY 1, 2")),
+    "latest_unsafe_scalar": (latest_unsafe_scalar, P.sql(P.STATES, query="SELECT log_id, reg, max(log_line) AS log_line, arg_max(event_id, log_line) AS event_id FROM states WHERE (reg_type = 'scalar' AND (floor(value) - 20 < 0 OR event_id % 3 = 0 OR floor(value) * 100000000 > 2147483647)) OR (reg_type = 'map_value' AND floor(value) * 100000000 >= 8) GROUP BY 1, 2")),
     "latest_nullable": (latest_nullable, P.sql(P.STATES, query="SELECT log_id, max(log_line) AS log_line, arg_max(reg, log_line) AS reg FROM states WHERE reg_type = 'ptr_or_null' GROUP BY 1")),
     "path_snapshot_locf": (path_snapshot_locf, P.sql(P.STATES, query="SELECT log_id, segment, reg, arg_max(event_id, log_line) AS event_id, max(log_line) AS log_line FROM (SELECT *, CAST(sum(CASE WHEN kind IN (0, 1) THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY log_line) AS BIGINT) AS segment FROM states) GROUP BY 1, 2, 3")),
     "known_constant_agreement": (known_constant_agreement, P.sql(P.STATES, query="SELECT log_id, pc, CASE WHEN min(v) = max(v) AND count(v) = count(*) THEN min(v) END AS v FROM (SELECT *, CASE WHEN reg_type = 'scalar' THEN event_id % 2 END AS v FROM states) GROUP BY 1, 2")),
@@ -262,11 +264,11 @@ reg_type = 'scalar' AND (coalesce(exact <= value_size, false) OR coalesce(umax <
     "relo_self_join": (relo_self_join, "SELECT p_brand, count(*) AS pairs, max(next - p_partkey) AS widest_gap FROM (SELECT *, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next FROM part) WHERE next IS NOT NULL GROUP BY 1"),
     "cfg_predecessors": (cfg_predecessors, P.sql(_EDGES, query="SELECT dst AS node, count(DISTINCT src) AS n, min(src) AS least, max(src) AS most FROM edges GROUP BY 1")),
     "cfg_reachable": (cfg_reachable, """WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey * 2 + 1 AS dst FROM customer UNION ALL SELECT c_custkey, c_custkey * 3 + 2 FROM customer), r AS (
-  SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON r.node = e.src WHERE dst <= 1500
+  SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON r.node = e.src WHERE dst IN (SELECT c_custkey FROM customer)
 ) SELECT node, min(depth) AS depth FROM r GROUP BY 1"""),
     "liveness_fixpoint": (liveness_fixpoint, """WITH RECURSIVE live AS (
   SELECT c_custkey AS node, c_custkey % 4 AS var FROM customer WHERE c_custkey % 5 = 0
-  UNION SELECT c.c_custkey, l.var FROM live l JOIN customer c ON c.c_custkey * 2 + 1 = l.node WHERE l.node <= 1500 AND NOT (c.c_custkey % 6 = 1 AND c.c_custkey % 4 = l.var)
+  UNION SELECT c.c_custkey, l.var FROM live l JOIN customer c ON c.c_custkey * 2 + 1 = l.node WHERE NOT (c.c_custkey % 6 = 1 AND c.c_custkey % 4 = l.var)
 ) SELECT DISTINCT node, var FROM live"""),
     "slot_prefix_sum": (slot_prefix_sum, P.sql(P.INSTRUCTION_LINES, query="SELECT log_id, line_no, CAST(coalesce(sum(CASE WHEN contains(line, '(61)') THEN 2 ELSE 1 END) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM instruction_lines")),
     "branch_rates": (branch_rates, P.sql(P.STATES, query="SELECT pc, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS taken, round(count(*) FILTER (WHERE event_type = 'click') / count(*), 6) AS rate FROM states GROUP BY 1")),

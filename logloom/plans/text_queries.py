@@ -59,7 +59,7 @@ def terminal_last_error(spark, d):
 
 
 def terminal_continuation_merge(spark, d):
-    split = P.messages(spark, d).where("log_id % 26 IN (0, 19)")
+    split = P.messages(spark, d)
     detail = F.concat(F.lit("R"), (F.col("log_id") % 10).cast("string"), F.lit(" offset is outside of the packet"))
     two = split.select("log_id", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("line_no"), F.col("message").alias("line")), F.struct(F.lit(2).cast("long").alias("line_no"), detail.alias("line")))).alias("x")).select("log_id", "x.*")
     return logs.terminals(two).select("log_id", F.col("line_no").cast("long").alias("line_no"), "message")
@@ -187,7 +187,8 @@ SELECT log_id, ended AS line_no, max(CASE WHEN line_no = ended THEN x END) AS me
                 arg_max(TRY_CAST(regexp_extract(x, '^\s*([0-9]+):', 1) AS BIGINT), line_no) FILTER (WHERE line_no < ended AND line_no > coalesce(edge, 0) AND regexp_matches(x, '{_INSTRUCTION}'))) AS pc,
        arg_max(regexp_extract(x, '\bcall\s+([^\s#]+)', 1), line_no) FILTER (WHERE line_no < ended AND line_no > coalesce(edge, 0) AND regexp_matches(x, '{_INSTRUCTION}') AND regexp_matches(x, '\bcall\s+([^\s#]+)')) AS call_target
 FROM above GROUP BY log_id, ended""".replace("\n, flagged", ", flagged", 1))),
-    "terminal_continuation_merge": (terminal_continuation_merge, P.sql(P.MESSAGES, query="SELECT log_id, CASE WHEN log_id % 26 = 0 THEN 1 ELSE 2 END AS line_no, CASE WHEN log_id % 26 = 0 THEN message || '; ' ELSE '' END || 'R' || (log_id % 10) || ' offset is outside of the packet' AS message FROM messages WHERE log_id % 26 IN (0, 19)")),
+    "terminal_continuation_merge": (terminal_continuation_merge, P.sql(P.MESSAGES, query=f"""SELECT log_id, CASE WHEN joins THEN 1 ELSE 2 END AS line_no, CASE WHEN joins THEN message || '; ' ELSE '' END || 'R' || (log_id % 10) || ' offset is outside of the packet' AS message
+FROM (SELECT *, regexp_matches(lower(message), 'invalid access|unbounded memory access|makes pkt pointer|out of bounds|outside of') AND {_is_error("message")} AS joins FROM messages)""")),
     "source_comment_parse": (source_comment_parse, "SELECT 'prog_' || (l_suppkey % 5) || '.c' AS path, CAST(l_linenumber AS BIGINT) AS line, count(*) AS n, min('if (x > ' || CAST(trunc(l_quantity) AS BIGINT) || ')') AS least_text FROM lineitem GROUP BY 1, 2"),
     "classify_first_match": (classify_first_match, P.sql(P.MESSAGES, _CLASSIFIED, query="SELECT log_id, rule, kind, error_id, obligation, failure_class FROM classified")),
     "classify_histogram": (classify_histogram, P.sql(P.MESSAGES, _CLASSIFIED, query="SELECT error_id, failure_class, count(*) AS n, count(DISTINCT message) AS n_messages FROM classified GROUP BY 1, 2")),
