@@ -79,10 +79,11 @@ def is_error(line: Column) -> Column:
     return let(line, reports)
 
 
-def is_boundary(line: Column) -> Column:
-    """Separates fragments of a log: what comes before does not describe the same run of instructions."""
+def is_boundary(line: Column, error: Column | None = None) -> Column:
+    """Separates fragments of a log: what comes before does not describe the same run of instructions. `error`: whether the line
+    reports one, where that is known already."""
     marks = line.startswith("func#") | line.contains(BEGIN_MARK) | line.contains(END_MARK)
-    return marks | any_of(line.startswith(s) for s in ("processed ", "verification time ", "stack depth ")) | (~is_instruction(line) & is_error(line))
+    return marks | any_of(line.startswith(s) for s in ("processed ", "verification time ", "stack depth ")) | (~is_instruction(line) & (is_error(line) if error is None else error))
 
 
 def is_region_start(line: Column) -> Column:

@@ -64,13 +64,13 @@ def _register_detail(line: Column) -> Column:
 
 
 def continues(first: Column, previous: Column) -> Column:
-    """Whether an error line that stands before `first` belongs to the same message. Both trimmed."""
+    """Whether a line that stands before `first` belongs to the same message, if it reports an error. Both trimmed."""
     a, b = L.ascii_lower(first), L.ascii_lower(previous)
     sleepable = (a.contains("non-sleepable bpf program context") & b.contains("rcu/irq/preempt-disabled")) | (a.contains("rcu/irq/preempt-disabled") & b.contains("may sleep") & b.contains("non-sleepable context"))
     detail = _register_detail(a) & b.rlike("invalid access|unbounded memory access|makes pkt pointer|out of bounds|outside of")
     pair = a.contains("memory, len pair leads to invalid memory access") & ((b.contains("type=") & b.contains("expected=")) | b.contains("invalid read from stack"))
     subprogram = a.contains("caller passes invalid args into func") & ((b.contains("reference type('unknown") & b.contains("size cannot be determined")) | (b.startswith("arg#") & b.contains("expects")))
-    return L.is_error(previous) & (sleepable | detail | pair | subprogram)
+    return sleepable | detail | pair | subprogram
 
 
 def terminals(all_lines: DataFrame) -> DataFrame:
@@ -80,12 +80,12 @@ def terminals(all_lines: DataFrame) -> DataFrame:
     rows = all_lines.withColumn("line", F.trim("line")).withColumn("error", L.is_error(F.col("line")))
     rows = rows.withColumn("last_error", F.max(F.when(F.col("error"), F.col("line_no"))).over(Window.partitionBy("log_id"))).where(F.col("line_no") <= F.col("last_error"))
     # a chain upwards from the last error, up to the first line that does not continue
-    rows = rows.withColumn("joined", continues(F.lead("line").over(w), F.col("line")))
+    rows = rows.withColumn("joined", F.col("error") & continues(F.lead("line").over(w), F.col("line")))
     rows = rows.withColumn("joined", F.when(F.col("line_no") == F.col("last_error"), F.lit(True)).otherwise(F.col("joined"))).withColumn("broken", F.sum((~F.col("joined")).cast("int")).over(_w(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)))
     part = F.col("broken") == 0
     tail = I.tail(F.col("line"))
     # what lies above the message, as long as no boundary lies between
-    edge = F.max(F.when(~part & L.is_boundary(F.col("line")), F.col("line_no"))).over(Window.partitionBy("log_id"))
+    edge = F.max(F.when(~part & L.is_boundary(F.col("line"), F.col("error")), F.col("line_no"))).over(Window.partitionBy("log_id"))
     rows = rows.withColumn("edge", F.coalesce(edge, F.lit(0))).withColumn("above", ~part & (F.col("line_no") > F.col("edge")))
     nearest = lambda c: F.max_by(F.when(F.col("above"), c), F.when(F.col("above") & c.isNotNull(), F.col("line_no")))
     message = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part, F.struct("line_no", "line")))), lambda x: x["line"]), "; ")

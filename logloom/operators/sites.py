@@ -26,12 +26,12 @@ SLOT_DETAILS = ("cannot pass in dynptr at an offset", "dynptr has to be at a con
 SLOT_ERRORS = ("expected an initialized dynptr", "dynptr has to be an uninitialized dynptr")
 
 
-def ends_call_search(line: Column, following: Column) -> Column:
+def ends_call_search(line: Column, following: Column, error: Column | None = None) -> Column:
     """Where the search upwards for a call stops: at marks and at errors that are not details of the error below."""
     marks = line.startswith("func#") | line.contains(L.BEGIN_MARK) | line.contains(L.END_MARK) | reduce(lambda a, b: a | b, (line.startswith(s) for s in ("processed ", "verification time ", "stack depth ")))
     slot = M.has_any(line, *SLOT_DETAILS) & F.coalesce(M.has_any(following, *SLOT_ERRORS), F.lit(False))
     length = M.has(line, "unbounded memory access", "var") & F.coalesce(M.has(following, "memory, len pair leads to invalid memory access"), F.lit(False))
-    return marks | (L.is_error(line) & ~slot & ~length)
+    return marks | ((L.is_error(line) if error is None else error) & ~slot & ~length)
 
 
 def sites(all_lines: DataFrame, ends: DataFrame) -> DataFrame:
@@ -43,16 +43,16 @@ def sites(all_lines: DataFrame, ends: DataFrame) -> DataFrame:
     # the error's last line counts as its place in the search for a call
     point = ends.select("log_id", F.col("line_no").alias("t_line"), F.col("pc").alias("t_pc"), F.col("call_target").alias("t_call"))
     rows = rows.join(point, "log_id").where("line_no < t_line")
-    rows = rows.select("log_id", "line_no", "t_pc", "t_call", "line", "following", I.pc(F.col("line")).alias("pc"), I.tail(F.col("line")).alias("tail"))
+    rows = rows.select("log_id", "line_no", "t_pc", "t_call", "line", "following", L.is_error(F.col("line")).alias("error"), I.pc(F.col("line")).alias("pc"), I.tail(F.col("line")).alias("tail"))
     above = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("fragment", F.coalesce(F.last(F.when(L.is_boundary(F.col("line")), F.col("line_no") + 1), ignorenulls=True).over(above), F.lit(1)))
+    rows = rows.withColumn("fragment", F.coalesce(F.last(F.when(L.is_boundary(F.col("line"), F.col("error")), F.col("line_no") + 1), ignorenulls=True).over(above), F.lit(1)))
     here = F.struct(F.col("line_no").alias("line"), "pc", "tail", "fragment")
     fits = F.col("t_call").isNull() | (F.col("t_call") == I.call_target(F.col("tail")))
     last = lambda value, cond: F.max_by(value, F.when(cond, F.col("line_no")))
     called = I.call_target(F.col("tail")).isNotNull() & fits
     found = rows.groupBy("log_id").agg(
-        F.coalesce(F.max(F.when(L.is_boundary(F.col("line")), F.col("line_no") + 1)), F.lit(1)).alias("fragment_start"),
-        F.max(F.when(ends_call_search(F.col("line"), F.col("following")), F.col("line_no"))).alias("edge"),
+        F.coalesce(F.max(F.when(L.is_boundary(F.col("line"), F.col("error")), F.col("line_no") + 1)), F.lit(1)).alias("fragment_start"),
+        F.max(F.when(ends_call_search(F.col("line"), F.col("following"), F.col("error")), F.col("line_no"))).alias("edge"),
         F.when(F.max((F.col("pc") == F.col("t_pc")).cast("int")) == 1, last(here, F.col("pc") == F.col("t_pc"))).alias("site"),
         F.when(F.max(called.cast("int")) == 1, last(here, called)).alias("call"),
     )
