@@ -23,10 +23,17 @@ def with_defaults(rows: DataFrame, defaults: DataFrame, keys: list[str], columns
     return rows.join(d, keys, "left").select(*(F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
-def out_of_order(rows: DataFrame, partition: str, position: str, key: str) -> DataFrame:
-    """Rows whose key is not above that of the row before."""
-    w = Window.partitionBy(partition).orderBy(position)
-    return rows.withColumn("before", F.lag(key).over(w)).where(F.col("before") >= F.col(key))
+def out_of_order(rows: DataFrame, partition: str, position: str, key: str, width: int = 100_000) -> DataFrame:
+    """Rows whose key is not above that of the row before, in order of a numeric position.
+
+    Positions are cut into stretches of `width`, sorted each by itself, so that few partitions do not mean few tasks; a stretch's first
+    row is compared with the last key of the stretch before it, which a small aggregate hands on."""
+    cut = rows.withColumn("_cut", F.floor(F.col(position) / width))
+    last = cut.groupBy(partition, "_cut").agg(F.max_by(key, position).alias("_last"))
+    handed = last.withColumn("_handed", F.lag("_last").over(Window.partitionBy(partition).orderBy("_cut"))).drop("_last")
+    w = Window.partitionBy(partition, "_cut").orderBy(position)
+    met = cut.join(handed, [partition, "_cut"]).withColumn("before", F.coalesce(F.lag(key).over(w), "_handed"))
+    return met.where(F.col("before") >= F.col(key)).drop("_cut", "_handed")
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -162,3 +162,70 @@ def rate(taken: Column, not_taken: Column) -> Column:
 def miss_rate(value: Column) -> Column:
     """A measured rate, if it is a number."""
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+# ---- sites: places in blocks ----
+
+
+def site_pcs(sites: DataFrame) -> DataFrame:
+    """Adds current_pc to sites (program, block, index, insn) in their present order: the slots of all before them."""
+    w = Window.partitionBy("program").orderBy("block", "index").rowsBetween(Window.unboundedPreceding, -1)
+    return sites.withColumn("current_pc", F.coalesce(F.sum(B.width(F.col("insn.code"))).over(w), F.lit(0)))
+
+
+def sites_of(rows: DataFrame) -> DataFrame:
+    """(program, pc, block, index): where each instruction (with block) stands in its block, from 0."""
+    return rows.select("program", "pc", "block", (F.row_number().over(Window.partitionBy("program", "block").orderBy("pc")) - 1).alias("index"))
+
+
+def moved_pcs(sites: DataFrame) -> DataFrame:
+    """(program, old_pc, new_pc) of sites that kept their old pc (program, block, index, insn, pc)."""
+    return site_pcs(sites).select("program", F.col("pc").alias("old_pc"), F.col("current_pc").alias("new_pc"))
+
+
+def remapped(records: DataFrame, moved: DataFrame) -> DataFrame:
+    """(program, old_pc, new_pc, problem) of records (program, old_pc): gone where no instruction has the pc any more, disordered where the
+    new pcs do not grow with the old ones."""
+    met = records.join(moved, ["program", "old_pc"], "left")
+    before = F.lag("new_pc").over(Window.partitionBy("program").orderBy("old_pc"))
+    return met.withColumn("problem", F.when(F.col("new_pc").isNull(), "gone").when(before >= F.col("new_pc"), "disordered"))
+
+
+def sized_records(tables: DataFrame) -> DataFrame:
+    """Tables of records (program, name, n_bytes, record_size) whose bytes are no whole number of records, or whose size is none."""
+    return tables.where((F.col("record_size") <= 0) | (F.col("n_bytes") % F.greatest("record_size", F.lit(1)) != 0))
+
+
+def around(rows: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
+    """(program, anchor, pc, distance): the instructions of an anchor's frame (program, frame, anchor) up to so many before and behind it."""
+    placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy("program", "frame").orderBy("pc")))
+    at = placed.join(anchors, ["program", "frame"]).where("pc = anchor").select("program", "frame", "anchor", F.col("_n").alias("_at"))
+    met = placed.join(at, ["program", "frame"]).withColumn("distance", F.col("_n") - F.col("_at"))
+    return met.where((F.col("distance") >= -before) & (F.col("distance") <= after)).select("program", "anchor", "pc", "distance")
+
+
+def with_profile(found: DataFrame, profile: DataFrame) -> DataFrame:
+    """Measured branches (program, pc, taken, not_taken) at the blocks that end there; problem says where no branch does."""
+    ends = found.where("terminator = 'branch'").select("program", F.col("last").alias("pc"), "block")
+    met = profile.join(ends, ["program", "pc"], "left")
+    return met.select("program", "pc", "block", rate(F.col("taken"), F.col("not_taken")).alias("rate"), F.when(F.col("block").isNull(), "no branch").alias("problem"))
+
+
+def live_behind(live: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window_id, regs): registers live at the node behind each window (window_id, node), from (node, var)."""
+    return windows.join(live, "node", "left").groupBy("window_id").agg(F.sort_array(F.collect_set("var")).alias("regs"))
+
+
+def known_kinds(states: DataFrame) -> DataFrame:
+    """(program, pc, reg, kind): the kind of a register at a site if all its states there agree on one."""
+    kind = F.when(F.col("reg_type") == "scalar", "scalar").when(F.col("reg_type") == "fp", "stack").when(F.col("reg_type").startswith("map_value"), "map_value").when(F.col("reg_type").startswith("pkt"), "packet").when(F.col("reg_type") == "ctx", "context").otherwise("other")
+    from .asof import agreed
+
+    return agreed(states.withColumn("kind", kind), ["program", "pc", "reg"], "kind")
+
+
+def known_constants(states: DataFrame) -> DataFrame:
+    """(program, pc, reg, value): the value that all states after an instruction (kind insn_delta) agree on."""
+    from .asof import agreed
+
+    return agreed(states.where("state_kind = 'insn_delta'").withColumnRenamed("exact", "value"), ["program", "pc", "reg"], "value").where("value is not null")

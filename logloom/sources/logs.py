@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -18,11 +18,14 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(log_id, line_no, line) of files of any size: Spark splits them, and lines are numbered per file by their offset."""
-    from pyspark.sql import Window
-
+    """(log_id, line_no, line) of files of any size: Spark splits them into blocks, lines are numbered in each, and counts of lines by
+    block, a small table, say where each block's numbers start."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line"))
-    return raw.select("log_id", F.row_number().over(Window.partitionBy("log_id").orderBy("block", "at")).alias("line_no"), "line")
+    counts = raw.groupBy("log_id", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("log_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("log_id", "block", before.alias("start"))
+    within = F.row_number().over(Window.partitionBy("log_id", "block").orderBy("at"))
+    return raw.withColumn("n", within).join(starts, ["log_id", "block"]).select("log_id", (F.col("start") + F.col("n")).cast("int").alias("line_no"), "line")
 
 
 def one_log(spark: SparkSession, text: str, log_id: str = "-") -> DataFrame:
@@ -74,8 +77,31 @@ def write_json(diagnostics: DataFrame, path: str) -> None:
 # ---- YAML ----
 
 
+def read_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """(path, document as JSON) of each file, read by Spark from any store it knows; needs PyYAML on the executors. Files that hold no
+    mapping are errors."""
+
+    def parse(batches):
+        import json
+
+        import pyarrow as pa
+        import yaml
+
+        for batch in batches:
+            out = []
+            for name, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                document = yaml.safe_load(text)
+                if not isinstance(document, dict):
+                    raise ValueError(f"{name} is no mapping")
+                out.append(json.dumps(document, default=str))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], ["path", "document"])
+
+    return read_logs(spark, path).withColumnRenamed("log_id", "path").mapInArrow(parse, "path string, document string")
+
+
 class YamlSource(DataSource):
-    """`spark.read.format("yaml").load(path)`: (path, document as JSON) of each file that a glob names; needs PyYAML.
+    """`spark.read.format("yaml").load(path)`: (path, document as JSON) of each file that a glob names; needs PyYAML. For files on a disk
+    that all executors see; `read_yaml` reads any store.
 
     Files are dealt to tasks by name; `from_json` with a schema makes columns of the documents."""
 
