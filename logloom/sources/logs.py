@@ -14,7 +14,7 @@ SUMMARY = "mode string, total int, passed int, results array<struct<case: string
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """(log_id, text): a row for each file, named by its path."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("log_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log_id"), F.col("value").alias("text"))
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
