@@ -115,18 +115,31 @@ class Words:
     def last(self) -> int:
         return self.n_items + len(self.ending) + 1
 
-    def look_up(self, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(items, numbers of frequent words, places of other words, their hashes, their places in `more` or -1) of words and ends."""
+    def look_up(self, flat: list[bytes], classes: Classes | None = None, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(items, numbers of frequent words, places of other words, their hashes, their places in `more` or -1) of words and ends.
+
+        With `classes`, words that have one of their own get no item; without `hashed`, no hashes are made."""
         top = np.fromiter(map(self.top.get, flat, repeat(-1)), np.int64, len(flat))
         items = np.where(top >= 0, top + 1, 0)
-        at = np.flatnonzero((top == -1) | (top >= self.n_items))
-        items[at] = np.fromiter(map(self.ending.get, [flat[k][-ENDING:] for k in at.tolist()], repeat(self.last)), np.int64, len(at))
         rest = np.flatnonzero(top == -1)
-        hashes = np.fromiter(map(_digest, [flat[k] for k in rest.tolist()]), np.uint64, len(rest))
-        if not len(self.more):
-            return items, top, rest, hashes, np.full(len(rest), -1)
-        place = np.minimum(np.searchsorted(self.more, hashes), len(self.more) - 1)
-        return items, top, rest, hashes, np.where(self.more[place] == hashes, place, -1)
+        others = [flat[k] for k in rest.tolist()]
+        hashes, place = np.zeros(0, np.uint64), np.full(len(rest), -1)
+        if hashed:
+            hashes = np.fromiter(map(_digest, others), np.uint64, len(rest))
+            if len(self.more):
+                at = np.minimum(np.searchsorted(self.more, hashes), len(self.more) - 1)
+                place = np.where(self.more[at] == hashes, at, -1)
+        # endings: of the other words, and of frequent ones that are no items
+        asks = np.ones(len(rest), bool) if classes is None else (place < 0) | (classes.more[place] < 0) if len(self.more) else np.ones(len(rest), bool)
+        which = np.flatnonzero(asks)
+        items[rest[which]] = np.fromiter(map(self.ending.get, [others[k][-ENDING:] for k in which.tolist()], repeat(self.last)), np.int64, len(which))
+        often = np.flatnonzero(top >= self.n_items)
+        if classes is not None:
+            often = often[classes.top[top[often]] < 0]
+        items[often] = np.fromiter(map(self.ending.get, [flat[k][-ENDING:] for k in often.tolist()], repeat(self.last)), np.int64, len(often))
+        if classes is not None:
+            items[top >= self.n_items] = np.minimum(items[top >= self.n_items], self.last)  # of words with a class: any item
+        return items, top, rest, hashes, place
 
 
 def _flat(texts_):
@@ -188,7 +201,7 @@ class Model:
     def parts(self, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each token (ends included): whether it is known, its share of base and score as far as its count is at hand, and places
         and hashes of the other words, each of which adds log10(count + UNSEEN) to both."""
-        items, top, rest, hashes, place = self.words.look_up(flat)
+        items, top, rest, hashes, place = self.words.look_up(flat, self.classes)
         cls = self.classes.of(items, top, rest, place)
         count = np.zeros(len(flat))
         at = np.flatnonzero(top >= 0)
@@ -229,24 +242,30 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def _neighbours(docs: DataFrame, words: Words) -> np.ndarray:
     """How often item j follows item i in the texts; the end also stands before each text."""
-    return _table(docs, words, lambda w, seen: seen[0], words.last + 1)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    return _table(docs, lambda flat: sent.value.look_up(flat, hashed=False)[0], words.last + 1, 0)
 
 
 def _bigrams(docs: DataFrame, words: Words, classes: Classes) -> np.ndarray:
     """How often class j follows class i."""
-    return _table(docs, (words, classes), lambda w, seen: w[1].of(seen[0], seen[1], seen[2], seen[4]), int(classes.item.max()) + 1, first=int(classes.item[0]))
+    sent = docs.sparkSession.sparkContext.broadcast((words, classes))
+
+    def kind(flat):
+        w, c = sent.value
+        items, top, rest, _, place = w.look_up(flat, c)
+        return c.of(items, top, rest, place)
 
+    return _table(docs, kind, int(classes.item.max()) + 1, int(classes.item[0]))
 
-def _table(docs: DataFrame, known, kind, size: int, first: int = 0) -> np.ndarray:
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+def _table(docs: DataFrame, kind, size: int, first: int) -> np.ndarray:
     schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         total = np.zeros(size * size, np.int64)
-        w = sent.value
         for batch in batches:
             for flat, _ in _flat(t.as_py() for t in batch.column("text")):
-                x = kind(w, (w if isinstance(w, Words) else w[0]).look_up(flat))
+                x = kind(flat)
                 total += np.bincount(_before(x, first) * size + x, minlength=size * size)
         at = np.flatnonzero(total)
         yield batch_of(schema, at, total[at])
@@ -257,24 +276,36 @@ def _table(docs: DataFrame, known, kind, size: int, first: int = 0) -> np.ndarra
     return pairs.reshape(size, size)
 
 
-def _further(docs: DataFrame, words: Words, cls: np.ndarray, table: np.ndarray, clustered_top: int) -> tuple[np.ndarray, np.ndarray]:
+#: Counts of neighbours' classes in a bucket, about.
+COUNTS = 4_000_000
+
+
+def _further(docs: DataFrame, words: Words, cls: np.ndarray, table: np.ndarray, clustered_top: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the frequent words from `n_items` on (those before `clustered_top`) and of `more`: where the likelihood gains most.
 
-    Counts of neighbours' classes are combined in the tasks, shuffled by word, and judged on the executors; a class for each word
-    comes back."""
+    Counts of neighbours' classes are combined in the tasks and meet by word: a row has the counts of many words, those of one
+    bucket. A bucket adds them up and judges its words; a class for each word comes back. `tokens`: of these words, in all."""
     k, n_top = int(cls.max()) + 1, len(words.top) - 1
+    n_buckets = max(1, -(-2 * tokens // COUNTS))
     sent = docs.sparkSession.sparkContext.broadcast((words, cls))
-    counts = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+    packed = pa.schema([("bucket", pa.int32()), ("code", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
     def gather(batches):
         w, c = sent.value
         held, size = [], 0
 
-        def out():
+        def merged():
             code, n = (np.concatenate(x) for x in zip(*held, strict=True))
             code, at = np.unique(code, return_inverse=True)
             return code, np.bincount(at, n).astype(np.int64)
 
+        def out(code, n):
+            bucket = code // (2 * k) % n_buckets
+            order = np.argsort(bucket, kind="stable")
+            which, starts = np.unique(bucket[order], return_index=True)
+            edges = pa.array(np.append(starts, len(order)), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *(pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (code, n))], schema=packed)
+
         for batch in batches:
             for flat, _ in _flat(t.as_py() for t in batch.column("text")):
                 items, top, rest, _, place = w.look_up(flat)
@@ -284,41 +315,37 @@ def _further(docs: DataFrame, words: Words, cls: np.ndarray, table: np.ndarray,
                 at = np.flatnonzero(word >= 0)
                 # the class that follows (an end always does) and the class before
                 code = np.concatenate((word[at] * (2 * k) + of[at + 1], word[at] * (2 * k) + k + _before(of, c[0])[at]))
-                code, n = np.unique(code, return_counts=True)
-                held.append((code, n))
-                size += len(code)
+                held.append(np.unique(code, return_counts=True))
+                size += len(held[-1][0])
                 if size > 2_000_000:
-                    held = [out()]
+                    held = [merged()]
                     size = len(held[0][0])
                     if size > 1_500_000:
-                        yield batch_of(counts, *held[0])
+                        yield out(*held[0])
                         held, size = [], 0
-        if held:
-            yield batch_of(counts, *out())
+        if size:
+            yield out(*merged())
 
     known, rows_, columns = _g(table), table.sum(1), table.sum(0)
-    judged = pa.schema([("word", pa.int64()), ("cls", pa.int32())])
 
-    def judge(batches):
-        for batch in batches:
-            word = batch.column("word").to_numpy()
-            lists = batch.column("c")
-            flat = lists.flatten()
-            row = np.repeat(np.arange(len(word)), np.diff(lists.offsets.to_numpy()))
-            seen = np.zeros((len(word), 2 * k))
-            np.add.at(seen, (row, flat.field("side").to_numpy()), flat.field("n").to_numpy())
-            best = np.empty(len(word), np.int32)
-            for j in range(0, len(word), 500):
-                follows, leads = seen[j : j + 500, None, :k], seen[j : j + 500, None, k:]
-                gain = (_g(table + follows) - known).sum(2) + (_g(table.T + leads) - known.T).sum(2)
-                gain -= _g(rows_ + follows.sum(2)) - _g(rows_) + _g(columns + leads.sum(2)) - _g(columns)
-                best[j : j + 500] = gain.argmax(1)
-            yield batch_of(judged, word, best)
-
-    summed = docs.select("text").mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    size = F.lit(2 * k)
-    by_word = summed.groupBy((F.col("code") - F.pmod("code", size)).alias("key")).agg(F.collect_list(F.struct(F.pmod("code", size).alias("side"), "n")).alias("c"))  # 2k entries at most
-    found = by_word.select((F.col("key") / size).cast("long").alias("word"), "c").mapInArrow(judge, "word long, cls int").toArrow()
+    def judge(bucket: pa.Table) -> pa.Table:
+        code, n = (bucket[c].combine_chunks().flatten().to_numpy() for c in ("code", "n"))
+        code, at = np.unique(code, return_inverse=True)
+        n = np.bincount(at, n)
+        word, row = np.unique(code // (2 * k), return_inverse=True)
+        edges = np.searchsorted(row, np.arange(0, len(word) + 500, 500))
+        best = []
+        for j in range(len(edges) - 1):
+            mine = slice(edges[j], edges[j + 1])
+            seen = np.zeros((min(500, len(word) - 500 * j), 2 * k))
+            seen[row[mine] - 500 * j, code[mine] % (2 * k)] = n[mine]
+            follows, leads = seen[:, None, :k], seen[:, None, k:]
+            gain = (_g(table + follows) - known).sum(2) + (_g(table.T + leads) - known.T).sum(2)
+            gain -= _g(rows_ + follows.sum(2)) - _g(rows_) + _g(columns + leads.sum(2)) - _g(columns)
+            best.append(gain.argmax(1))
+        return pa.table({"word": word, "cls": np.concatenate(best).astype(np.int32) if best else np.zeros(0, np.int32)})
+
+    found = docs.select("text").mapInArrow(gather, "bucket int, code array<long>, n array<long>").groupBy("bucket").applyInArrow(judge, "word long, cls int").toArrow()
     word, new = found["word"].to_numpy(), found["cls"].to_numpy()
     top_class, more_class = np.full(n_top, -1, np.int16), np.full(len(words.more), -1, np.int16)
     top_class[word[word < n_top]] = new[word < n_top]
@@ -374,7 +401,7 @@ def train(docs: DataFrame, *, top_words: int = 16_384, n_items: int = 500, n_end
     member = np.eye(k)[cls]
     counts = np.array([r.n for r in top], np.int64)
     clustered_top = max(n_items, int((counts >= least).sum()))
-    top_class, more_class = _further(docs, words, cls, member.T @ pairs @ member, clustered_top)
+    top_class, more_class = _further(docs, words, cls, member.T @ pairs @ member, clustered_top, int(counts[n_items:clustered_top].sum() + more_counts.sum()))
     top_class[:n_items] = cls[1 : n_items + 1]
     classes = Classes(cls, top_class, more_class)
     table = _bigrams(docs, words, classes).astype(float)
