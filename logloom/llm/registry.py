@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over the synthetic tables, with production parameters and whole tables."""
+"""The queries op1_ to op13_ over the synthetic tables, with production parameters and whole tables."""
 
 from __future__ import annotations
 
@@ -16,6 +16,9 @@ MODULES = {
     "op8_toxicity": "toxicity_query",
     "op9_quality_rules": "divergence_query",
     "op10_url_filter": "urlfilter_query",
+    "op11_token_counts": "resync_query",
+    "op12_filter_audit": "filteraudit_query",
+    "op13_source_audit": "sourceaudit_query",
 }
 
 
