@@ -1,7 +1,8 @@
 """Column functions that parse lines of abstract machine states.
 
 `PC: R1=scalar(umax=255,var_off=(0x0; 0xff)) R10=fp0 fp-8=mmmmmmmm refs=2`, behind `from A to B` or after an instruction and a
-semicolon. Parentheses nest two deep, so a regular expression finds the tokens at the top level; no Python runs.
+semicolon. Where brackets balance and nest two deep at most, as nearly always, regular expressions find what stands at the top level;
+other texts take a scan that carries the depth of brackets from piece to piece. No Python runs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,47 @@ TYPED = r"^([^(]*)\((.*)\)[^)]*$"
 #: One `name=` of a chain `a=b=value`, with the chain's value.
 ATTRIBUTE = r"(\w+?)(?:_value)?=(?=(?:\w+=)*((?:\([^()]*\)|[^,()=])*)(?:,|$))"
 U64 = "decimal(20,0)"
+#: Texts whose brackets nest two deep at most and balance.
+SHALLOW = rf"^(?:[^()]|{_NESTED})*$"
+
+
+# ---- brackets ----
+
+
+def top_level(text: Column, separator: str) -> Column:
+    """The parts of a text between separators (a pattern) that stand outside brackets, as they are.
+
+    Brackets may nest as deep as they like and need not balance: a closing one too many makes the depth negative, and what follows is
+    outside no more until it is made up for. The text is cut at its brackets, and one aggregate carries the depth and the open part."""
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    pieces = F.split(text, r"(?<=[()])|(?=[()])")
+
+    def step(a: Column, piece: Column) -> Column:
+        depth = a["depth"] + F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0)
+        parts = F.split(piece, separator)
+        splits = (a["depth"] == 0) & (F.size(parts) > 1)
+        done = F.when(splits, F.concat(a["done"], F.array(F.concat(a["open"], parts[0])), F.slice(parts, 2, F.size(parts) - 2))).otherwise(a["done"])
+        return F.struct(depth.alias("depth"), done.alias("done"), F.when(splits, F.element_at(parts, -1)).otherwise(F.concat(a["open"], piece)).alias("open"))
+
+    return F.aggregate(pieces, start, step, lambda a: F.concat(a["done"], F.array(a["open"])))
+
+
+def top_level_tokens(text: Column) -> Column:
+    """Parts between white space outside brackets. A closing bracket never begins one."""
+    spaced = F.transform(top_level(text, r"\s+"), lambda x: F.regexp_replace(x, r"^\)+", ""))
+    deep = F.filter(spaced, lambda x: x != "")
+    return F.when(text.rlike(SHALLOW), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(deep)
+
+
+def top_level_segments(text: Column, separator: str) -> Column:
+    """Parts between a separator outside brackets, trimmed, without empty ones."""
+    return F.filter(F.transform(top_level(text, rf"\Q{separator}\E"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def behind_top_level(text: Column, separator: str) -> Column:
+    """What follows the first separator outside brackets; null without one."""
+    parts = top_level(text, rf"\Q{separator}\E")
+    return let(parts, lambda p: F.when(F.size(p) > 1, F.substring(text, F.length(p[0]) + len(separator) + 1, F.length(text))))
 
 
 def state(line: Column) -> Column:
@@ -45,7 +87,7 @@ def _state(t: Column) -> Column:
 def _kind(x: Column) -> Column:
     after = x["after"]
     is_from, is_full = F.coalesce(x["edge"].rlike(TEXT), F.lit(False)), F.coalesce(after.rlike(TEXT), F.lit(False))
-    delta = F.when(after.contains(";"), F.trim(F.regexp_extract(after, DELTA, 2)))
+    delta = F.when(after.contains(";"), F.trim(F.when(after.rlike(SHALLOW), F.regexp_extract(after, DELTA, 2)).otherwise(F.coalesce(behind_top_level(after, ";"), F.lit("")))))
     insn = F.substring_index(after, ";", 1)
     text = F.when(is_from, x["edge"]).when(is_full, after).when(delta.rlike(TEXT), delta)
     kind = F.when(is_from, "edge_full").when(is_full, "pc_full").when(insn.contains(" if ") & insn.contains(" goto "), "branch_delta").otherwise("insn_delta")
@@ -56,7 +98,7 @@ def _fields(t: Column, k: Column) -> Column:
     is_from = k["kind"] == "edge_full"
     framed = k["text"].startswith("frame")
     frame = F.coalesce(F.when(framed, _found(k["text"], r"^frame(\d+)\s*:", 1).try_cast("int")), F.lit(0))
-    tokens = F.regexp_extract_all(F.when(framed, F.regexp_replace(k["text"], r"^frame\d+\s*:\s*", "")).otherwise(k["text"]), F.lit(TOKEN), F.lit(0))
+    tokens = let(F.when(framed, F.regexp_replace(k["text"], r"^frame\d+\s*:\s*", "")).otherwise(k["text"]), top_level_tokens)
     pc = F.when(is_from, _found(t, FROM, 2)).otherwise(F.trim(F.substring_index(t, ":", 1))).try_cast("int")
     return F.struct(pc.alias("pc"), F.when(is_from, _found(t, FROM, 1).try_cast("int")).alias("from_pc"), k["kind"].alias("kind"), (is_from & t.contains(" (speculative execution):")).alias("speculative"), frame.alias("frame"), tokens.alias("tokens"))
 
@@ -134,7 +176,15 @@ def attributes(text: Column) -> Column:
     """(names, values) of `a=1,b=c=2,d=(0x0; 0xff)`, last first; several names may share a value, `_value` behind one is dropped."""
     text = F.regexp_replace(text, r"\bmem_size=", "sz=")
     found = lambda k: F.reverse(F.regexp_extract_all(text, F.lit(ATTRIBUTE), F.lit(k)))
-    return F.struct(found(1).alias("names"), F.transform(found(2), lambda x: F.trim(x)).alias("values"))
+    flat = F.struct(found(1).alias("names"), F.transform(found(2), lambda x: F.trim(x)).alias("values"))
+    return F.when(text.rlike(r"^(?:[^()]|\([^()]*\))*$"), flat).otherwise(_nested_attributes(text))
+
+
+def _nested_attributes(text: Column) -> Column:
+    """As `attributes`, of texts whose brackets nest or do not balance."""
+    parts = F.transform(top_level_segments(text, ","), lambda x: F.filter(F.transform(F.split(x, "="), lambda y: F.trim(y)), lambda y: y != ""))
+    named = F.transform(F.filter(parts, lambda p: F.size(p) > 1), lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda n: F.struct(F.regexp_replace(n, "_value$", "").alias("name"), F.element_at(p, -1).alias("value"))))
+    return let(F.reverse(F.flatten(named)), lambda x: F.struct(F.transform(x, lambda y: y["name"]).alias("names"), F.transform(x, lambda y: y["value"]).alias("values")))
 
 
 def attribute(pairs: Column, name: str) -> Column:
@@ -204,19 +254,56 @@ def registers(tokens: Column) -> Column:
     return F.transform(last, lambda x: F.struct(x["reg"].alias("reg"), register_state(x["value"], x["narrow"]).alias("state")))
 
 
+def looks_like_state(value: Column) -> Column:
+    """Whether a text reads as a register's state: a number, a frame pointer, a type with brackets, or a name that is not all slot types."""
+    name = value.rlike("^[A-Za-z0-9_+-]+$") & ~value.rlike(f"^{SLOT_TYPES}+$")
+    return (value != "") & (signed(value).isNotNull() | value.startswith("fp") | value.contains("(") | (value == "scalar") | name)
+
+
+def stack_value(raw: Column) -> Column:
+    """(slot_types, value) of what stands behind a slot's `=`; value is a state's text.
+
+    Eight types may stand before a state, or alone. What reads as a state is one, so that `0` is the spilled number and not a type;
+    only then can text of another length be types."""
+    eight, rest = F.substring(raw, 1, 8), F.trim(F.substring(raw, 9, 1 << 20))
+    typed, all_types = raw.rlike(f"^{SLOT_TYPES}{{8}}"), raw.rlike(f"^{SLOT_TYPES}+$")
+    none = F.lit(None).cast("string")
+    pair = lambda t, v: F.struct(t.alias("slot_types"), v.alias("value"))
+    return (
+        F.when(raw == "", pair(none, none))
+        .when(typed & looks_like_state(rest), pair(eight, rest))
+        .when(typed & (F.length(raw) == 8), pair(raw, none))
+        .when(all_types & ~looks_like_state(raw), pair(raw, none))
+        .otherwise(pair(none, raw))
+    )
+
+
 def slots(tokens: Column) -> Column:
-    """(slot_off, slot_types, value) of each stack token; the value is the state's text. A value may be the next token."""
-    is_value = lambda t: ~t.rlike(REGISTER) & ~t.rlike(SLOT) & ~t.rlike("^refs=|^(?:async_)?cb$")
-    types = rf"^({SLOT_TYPES}{{8}})(?=$|[^?rm0dif]|0x)|^({SLOT_TYPES}+)$"
+    """(slot_off, slot_types, value) of each stack token, the last of one that is named twice; value is the state's text, which may be
+    the next token."""
 
     def one(t: Column, i: Column) -> Column:
-        raw, after = F.trim(F.regexp_extract(t, SLOT, 2)), F.get(tokens, i + 1)
-        found = F.coalesce(_found(raw, types, 1), _found(raw, types, 2))
-        own = F.nullif(F.when(found.isNull(), raw).otherwise(F.substring(raw, F.length(found) + 1, 1 << 20)), F.lit(""))
-        value = F.coalesce(own, F.when(after.isNotNull() & is_value(after), after))
-        return F.when(t.rlike(SLOT), F.struct(F.regexp_extract(t, SLOT, 1).try_cast("int").alias("slot_off"), found.alias("slot_types"), value.alias("value")))
-
-    return F.filter(F.transform(tokens, one), lambda x: x.isNotNull() & x["slot_off"].isNotNull())
+        after = F.get(tokens, i + 1)
+        free = after.isNotNull() & ~after.rlike(REGISTER) & ~after.rlike(SLOT) & looks_like_state(after)
+        off = F.regexp_extract(t, SLOT, 1).try_cast("int")
+        found = let(stack_value(F.trim(F.regexp_extract(t, SLOT, 2))), lambda x: F.struct(off.alias("slot_off"), x["slot_types"].alias("slot_types"), F.coalesce(x["value"], F.when(free, after)).alias("value")))
+        return F.when(t.rlike(SLOT), found)
+
+    found = F.filter(F.transform(tokens, one), lambda x: x.isNotNull() & x["slot_off"].isNotNull())
+    return let(found, lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["slot_off"] == x["slot_off"])))
+
+
+def stack_byte(slots: Column, offset: Column) -> Column:
+    """The byte of the stack at an offset below the frame's top, if it is known: a zero, or a byte of a spilled number (little-endian).
+
+    slots: a map from offset to (slot_types, state). Types are written from a slot's last byte to its first."""
+    home = ((offset - 7) / 8).cast("int") * 8  # towards zero
+    index = offset - home
+    slot = F.try_element_at(slots, home)
+    mark = F.substring(slot["slot_types"], (F.lit(8) - index).cast("int"), F.lit(1))
+    exact = F.when(slot["state"]["reg_type"] == "scalar", slot["state"]["exact"])
+    byte = F.floor(exact / F.pow(F.lit(256), index).cast(U64)) % 256
+    return F.when(offset < 0, F.when(mark == "0", F.lit(0)).when(slot["slot_types"].isNull() | mark.isin("r", ""), byte.cast("int")))
 
 
 def references(tokens: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytecode as B
+from ..functions import states as S
 
 
 def instructions(sections: DataFrame) -> DataFrame:
@@ -229,3 +230,20 @@ def known_constants(states: DataFrame) -> DataFrame:
     from .asof import agreed
 
     return agreed(states.where("state_kind = 'insn_delta'").withColumnRenamed("exact", "value"), ["program", "pc", "reg"], "value").where("value is not null")
+
+
+def known_stack_bytes(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """(program, pc, reg, width, bytes): the bytes behind a stack pointer, as hexadecimal digits, where all visits of a site agree on them.
+
+    found: states (program, pc, kind, tokens); asked: (program, pc, reg, width). Each byte comes from the slot that covers it. A visit that
+    enters over an edge, has no stack pointer in the register, or leaves one byte open, leaves the site's bytes open."""
+    met = asked.join(found.select("program", "pc", "kind", "tokens"), ["program", "pc"])
+    pointer = F.get(F.filter(S.registers(F.col("tokens")), lambda r: r["reg"] == F.col("reg")), F.lit(0))["state"]
+    stack = F.map_from_entries(F.transform(S.slots(F.col("tokens")), lambda x: F.struct(x["slot_off"], F.struct(x["slot_types"].alias("slot_types"), F.when(x["value"].isNotNull(), S.register_state(x["value"], F.lit(False))).alias("state")))))
+    met = met.withColumn("_pointer", pointer).withColumn("_stack", stack)
+    start = F.when((F.col("_pointer.reg_type") == "fp") & (F.col("kind") != "edge_full"), F.coalesce("_pointer.off", F.lit(0)))
+    digits = F.transform(F.sequence(start, start + F.col("width") - 1), lambda o: F.lower(F.lpad(F.hex(S.stack_byte(F.col("_stack"), o).cast("long")), 2, "0")))
+    whole = F.when(F.forall(digits, lambda x: x.isNotNull()), F.array_join(digits, ""))
+    from .asof import agreed
+
+    return agreed(met.withColumn("bytes", whole), ["program", "pc", "reg", "width"], "bytes")
