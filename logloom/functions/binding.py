@@ -15,3 +15,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     predicate over a computed line would then compute the line dozens of times. The variable of a higher-order function cannot
     be replaced."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def named(fields: dict[str, Column]) -> Column:
+    """A struct of these fields. Inside the function of an array function an alias may be dropped before a struct takes its name."""
+    return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))

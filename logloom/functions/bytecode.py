@@ -10,6 +10,8 @@ LD, LDX, ST, STX, ALU, JMP, JMP32, ALU64 = range(8)
 JA, CALL, EXIT, MOV = 0x00, 0x80, 0x90, 0xB0
 CALL_CODE, EXIT_CODE, LDIMM64 = 0x85, 0x95, 0x18
 PSEUDO_CALL, PSEUDO_FUNC = 1, 4
+# A call of a kernel instruction, and the move that carries its operands.
+PSEUDO_KINSN, SIDECAR, MOVE_IMM, LOAD_WORD = 4, 3, 0xB7, 0x61
 MAP_PSEUDO = {1: "fd", 2: "fd_value", 5: "idx", 6: "idx_value"}
 # Where program types keep the packet's start and end in their context: (scope, type) -> (data, data_end).
 PACKET_LAYOUTS = {

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import let
+from .binding import let, named
 from .instructions import _found
 
 _NESTED = r"\((?:[^()]|\([^()]*\))*\)"
@@ -41,7 +41,7 @@ def top_level(text: Column, separator: str) -> Column:
 
     Brackets may nest as deep as they like and need not balance: a closing one too many makes the depth negative, and what follows is
     outside no more until it is made up for. The text is cut at its brackets, and one aggregate carries the depth and the open part."""
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    start = named({"depth": F.lit(0), "done": F.array().cast("array<string>"), "open": F.lit("")})
     pieces = F.split(text, r"(?<=[()])|(?=[()])")
 
     def step(a: Column, piece: Column) -> Column:
@@ -49,7 +49,7 @@ def top_level(text: Column, separator: str) -> Column:
         parts = F.split(piece, separator)
         splits = (a["depth"] == 0) & (F.size(parts) > 1)
         done = F.when(splits, F.concat(a["done"], F.array(F.concat(a["open"], parts[0])), F.slice(parts, 2, F.size(parts) - 2))).otherwise(a["done"])
-        return F.struct(depth.alias("depth"), done.alias("done"), F.when(splits, F.element_at(parts, -1)).otherwise(F.concat(a["open"], piece)).alias("open"))
+        return named({"depth": depth, "done": done, "open": F.when(splits, F.element_at(parts, -1)).otherwise(F.concat(a["open"], piece))})
 
     return F.aggregate(pieces, start, step, lambda a: F.concat(a["done"], F.array(a["open"])))
 
@@ -80,7 +80,7 @@ def state(line: Column) -> Column:
 
 
 def _state(t: Column) -> Column:
-    forms = F.struct(t.alias("line"), F.when(t.startswith("from "), F.regexp_extract(t, FROM, 4)).alias("edge"), F.when(t.rlike(r"^\d+\s*:"), F.regexp_extract(t, PLAIN, 2)).alias("after"))
+    forms = named({"line": t, "edge": F.when(t.startswith("from "), F.regexp_extract(t, FROM, 4)), "after": F.when(t.rlike(r"^\d+\s*:"), F.regexp_extract(t, PLAIN, 2))})
     return let(forms, lambda x: let(_kind(x), lambda k: F.when(k["kind"].isNotNull(), _fields(x["line"], k))))
 
 
@@ -91,7 +91,7 @@ def _kind(x: Column) -> Column:
     insn = F.substring_index(after, ";", 1)
     text = F.when(is_from, x["edge"]).when(is_full, after).when(delta.rlike(TEXT), delta)
     kind = F.when(is_from, "edge_full").when(is_full, "pc_full").when(insn.contains(" if ") & insn.contains(" goto "), "branch_delta").otherwise("insn_delta")
-    return let(text, lambda found: F.struct(found.alias("text"), F.when(found.isNotNull(), kind).alias("kind")))
+    return let(text, lambda found: named({"text": found, "kind": F.when(found.isNotNull(), kind)}))
 
 
 def _fields(t: Column, k: Column) -> Column:
@@ -100,7 +100,7 @@ def _fields(t: Column, k: Column) -> Column:
     frame = F.coalesce(F.when(framed, _found(k["text"], r"^frame(\d+)\s*:", 1).try_cast("int")), F.lit(0))
     tokens = let(F.when(framed, F.regexp_replace(k["text"], r"^frame\d+\s*:\s*", "")).otherwise(k["text"]), top_level_tokens)
     pc = F.when(is_from, _found(t, FROM, 2)).otherwise(F.trim(F.substring_index(t, ":", 1))).try_cast("int")
-    return F.struct(pc.alias("pc"), F.when(is_from, _found(t, FROM, 1).try_cast("int")).alias("from_pc"), k["kind"].alias("kind"), (is_from & t.contains(" (speculative execution):")).alias("speculative"), frame.alias("frame"), tokens.alias("tokens"))
+    return named({"pc": pc, "from_pc": F.when(is_from, _found(t, FROM, 1).try_cast("int")), "kind": k["kind"], "speculative": is_from & t.contains(" (speculative execution):"), "frame": frame, "tokens": tokens})
 
 
 def malformed(line: Column) -> Column:
@@ -136,7 +136,7 @@ def unsigned(text: Column) -> Column:
     def wrapped(x: Column) -> Column:
         return F.when(x["minus"] & (x["n"] > 0), (F.lit("18446744073709551616").cast("decimal(21,0)") - x["n"]).cast("decimal(21,0)").try_cast(U64)).otherwise(x["n"])
 
-    return F.when(text.isNotNull(), let(text, lambda t: let(F.struct(t.startswith("-").alias("minus"), _magnitude(F.ltrim(t, F.lit("+-"))).alias("n")), wrapped)))
+    return F.when(text.isNotNull(), let(text, lambda t: let(named({"minus": t.startswith("-"), "n": _magnitude(F.ltrim(t, F.lit("+-")))}), wrapped)))
 
 
 def _magnitude(digits: Column) -> Column:
@@ -176,15 +176,15 @@ def attributes(text: Column) -> Column:
     """(names, values) of `a=1,b=c=2,d=(0x0; 0xff)`, last first; several names may share a value, `_value` behind one is dropped."""
     text = F.regexp_replace(text, r"\bmem_size=", "sz=")
     found = lambda k: F.reverse(F.regexp_extract_all(text, F.lit(ATTRIBUTE), F.lit(k)))
-    flat = F.struct(found(1).alias("names"), F.transform(found(2), lambda x: F.trim(x)).alias("values"))
+    flat = named({"names": found(1), "values": F.transform(found(2), lambda x: F.trim(x))})
     return F.when(text.rlike(r"^(?:[^()]|\([^()]*\))*$"), flat).otherwise(_nested_attributes(text))
 
 
 def _nested_attributes(text: Column) -> Column:
     """As `attributes`, of texts whose brackets nest or do not balance."""
     parts = F.transform(top_level_segments(text, ","), lambda x: F.filter(F.transform(F.split(x, "="), lambda y: F.trim(y)), lambda y: y != ""))
-    named = F.transform(F.filter(parts, lambda p: F.size(p) > 1), lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda n: F.struct(F.regexp_replace(n, "_value$", "").alias("name"), F.element_at(p, -1).alias("value"))))
-    return let(F.reverse(F.flatten(named)), lambda x: F.struct(F.transform(x, lambda y: y["name"]).alias("names"), F.transform(x, lambda y: y["value"]).alias("values")))
+    pairs = F.transform(F.filter(parts, lambda p: F.size(p) > 1), lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda n: named({"name": F.regexp_replace(n, "_value$", ""), "value": F.element_at(p, -1)})))
+    return let(F.reverse(F.flatten(pairs)), lambda x: named({"names": F.transform(x, lambda y: y["name"]), "values": F.transform(x, lambda y: y["value"])}))
 
 
 def attribute(pairs: Column, name: str) -> Column:
@@ -196,7 +196,7 @@ def register_state(value: Column, narrow: Column) -> Column:
     """The state of a register or slot behind `=`: type, precision, exact value, known bits, bounds, offset and ids.
 
     Each step names what the next one uses several times: texts, numbers, state."""
-    start = F.struct(value.startswith("P").alias("precise"), F.when(value.startswith("P"), F.substring(value, 2, 1 << 20)).otherwise(value).alias("v"), narrow.alias("narrow"))
+    start = named({"precise": value.startswith("P"), "v": F.when(value.startswith("P"), F.substring(value, 2, 1 << 20)).otherwise(value), "narrow": narrow})
     return let(start, lambda x: let(_texts(x), lambda t: let(_numbers(t), lambda n: _register_state(t, n))))
 
 
@@ -205,16 +205,16 @@ _SIZES = {"r": "packet_range", "vs": "map_value_size", "sz": "mem_size", "id": "
 
 
 def _texts(x: Column) -> Column:
-    seen = F.struct(_found(x["v"], NUMBER, 1).alias("number"), x["v"].rlike(r"^fp(?!\()").alias("is_fp"), x["v"].contains("(").alias("typed"))
+    seen = named({"number": _found(x["v"], NUMBER, 1), "is_fp": x["v"].rlike(r"^fp(?!\()"), "typed": x["v"].contains("(")})
     return let(seen, lambda s: _named(x, s))
 
 
 def _named(x: Column, s: Column) -> Column:
     v = x["v"]
     kind = F.when(s["number"].isNotNull() | (v == "inv") | v.startswith("inv("), "scalar").when(s["is_fp"], "fp").when(s["typed"], F.substring_index(v, "(", 1)).otherwise(v)
-    of = lambda pairs: F.struct(*(attribute(pairs, n).alias(n) for n in (*_BOUND_NAMES, *_SIZES, "off", "var_off")))
+    of = lambda pairs: named({n: attribute(pairs, n) for n in (*_BOUND_NAMES, *_SIZES, "off", "var_off")})
     found = F.when(s["typed"], let(attributes(F.regexp_extract(v, TYPED, 2)), of))  # of an untyped register: none
-    return let(found, lambda a: F.struct(x["precise"].alias("precise"), x["narrow"].alias("narrow"), kind.alias("kind"), unsigned(s["number"]).alias("given"), F.when(s["is_fp"], _found(v, FRAME_POINTER, 2)).otherwise(a["off"]).alias("off"), F.when(s["is_fp"], _found(v, FRAME_POINTER, 1)).alias("frame"), a.alias("a")))
+    return let(found, lambda a: named({"precise": x["precise"], "narrow": x["narrow"], "kind": kind, "given": unsigned(s["number"]), "off": F.when(s["is_fp"], _found(v, FRAME_POINTER, 2)).otherwise(a["off"]), "frame": F.when(s["is_fp"], _found(v, FRAME_POINTER, 1)), "a": a}))
 
 
 def _numbers(t: Column) -> Column:
@@ -222,13 +222,14 @@ def _numbers(t: Column) -> Column:
     u32 = lambda c: let(natural(c).try_cast("long"), lambda x: _bound32(x, 0, (1 << 32) - 1))
     i32 = lambda c: let(signed(c), lambda x: _bound32(x, -(1 << 31), (1 << 31) - 1).cast("int"))
     parsers = {"smin": signed, "smax": signed, "umin": natural, "umax": natural, "smin32": i32, "smax32": i32, "umin32": u32, "umax32": u32}
-    tnum = let(F.struct(natural(F.trim(_found(a["var_off"], r"^\(([^;]+);", 1))).alias("bits"), natural(F.trim(_found(a["var_off"], r";([^)]+)\)$", 1))).alias("mask")), lambda x: F.when(x["bits"].isNotNull() & x["mask"].isNotNull(), x))
+    tnum = let(named({"bits": natural(F.trim(_found(a["var_off"], r"^\(([^;]+);", 1))), "mask": natural(F.trim(_found(a["var_off"], r";([^)]+)\)$", 1)))}), lambda x: F.when(x["bits"].isNotNull() & x["mask"].isNotNull(), x))
     given = t["given"].cast("decimal(21,0)")
     half = t["given"] % 4294967296
-    return F.struct(
-        *(F.when(a[n].isNotNull(), f(a[n])).alias(n) for n, f in parsers.items()), *(F.when(a[n].isNotNull(), u32(a[n]).try_cast("int")).alias(name) for n, name in _SIZES.items()), i32(t["off"]).alias("off"), F.when(a["var_off"].isNotNull(), tnum).alias("tnum"),
-        half.cast("long").alias("half"), F.when(half > (1 << 31) - 1, half - (1 << 32)).otherwise(half).cast("int").alias("half_signed"), F.when(t["given"] > (1 << 63) - 1, given - F.lit("18446744073709551616").cast("decimal(21,0)")).otherwise(given).try_cast("long").alias("whole_signed"),
-    )
+    return named({
+        **{n: F.when(a[n].isNotNull(), f(a[n])) for n, f in parsers.items()}, **{name: F.when(a[n].isNotNull(), u32(a[n]).try_cast("int")) for n, name in _SIZES.items()},
+        "off": i32(t["off"]), "tnum": F.when(a["var_off"].isNotNull(), tnum), "half": half.cast("long"), "half_signed": F.when(half > (1 << 31) - 1, half - (1 << 32)).otherwise(half).cast("int"),
+        "whole_signed": F.when(t["given"] > (1 << 63) - 1, given - F.lit("18446744073709551616").cast("decimal(21,0)")).otherwise(given).try_cast("long"),
+    })
 
 
 def _register_state(t: Column, n: Column) -> Column:
@@ -236,22 +237,22 @@ def _register_state(t: Column, n: Column) -> Column:
     given, is_scalar = t["given"], t["kind"] == "scalar"
     inferred = F.coalesce(F.when(n["tnum"]["mask"] == 0, n["tnum"]["bits"]), F.when(n["umin"] == n["umax"], n["umin"]))
     by_half = F.when(is_scalar & given.isNull() & inferred.isNull() & (n["umin32"] == n["umax32"]), n["umin32"].cast(U64))
-    whole = lambda c, name: F.coalesce(F.when(~t["narrow"], c), n[name]).alias(name)
-    return F.struct(
-        t["kind"].alias("reg_type"), (t["narrow"] | by_half.isNotNull()).alias("narrow"), F.coalesce(t["precise"], F.lit(False)).alias("precise"), F.when(is_scalar, F.coalesce(given, inferred, by_half)).alias("exact"),
-        n["tnum"]["bits"].alias("tnum_value"), n["tnum"]["mask"].alias("tnum_mask"), whole(n["whole_signed"], "smin"), whole(n["whole_signed"], "smax"), whole(given, "umin"), whole(given, "umax"),
-        *(F.coalesce(n[h], n[name]).alias(name) for h, name in (("half_signed", "smin32"), ("half_signed", "smax32"), ("half", "umin32"), ("half", "umax32"))),
-        *(n[name].alias(name) for name in ("packet_range", "map_value_size", "mem_size", "off")), t["frame"].try_cast("int").alias("source_frame"), n["id"].alias("id"), n["ref_id"].alias("ref_id"),
-    )
+    whole = lambda c, name: F.coalesce(F.when(~t["narrow"], c), n[name])
+    return named({
+        "reg_type": t["kind"], "narrow": t["narrow"] | by_half.isNotNull(), "precise": F.coalesce(t["precise"], F.lit(False)), "exact": F.when(is_scalar, F.coalesce(given, inferred, by_half)),
+        "tnum_value": n["tnum"]["bits"], "tnum_mask": n["tnum"]["mask"], "smin": whole(n["whole_signed"], "smin"), "smax": whole(n["whole_signed"], "smax"), "umin": whole(given, "umin"), "umax": whole(given, "umax"),
+        **{name: F.coalesce(n[h], n[name]) for h, name in (("half_signed", "smin32"), ("half_signed", "smax32"), ("half", "umin32"), ("half", "umax32"))},
+        **{name: n[name] for name in ("packet_range", "map_value_size", "mem_size", "off")}, "source_frame": t["frame"].try_cast("int"), "id": n["id"], "ref_id": n["ref_id"],
+    })
 
 
 def registers(tokens: Column) -> Column:
     """(reg, state) of each register token, r0 to r10; of one that is named twice, the last. Invalid values are left out."""
     found = F.filter(tokens, lambda t: t.startswith("R") & t.rlike(REGISTER))
-    parts = F.transform(found, lambda t: F.struct(F.regexp_extract(t, REGISTER, 1).try_cast("int").alias("reg"), (F.regexp_extract(t, REGISTER, 2) != "").alias("narrow"), F.trim(F.regexp_extract(t, REGISTER, 3)).alias("value")))
+    parts = F.transform(found, lambda t: named({"reg": F.regexp_extract(t, REGISTER, 1).try_cast("int"), "narrow": F.regexp_extract(t, REGISTER, 2) != "", "value": F.trim(F.regexp_extract(t, REGISTER, 3))}))
     valid = F.filter(parts, lambda x: _valid(x["value"]))
     last = let(valid, lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["reg"] == x["reg"])))
-    return F.transform(last, lambda x: F.struct(x["reg"].alias("reg"), register_state(x["value"], x["narrow"]).alias("state")))
+    return F.transform(last, lambda x: named({"reg": x["reg"], "state": register_state(x["value"], x["narrow"])}))
 
 
 def looks_like_state(value: Column) -> Column:
@@ -268,7 +269,7 @@ def stack_value(raw: Column) -> Column:
     eight, rest = F.substring(raw, 1, 8), F.trim(F.substring(raw, 9, 1 << 20))
     typed, all_types = raw.rlike(f"^{SLOT_TYPES}{{8}}"), raw.rlike(f"^{SLOT_TYPES}+$")
     none = F.lit(None).cast("string")
-    pair = lambda t, v: F.struct(t.alias("slot_types"), v.alias("value"))
+    pair = lambda t, v: named({"slot_types": t, "value": v})
     return (
         F.when(raw == "", pair(none, none))
         .when(typed & looks_like_state(rest), pair(eight, rest))
@@ -286,7 +287,7 @@ def slots(tokens: Column) -> Column:
         after = F.get(tokens, i + 1)
         free = after.isNotNull() & ~after.rlike(REGISTER) & ~after.rlike(SLOT) & looks_like_state(after)
         off = F.regexp_extract(t, SLOT, 1).try_cast("int")
-        found = let(stack_value(F.trim(F.regexp_extract(t, SLOT, 2))), lambda x: F.struct(off.alias("slot_off"), x["slot_types"].alias("slot_types"), F.coalesce(x["value"], F.when(free, after)).alias("value")))
+        found = let(stack_value(F.trim(F.regexp_extract(t, SLOT, 2))), lambda x: named({"slot_off": off, "slot_types": x["slot_types"], "value": F.coalesce(x["value"], F.when(free, after))}))
         return F.when(t.rlike(SLOT), found)
 
     found = F.filter(F.transform(tokens, one), lambda x: x.isNotNull() & x["slot_off"].isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytecode as B
+from ..functions import kinsn as K
 from ..functions import states as S
 
 
@@ -247,3 +248,48 @@ def known_stack_bytes(found: DataFrame, asked: DataFrame) -> DataFrame:
     from .asof import agreed
 
     return agreed(met.withColumn("bytes", whole), ["program", "pc", "reg", "width"], "bytes")
+
+
+# ---- calls of kernel instructions ----
+
+
+def kinsn_operands(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """(program, pc, target, role, reg, problem) of calls of kernel instructions: what each reads (use) and writes (def).
+
+    registry: (call_imm, call_off, target), which pair of a call's numbers names which target. problem, with role and reg null: `no
+    operands` where the instruction before, in the block, is not the move that carries them; `unknown call`; `bad register`. A target that
+    writes nothing has no row for it. The dimension is a few dozen rows and the registry one for each target, so both are broadcast."""
+    placed = numbered(rows, block_starts(rows), "block")
+    before = F.lag("insn").over(Window.partitionBy("program", "block").orderBy("pc"))
+    i = F.col("insn")
+    calls = placed.withColumn("_before", before).where(is_kinsn_call(i))
+    carried = F.coalesce(is_sidecar(F.col("_before")), F.lit(False))
+    calls = calls.select("program", "pc", i["imm"].alias("call_imm"), i["off"].alias("call_off"), F.when(carried, K.payload(F.col("_before"))).alias("_payload"))
+    known = calls.join(F.broadcast(registry.select("call_imm", "call_off", "target")), ["call_imm", "call_off"], "left")
+    met = known.join(F.broadcast(K.descriptors(rows.sparkSession)), "target", "left")
+    p = F.col("_payload")
+    counts = F.coalesce(K.applies(p, F.col("mode"), F.col("flag")), F.lit(False)) & F.col("role").isNotNull()
+    reg = K.register(p, F.col("shift"))
+    problem = F.when(p.isNull(), "no operands").when(F.col("target").isNull(), "unknown call").when(counts & (reg > 10), "bad register")
+    out = met.select("program", "pc", "target", problem.alias("problem"), F.when(problem.isNull() & counts, F.col("role")).alias("role"), F.when(problem.isNull() & counts, reg).alias("reg"))
+    return out.where("role is not null or problem is not null").distinct().select("program", "pc", "target", "role", "reg", "problem")
+
+
+def is_kinsn_call(i: Column) -> Column:
+    return B.is_call(i["code"]) & (i["src"] == B.PSEUDO_KINSN)
+
+
+def is_sidecar(i: Column) -> Column:
+    """A move that only carries the operands of the kernel instruction called behind it."""
+    return (i["code"] == B.MOVE_IMM) & (i["src"] == B.SIDECAR)
+
+
+def uses_and_defs(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """(program, pc, role, reg) of all instructions: by their codes, but for calls of kernel instructions by their descriptors; the move
+    before such a call is part of it and neither reads nor writes."""
+    i = F.col("insn")
+    carries = F.lead(is_kinsn_call(i)).over(Window.partitionBy("program").orderBy("pc"))
+    plain = rows.withColumn("_carries", F.coalesce(carries, F.lit(False)) & is_sidecar(i)).where(~F.col("_carries") & ~is_kinsn_call(i))
+    both = F.concat(F.transform(B.uses(i), lambda r: F.struct(F.lit("use").alias("role"), r.cast("int").alias("reg"))), F.transform(B.defs(i), lambda r: F.struct(F.lit("def").alias("role"), r.cast("int").alias("reg"))))
+    named = plain.select("program", "pc", F.explode(both).alias("x")).select("program", "pc", "x.role", "x.reg")
+    return named.unionByName(kinsn_operands(rows, registry).where("problem is null").select("program", "pc", "role", "reg"))

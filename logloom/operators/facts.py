@@ -16,23 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import bytecode as B
 from . import cfg
 from .asof import latest
+from .cfg import is_kinsn_call, is_sidecar
 from .storage import cut
 
 MIN32, MAX32, MIN64, MAX64 = -(1 << 31), (1 << 31) - 1, -(1 << 63), (1 << 63) - 1
 WIDE = "decimal(38,0)"
-# A call of a kernel instruction and the move that carries its operands; the load of a word by an address.
-KINSN_CALL, SIDECAR, MOVE, LOAD_WORD = 4, 3, 0xB7, 0x61
 CONTEXT, FRAME = 1, 10
 
 
-def is_kinsn_call(i: Column) -> Column:
-    return B.is_call(i["code"]) & (i["src"] == KINSN_CALL)
-
-
-def is_sidecar(i: Column) -> Column:
-    return (i["code"] == MOVE) & (i["src"] == SIDECAR)
-
-
 # ---- steps and chains of them ----
 
 
@@ -55,7 +46,7 @@ def step(i: Column, high: Column) -> Column:
         .when(code == B.LDIMM64, made("const", None, signed.cast("long")))
         .when(klass == B.ALU64, wide)
         .when(klass == B.ALU, half)
-        .when(klass == B.LDX, F.when(code == LOAD_WORD, made("load", i["src"], i["off"])).otherwise(made("unknown")))
+        .when(klass == B.LDX, F.when(code == B.LOAD_WORD, made("load", i["src"], i["off"])).otherwise(made("unknown")))
         .when(klass == B.LD, made("unknown"))
     )
 
