@@ -1,14 +1,20 @@
 """Quality rules by distribution divergence.
 
 Each language's reference is a histogram of character classes and one of its most common words (and all others), counted
-over all documents of that language that pass the base rules. A document is compared with the references by Jensen-Shannon
-distance (square root of the divergence, base 2: 0 to 1) and takes the nearest language; it fails if even there its
-characters or its words are too far. Histograms of few characters or words say little: below `least_chars` or `least_words`
-that comparison is skipped.
+over all documents of that language that pass the base rules. A document is compared with its language's reference by
+Jensen-Shannon distance (square root of the divergence, base 2: 0 to 1) and fails if its characters or its words are too far.
+Histograms of few characters or words say little: below `least_chars` or `least_words` that comparison is skipped.
+
+References need a least size too, or a few junk rows under a language of their own would vouch for themselves and for others: a
+sound one has `sound_docs` documents, `sound_words` words, and a ten-thousandth of all words, so that there are ten thousand at most.
+A document without a language is compared with all sound references and takes the nearest. One whose language has no sound reference
+is held against what texts of any language are made of: letters of any script and white space, against digits, stops and signs, at the
+nearest of the sound references; its words are not judged. Where no reference is sound, as in small tables, all count as they are, if they
+are fewer than `few_langs`; else, and without references at all, only the base rules count.
 
 Words are runs without the ASCII white space \\x20 and \\x09-\\x0D. Nulls: a null text has no words; a null language makes
-no reference, but its documents are compared like all others. Repeated rows stay repeated. An empty table has no references,
-and without references only the base rules count.
+no reference. Repeated rows stay repeated and count repeatedly; words that are equally common rank by their bytes; extra columns stay
+behind. Texts of any length are counted whole. An empty table has no references.
 """
 
 from __future__ import annotations
@@ -95,10 +101,15 @@ class Reference:
     classes: np.ndarray
     words: list[bytes]
     shares: np.ndarray  # of `words`, then of all others
+    sound: bool = True
+
+
+#: In the rows of counts, the number behind those of the character classes: documents.
+_DOCS = len(_CLASSES)
 
 
-def references(df: DataFrame, *, common_words: int = 40) -> list[Reference]:
-    """The references of all languages. `df` has text and lang; all its documents are counted."""
+def references(df: DataFrame, *, common_words: int = 40, sound_docs: int = 10, sound_words: int = 1000, few_langs: int = 4096) -> list[Reference]:
+    """The sound references, or else all if they are few. `df` has text and lang; all its documents are counted."""
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("class_", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
@@ -116,7 +127,7 @@ def references(df: DataFrame, *, common_words: int = 40) -> list[Reference]:
                 found = count(text.as_py())
                 if not found.base_failed:
                     words.setdefault(lang, Counter()).update(w.lower() for w in found.words)
-                    classes[lang] = classes.get(lang, 0) + found.classes
+                    classes[lang] = classes.get(lang, 0) + np.append(found.classes, 1)
             if sum(map(len, words.values())) > 300_000:
                 yield from out()
                 words, classes = {}, {}
@@ -124,22 +135,32 @@ def references(df: DataFrame, *, common_words: int = 40) -> list[Reference]:
 
     told = df.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, word binary, class_ int, n long")
     told = kept(told.groupBy("word", "class_", "lang").agg(F.sum("n").alias("n")))
+    sizes = told.groupBy("lang").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("total"), F.max(F.when(F.col("class_") == _DOCS, F.col("n"))).alias("docs"))
+    every = sizes.agg(F.sum("total")).first()[0] or 0
+    chosen = sizes.where((F.col("docs") >= sound_docs) & (F.col("total") >= sound_words) & (F.col("total") * 10_000 >= every))
+    totals = {r.lang: r.total for r in chosen.collect()}  # ten thousand at most
+    sound = bool(totals)
+    if not sound:
+        totals = {r.lang: r.total for r in sizes.limit(few_langs).collect()}
+        totals = totals if len(totals) < few_langs else {}
+        chosen = sizes
+    if not totals:
+        return []
+    told = told.join(F.broadcast(chosen.select("lang")), "lang", "left_semi")
     # the most common words of a language are among those of the parts that its words are dealt into
     ranked = told.where("word is not null").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64)))
     inner = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word"))).where(F.col("k") <= common_words).drop("k")
     top = inner.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= common_words)
-    total = told.where("word is not null").groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = {r.lang: r.total for r in total.collect()}
     found, chars = defaultdict(list), defaultdict(lambda: np.zeros(len(_CLASSES)))
     for r in top.orderBy("lang", "k").collect():
         found[r.lang].append((bytes(r.word), r.n))
-    for r in told.where("class_ is not null").collect():
+    for r in told.where((F.col("class_") < _DOCS)).collect():
         chars[r.lang][r.class_] = r.n
     out = []
     for lang in sorted(totals):
         mine, classes = found[lang], chars[lang]
         shares = np.array([n for _, n in mine] + [totals[lang] - sum(n for _, n in mine)], float) / totals[lang]
-        out.append(Reference(lang, classes / classes.sum(), [w for w, _ in mine], shares))
+        out.append(Reference(lang, classes / classes.sum(), [w for w, _ in mine], shares, sound))
     return out
 
 
@@ -154,16 +175,29 @@ class Rules:
 
 
 class Judge:
+    #: Sums of character classes that texts of all languages share: letters and white space, digits, stops, signs.
+    _shared = np.array([[k in group for k in _CLASSES] for group in (("lower", "upper", "space", "beyond"), ("digit",), ("stop",), ("sign",))], float)
+
     def __init__(self, found: list[Reference], rules: Rules):
         self.found, self.rules = found, rules
         self.number = {w: k for k, w in enumerate(sorted({w for r in found for w in r.words}))}
         self.bins = [np.array([self.number[w] for w in r.words], np.int64) for r in found]
+        self.own = {r.lang: k for k, r in enumerate(found)}
 
-    def distances(self, c: Counts) -> tuple[str | None, float, float]:
-        """(language, distance of characters, distance of words) of the nearest reference, by the sum of both distances."""
+    def distances(self, c: Counts, lang: str | None = None) -> tuple[str | None, float, float]:
+        """(language, distance of characters, distance of words): to the language's own reference; without a language to the nearest one,
+        by the sum of both distances; and where the language has no sound reference, of what any text is made of, with words left out."""
+        if lang is not None and lang not in self.own and self.found:
+            return lang, min(distance(self._shared @ c.classes, self._shared @ r.classes) for r in self.found), 0.0
         ids = np.fromiter(map(self.number.get, (w.lower() for w in c.words), repeat(-1)), np.int64, len(c.words))
         counts = np.bincount(ids[ids >= 0], minlength=len(self.number))
-        best = min(((distance(c.classes, r.classes), distance(np.append(counts[b], len(ids) - counts[b].sum()), r.shares), r.lang) for r, b in zip(self.found, self.bins, strict=True)), key=lambda x: (x[0] + x[1], x[2]), default=(0.0, 0.0, None))
+        among = range(len(self.found)) if lang is None else [self.own[lang]] if self.found else []
+
+        def to(k: int):
+            r, b = self.found[k], self.bins[k]
+            return distance(c.classes, r.classes), distance(np.append(counts[b], len(ids) - counts[b].sum()), r.shares), r.lang
+
+        best = min(map(to, among), key=lambda x: (x[0] + x[1], x[2]), default=(0.0, 0.0, None))
         return best[2], best[0], best[1]
 
     def passes(self, c: Counts, chars: float, words: float) -> bool:
@@ -184,11 +218,11 @@ def judged(df: DataFrame, found: list[Reference] | None = None, rules: Rules | N
         judge = sent.value
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, text, told in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("lang").to_pylist(), strict=True):
                 c = count(text.as_py())
-                lang, chars, words = judge.distances(c)
+                lang, chars, words = judge.distances(c, told)
                 out.append((doc_id, c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, c.base_failed, judge.passes(c, chars, words), lang, chars, words))
             if out:
                 yield batch_of(_SCHEMA, *zip(*out, strict=True))
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, SCHEMA)
