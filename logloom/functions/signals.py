@@ -669,12 +669,11 @@ def packet_precision():
     s, need = _reg(_REG(), "last"), M.packet_required(_c("message"))
     fixed, variable = F.when(s["off"] >= 0, s["off"]), R.variable_offset_max(s)
     reaches = F.coalesce(fixed, F.lit(0)) + variable + need > 0xFFFF
-    near = (s["off"].isNull() | fixed.isNotNull()) & reaches
     relative = need - fixed
     number = T.largest_number(F.col("packet_check.source.text"))
     guard = _c("guard_covers") & ((number >= need) | ((relative > 0) & ((number >= relative) | ((relative <= 1) & F.col("packet_check.source.text").contains("sizeof(")))))
     proven = F.exists("events", lambda e: (e["role"] == "established") & (e["evidence"] == "state") & e["source"].eqNullSafe(_c("rejected")))
-    return _obligation("PacketBounds") & (s["reg_type"] == "pkt") & (s["packet_range"] == 0) & near & _event("established", "source", "PacketBounds", T.is_packet_check) & (F.coalesce(guard, F.lit(False)) | proven)
+    return _obligation("PacketBounds") & (s["reg_type"] == "pkt") & (s["packet_range"] == 0) & reaches & _event("established", "source", "PacketBounds", T.is_packet_check) & (F.coalesce(guard, F.lit(False)) | proven)
 
 
 def map_relation_precision():

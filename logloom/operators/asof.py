@@ -20,18 +20,39 @@ def latest(points: DataFrame, states: DataFrame, keys: list[str], order: str, va
     return found.select("_point.*", F.col("_last.v").alias(name))
 
 
+#: Bits of a pc that one level of the look-up below reads.
+DIGIT = 4
+
+
+def latest_line_below(points: DataFrame, states: DataFrame, keys: list[str], point: list[str], *, inclusive: bool = False, bits: int = 20, name: str = "found_line") -> DataFrame:
+    """Adds to points (keys, point, log_line, pc) the greatest log_line of the states (keys, log_line, pc) of the same keys before their
+    line (or at it, if inclusive) whose pc is not above theirs. `point` names columns that tell points apart.
+
+    pc does not follow log order, so the bound by pc is taken digit by digit, of 16 values each, as in a tree of that width: a pc below
+    the bound has the bound's leading digits, then a smaller one. States and points are filed under each length of leading digits; one
+    ordered pass remembers the last line of each next digit, and a point takes the greatest of those below its own (and, of the last
+    digit, of its own). With n states and points of `bits` bits that is n * bits / 4 narrow rows, and no state meets a point."""
+    levels = F.sequence(F.lit(0), F.lit(-(-bits // DIGIT) - 1))
+    filed = lambda df, bound, rest: df.select(*keys, "log_line", F.explode(levels).alias("_level"), bound.alias("_pc"), rest.alias("_point")).withColumn("_digit", F.expr(f"shiftright(_pc, _level * {DIGIT})").bitwiseAND((1 << DIGIT) - 1)).withColumn("_prefix", F.expr(f"shiftright(_pc, (_level + 1) * {DIGIT})")).drop("_pc")
+    whole = F.struct(*points.columns)
+    seen = filed(states.select(*keys, "log_line", F.col("pc").cast("long").alias("_p")), F.col("_p"), F.lit(None).cast(points.select(whole.alias("p")).schema["p"].dataType))
+    asked = filed(points.withColumn("_p", F.least(F.col("pc").cast("long"), F.lit((1 << bits) - 1))), F.col("_p"), whole)
+    order = F.when(F.col("_point").isNull(), 0 if inclusive else 1).otherwise(1 if inclusive else 0)
+    w = Window.partitionBy(*keys, "_level", "_prefix").orderBy("log_line", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    both = seen.unionByName(asked).withColumn("_order", order)
+    last = {f"_last{k}": F.last(F.when(F.col("_point").isNull() & (F.col("_digit") == k), F.col("log_line")), ignorenulls=True).over(w) for k in range(1 << DIGIT)}
+    met = both.withColumns(last).where("_point is not null")
+    below = F.greatest(*(F.when((F.col("_digit") > k) | ((F.col("_level") == 0) & (F.col("_digit") == k)), F.col(c)) for k, c in enumerate(last)))
+    best = met.select("_point", below.alias("_line")).groupBy(*(F.col(f"_point.{c}").alias(c) for c in point)).agg(F.first("_point").alias("_point"), F.max("_line").alias("_line"))
+    return best.select("_point.*", F.col("_line").alias(name))
+
+
 def latest_bounded(points: DataFrame, states: DataFrame, keys: list[str], value: Column, *, inclusive: bool = False, name: str = "value", bits: int = 20) -> DataFrame:
-    """As `latest` by log_line, of states whose pc is at most the point's too. Points need a unique column point_id.
-
-    pc does not follow log order. Each state is filed under the dyadic intervals of pcs that hold it (one for each of `bits` + 1
-    lengths; pcs have that many bits at most), and each point asks the few intervals that make up all pcs to its own: for each the
-    look-up is by order alone, and the last of the answers counts. No state meets a point but by one ordered pass."""
-    held = states.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn("_cell", F.expr("shiftright(cast(pc as bigint), _level)"))
-    until = F.col("pc").cast("long") + 1
-    asks = points.withColumn("_level", F.explode(F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.getbit(until, k) == 1))).withColumn("_cell", F.expr("shiftright(cast(pc as bigint) + 1, _level) - 1"))
-    near = latest(asks, held, [*keys, "_level", "_cell"], "log_line", F.struct(F.col("log_line").alias("_line"), value.alias("_v")), inclusive=inclusive, name="_near")
-    best = near.groupBy("point_id").agg(F.max_by("_near", "_near._line").alias("_best"))
-    return points.join(best, "point_id", "left").withColumn(name, F.col("_best._v")).select(*points.columns, name)
+    """As `latest` by log_line, of states whose pc is at most the point's too (`latest_line_below`). Points need a unique column point_id,
+    states one row for each keys and log_line; pcs have `bits` bits at most. Only lines go through the look-up; the value comes last."""
+    near = latest_line_below(points, states.select(*keys, "log_line", "pc"), keys, ["point_id"], inclusive=inclusive, bits=bits, name="_line")
+    values = states.select(*keys, F.col("log_line").alias("_line"), value.alias(name))
+    return near.join(values, [*keys, "_line"], "left").select(*points.columns, name)
 
 
 def lost_pointers(states: DataFrame, is_pointer: Column, is_scalar: Column) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions import sources as T
 from ..functions import states as S
 from ..functions.lines import ascii_lower
 from . import events as E
-from . import loader, logs, sites, states
+from . import asof, loader, logs, sites, states
 from .storage import kept
 
 # Helpers that change a packet so that pointers into it are void.
@@ -172,8 +172,45 @@ def dynptr_facts(ctx: DataFrame, chain: DataFrame, rows: DataFrame, found: DataF
     origin = slots.join(produced, ["log_id", "line_no"]).join(made, ["log_id", "slot"]).where("made_line < line_no").groupBy("log_id", "line_no", "slot").agg(F.max_by("backing", "made_line").alias("backing")).withColumnRenamed("line_no", "origin_line")
     changed = slots.where(H.dynptr_data_invalidating(F.col("target")).isNotNull()).select("log_id", F.col("line_no").alias("at"), F.col("slot").alias("changed_slot"), F.lit(None).cast("string").alias("changer"))
     packets = rows.where(I.call_target(F.col("tail")).isin(*PACKET_CHANGERS)).select("log_id", F.col("line_no").alias("at"), F.lit(None).cast(slots.schema["slot"].dataType).alias("changed_slot"), I.call_target(F.col("tail")).alias("changer"))
+    origin = kept(origin)
     met = origin.join(changed.unionByName(packets), "log_id").where((F.col("at") > F.col("origin_line")) & (F.col("changed_slot").eqNullSafe(F.col("slot")) | (F.col("changer").isNotNull() & (F.col("backing") == "packet"))))
-    return backing.join(met.select("log_id").distinct().withColumn("dynptr_invalidated", F.lit(True)), "log_id", "full")
+    void = met.select("log_id").union(callback_writes(origin, ctx, rows, found, long)).distinct()
+    return backing.join(void.withColumn("dynptr_invalidated", F.lit(True)), "log_id", "full")
+
+
+def _fixed_slot(state: Column) -> Column:
+    """Whether a state is a pointer to one place in a frame."""
+    return (state["reg_type"] == "fp") & ~R.variable_offset(state) & state["off"].isNotNull()
+
+
+def callback_writes(origin: DataFrame, ctx: DataFrame, rows: DataFrame, found: DataFrame, long: DataFrame) -> DataFrame:
+    """(log_id): data of a dynptr that a callback of a loop wrote over before the site.
+
+    origin: (log_id, origin_line, slot). The loop's call hands its callback a pointer to the dynptr (r3 there, r2 inside), and a store of
+    that activation, by the latest whole state before it, overlaps the dynptr's 16 bytes. Activations are told by the state that enters
+    them: whole states and registers come from the ordered look-ups, so neither entries nor stores meet all states of a log."""
+    point = ctx.select("log_id", F.col("call.line").alias("s_line"), F.col("call.fragment").alias("p_from")).join(origin.select("log_id", "origin_line", "slot"), "log_id")
+    r2 = F.get(F.filter(S.registers(F.col("tokens")), lambda r: r["reg"] == 2), F.lit(0))["state"]
+    entered = found.where("from_pc is not null").where(S.callback(F.col("tokens")) == "sync").join(point, "log_id").where("log_line > origin_line and log_line < s_line").withColumn("r2", r2).where(_fixed_slot(F.col("r2")))
+    entered = entered.select("log_id", F.col("log_line").alias("entry"), F.col("frame").alias("entry_frame"), F.col("from_pc").alias("pc"), "s_line", "p_from", "slot", F.struct(F.coalesce("r2.source_frame", "frame").alias("frame"), F.col("r2.off").alias("off")).alias("given"))
+    reaches = (F.col("given.frame") == F.col("slot.frame")) & (F.col("given.off") >= F.col("slot.off")) & (F.col("given.off") < F.col("slot.off") + 16)
+    calls = asof.latest(entered.where(reaches).withColumn("line_no", F.col("entry")), rows.select("log_id", "pc", "line_no", "tail"), ["log_id", "pc"], "line_no", F.struct("line_no", "tail"), name="from_call")
+    calls = calls.where((F.col("from_call.line_no") >= F.col("p_from")) & (I.call_target(F.col("from_call.tail")) == "bpf_loop"))
+    points = calls.select("*", F.col("entry").cast("string").alias("point_id"), F.col("from_call.line_no").alias("p_line"), F.col("pc").alias("p_pc"), F.lit(3).alias("reg"))
+    handed = sites.registers_before(points, found, long).where(_fixed_slot(F.col("seen.state")) & (F.col("seen.source_frame") == F.col("given.frame")) & (F.col("seen.state.off") == F.col("given.off")))
+    # the first activation in a frame covers all later ones there
+    entries = kept(handed.groupBy("log_id", "entry_frame", "slot", "p_from", "s_line").agg(F.min("entry").alias("entry")))
+    stores = rows.where(I.is_store(F.col("tail"))).join(entries.groupBy("log_id", "p_from", "s_line").agg(F.min("entry").alias("_from")), "log_id").where("line_no > _from and line_no < s_line")
+    stores = stores.select("log_id", F.col("line_no").cast("string").alias("point_id"), F.col("line_no").alias("p_line"), F.col("pc").alias("p_pc"), "p_from", I.base_register(F.col("tail")).alias("reg"), I.access_offset(F.col("tail")).alias("_off"), I.access_width(F.col("tail")).alias("_width"))
+    whole = found.select("log_id", F.col("log_line").alias("at"), F.col("frame").alias("at_frame"), S.callback(F.col("tokens")).alias("at_callback"))
+    at = asof.latest_line_below(stores.select("log_id", "point_id", F.col("p_line").alias("log_line"), F.col("p_pc").alias("pc")), found.select("log_id", "log_line", "pc"), ["log_id"], ["log_id", "point_id"], name="at")
+    placed = at.select("log_id", "point_id", "at").join(whole, ["log_id", "at"]).where("at_callback = 'sync'")
+    seen = sites.registers_before(stores, found, long).where((F.col("seen.state.reg_type") == "fp") & ~R.variable_offset(F.col("seen.state"))).join(placed, ["log_id", "point_id"])
+    start = F.coalesce("seen.state.off", F.lit(0)) + F.col("_off")
+    met = seen.withColumn("w_start", start).withColumn("w_end", start + F.col("_width")).join(entries.select("log_id", "entry_frame", "slot", "entry"), "log_id")
+    inside = (F.col("at") >= F.col("entry")) & (F.col("at_frame") == F.col("entry_frame"))
+    over = (F.col("seen.source_frame") == F.col("slot.frame")) & (F.col("w_start") < F.col("slot.off") + 16) & (F.col("slot.off") < F.col("w_end"))
+    return met.where(inside & over).select("log_id").distinct()
 
 
 # ---- stack slots ----

@@ -283,16 +283,21 @@ def registers_before(points: DataFrame, found: DataFrame, long: DataFrame, inclu
     """Adds to points (log_id, point_id, p_line, p_pc, p_from, reg) the latest state of the register before the point (or at it), of
     the frame of the latest whole state there: seen (state, log_line, frame, source_frame), null if there is none.
 
-    Points and states meet on log_id and register; each point keeps one row through an aggregate."""
-    line = F.col("log_line") <= F.col("p_line") if inclusive else F.col("log_line") < F.col("p_line")
-    inside = (F.col("log_line") >= F.col("p_from")) & line & (F.col("pc") <= F.col("p_pc"))
+    Two ordered look-ups, by line and pc: of the latest whole state, which tells the frame, and of the register's latest state in that
+    frame. Both pass narrow rows of lines only, so a log of many states and many points costs their sum and not their product."""
+    from .asof import latest_line_below
+
     key = ["log_id", "point_id"]
-    frames = points.select(*key, "p_line", "p_pc", "p_from").join(found.select("log_id", "log_line", "pc", F.col("frame").alias("_state_frame")), "log_id").where(inside).groupBy(*key).agg(F.max_by("_state_frame", "log_line").alias("_frame"))
-    value = F.struct("state", "log_line", F.col("_state_frame").alias("frame"), F.coalesce("state.source_frame", "_state_frame").alias("source_frame"))
-    wanted = points.select(*key, "reg", "p_line", "p_pc", "p_from").join(frames, key, "left")
-    met = wanted.join(long.select("log_id", "reg", "log_line", "pc", F.col("frame").alias("_state_frame"), "state"), ["log_id", "reg"]).where(inside & (F.col("_frame").isNull() | (F.col("_state_frame") == F.col("_frame"))))
-    latest = met.groupBy(*key).agg(F.max_by(value, "log_line").alias("seen"))
-    return points.join(latest, key, "left")
+    place = points.select(*key, "reg", "p_from", F.col("p_line").alias("log_line"), F.col("p_pc").alias("pc"))
+    whole = found.select("log_id", "log_line", "pc", F.col("frame").alias("_frame"))
+    at = latest_line_below(place.select("log_id", "point_id", "log_line", "pc"), whole, ["log_id"], key, inclusive=inclusive, name="_whole").where("_whole is not null")
+    framed = place.join(at.select(*key, "_whole"), key).where("_whole >= p_from").join(whole.select("log_id", F.col("log_line").alias("_whole"), "_frame"), ["log_id", "_whole"])
+    framed = framed.select(*key, "reg", "p_from", "log_line", "pc", F.col("_frame").alias("frame")).where("reg is not null")
+    near = latest_line_below(framed, long.select("log_id", "reg", "frame", "log_line", "pc"), ["log_id", "reg", "frame"], key, inclusive=inclusive, name="_line").where("_line >= p_from")
+    states_ = long.select("log_id", "reg", F.col("log_line").alias("_line"), F.col("frame").alias("_state_frame"), "state")
+    value = F.struct("state", F.col("_line").alias("log_line"), F.col("_state_frame").alias("frame"), F.coalesce("state.source_frame", "_state_frame").alias("source_frame"))
+    seen = near.select(*key, "reg", "_line").join(states_, ["log_id", "reg", "_line"]).select(*key, value.alias("seen"))
+    return points.join(seen, key, "left")
 
 
 def slots_of(found: DataFrame) -> DataFrame:
