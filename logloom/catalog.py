@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation_queries, more_queries, register_queries, state_queries, text_queries
+from .plans import evaluation_queries, more_queries, register_queries, signal_logs, state_queries, text_queries
 
-_ALL = text_queries.QUERIES | state_queries.QUERIES | evaluation_queries.QUERIES | more_queries.QUERIES | register_queries.QUERIES
+_ALL = text_queries.QUERIES | state_queries.QUERIES | evaluation_queries.QUERIES | more_queries.QUERIES | register_queries.QUERIES | signal_logs.QUERIES
 FLAGSHIP = "classify_histogram"
 
 

@@ -37,12 +37,13 @@ def latest_line_below(points: DataFrame, states: DataFrame, keys: list[str], poi
     whole = F.struct(*points.columns)
     seen = filed(states.select(*keys, "log_line", F.col("pc").cast("long").alias("_p")), F.col("_p"), F.lit(None).cast(points.select(whole.alias("p")).schema["p"].dataType))
     asked = filed(points.withColumn("_p", F.least(F.col("pc").cast("long"), F.lit((1 << bits) - 1))), F.col("_p"), whole)
-    order = F.when(F.col("_point").isNull(), 0 if inclusive else 1).otherwise(1 if inclusive else 0)
-    w = Window.partitionBy(*keys, "_level", "_prefix").orderBy("log_line", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    both = seen.unionByName(asked).withColumn("_order", order)
-    last = {f"_last{k}": F.last(F.when(F.col("_point").isNull() & (F.col("_digit") == k), F.col("log_line")), ignorenulls=True).over(w) for k in range(1 << DIGIT)}
-    met = both.withColumns(last).where("_point is not null")
-    below = F.greatest(*(F.when((F.col("_digit") > k) | ((F.col("_level") == 0) & (F.col("_digit") == k)), F.col(c)) for k, c in enumerate(last)))
+    # text, since the drivers of short jobs would spend their time on building some hundred column objects for each look-up
+    first = "_point IS NULL" if inclusive else "_point IS NOT NULL"
+    over = f"OVER (PARTITION BY {', '.join(keys)}, _level, _prefix ORDER BY log_line, IF({first}, 0, 1) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    both = seen.unionByName(asked)
+    last = [f"last(IF(_point IS NULL AND _digit = {k}, log_line, NULL), true) {over} AS _last{k}" for k in range(1 << DIGIT)]
+    met = both.selectExpr("*", *last).where("_point is not null")
+    below = F.expr(f"greatest({', '.join(f'IF(_digit > {k} OR (_level = 0 AND _digit = {k}), _last{k}, NULL)' for k in range(1 << DIGIT))})")
     best = met.select("_point", below.alias("_line")).groupBy(*(F.col(f"_point.{c}").alias(c) for c in point)).agg(F.first("_point").alias("_point"), F.max("_line").alias("_line"))
     return best.select("_point.*", F.col("_line").alias(name))
 

@@ -194,7 +194,10 @@ def callback_writes(origin: DataFrame, ctx: DataFrame, rows: DataFrame, found: D
     entered = found.where("from_pc is not null").where(S.callback(F.col("tokens")) == "sync").join(point, "log_id").where("log_line > origin_line and log_line < s_line").withColumn("r2", r2).where(_fixed_slot(F.col("r2")))
     entered = entered.select("log_id", F.col("log_line").alias("entry"), F.col("frame").alias("entry_frame"), F.col("from_pc").alias("pc"), "s_line", "p_from", "slot", F.struct(F.coalesce("r2.source_frame", "frame").alias("frame"), F.col("r2.off").alias("off")).alias("given"))
     reaches = (F.col("given.frame") == F.col("slot.frame")) & (F.col("given.off") >= F.col("slot.off")) & (F.col("given.off") < F.col("slot.off") + 16)
-    calls = asof.latest(entered.where(reaches).withColumn("line_no", F.col("entry")), rows.select("log_id", "pc", "line_no", "tail"), ["log_id", "pc"], "line_no", F.struct("line_no", "tail"), name="from_call")
+    entered = kept(entered.where(reaches))
+    if entered.isEmpty():  # few programs hand a dynptr to a loop: the rest is planned only for those
+        return entered.select("log_id")
+    calls = asof.latest(entered.withColumn("line_no", F.col("entry")), rows.select("log_id", "pc", "line_no", "tail"), ["log_id", "pc"], "line_no", F.struct("line_no", "tail"), name="from_call")
     calls = calls.where((F.col("from_call.line_no") >= F.col("p_from")) & (I.call_target(F.col("from_call.tail")) == "bpf_loop"))
     points = calls.select("*", F.col("entry").cast("string").alias("point_id"), F.col("from_call.line_no").alias("p_line"), F.col("pc").alias("p_pc"), F.lit(3).alias("reg"))
     handed = sites.registers_before(points, found, long).where(_fixed_slot(F.col("seen.state")) & (F.col("seen.source_frame") == F.col("given.frame")) & (F.col("seen.state.off") == F.col("given.off")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bytecode as B
 from ..functions import kinsn as K
 from ..functions import states as S
-from ..operators import cfg, facts, states
+from ..operators import cfg, facts, linking, states
 from . import projections as P
 
 # ---- programs from line items: one for each supplier, a few hundred instructions long ----
@@ -180,7 +180,51 @@ _BYTES_SQL = """WITH f AS (
   FROM lineitem
 ) SELECT program, CAST(pc AS BIGINT) AS pc, CASE WHEN count(bytes) = count(*) AND min(bytes) = max(bytes) THEN min(bytes) END AS bytes FROM f GROUP BY ALL"""
 
+# ---- programs as they are loaded ----
+
+
+def loaded_programs(spark, d):
+    """Each order as an object: a function for each item, of which many call a later one, and an entry that calls two of them."""
+    w = Window.partitionBy("l_orderkey").orderBy(*P.ORDER.split(", "))
+    items = P.table(spark, d, "lineitem").withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+    insn = lambda code, src, imm: F.struct(F.lit(code).alias("code"), F.lit(0).alias("dst"), F.lit(src).alias("src"), F.lit(0).alias("off"), imm.cast("int").alias("imm"))
+    to = F.col("k") + 1 + F.col("l_partkey") % 2
+    calls = (to <= F.col("n")) & (F.col("l_suppkey") % 3 > 0)
+    body = F.array(insn(0xB7, 0, F.col("l_partkey") % 100), F.when(calls, insn(0x85, 1, 2 * (to - 1) - 2 * F.col("k"))).otherwise(insn(0xB7, 0, F.lit(0))))
+    shared = items.select(F.col("l_orderkey").alias("object"), F.lit(1).alias("section"), F.posexplode(body).alias("p", "insn"), "k").select("object", "section", (2 * F.col("k") - 2 + F.col("p")).alias("slot"), "insn")
+    orders = items.groupBy(F.col("l_orderkey").alias("object")).agg(F.count("*").alias("n"))
+    second = 1 + F.col("object") % 3
+    entry = orders.select("object", F.lit(2).alias("section"), F.posexplode(F.array(insn(0x85, 1, F.lit(-1)), insn(0xB7, 0, F.lit(7)), F.when(second <= F.col("n"), insn(0x85, 1, F.lit(-1))).otherwise(insn(0xB7, 0, F.lit(8))))).alias("slot", "insn"))
+    sections = orders.select("object", F.explode(F.create_map(F.lit(1), F.lit(".text"), F.lit(2), F.lit("xdp"))).alias("section", "name"))
+    symbols = items.select(F.col("l_orderkey").alias("object"), F.col("k").alias("symbol"), F.lit(1).alias("section"), F.lit("text").alias("kind"), (16 * (F.col("k") - 1)).cast("long").alias("offset"), F.lit(16).cast("long").alias("size"))
+    moved = orders.select("object", F.lit(2).alias("section"), F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit(1).cast("long").alias("to")), F.struct(F.lit(2).alias("at"), second.cast("long").alias("to")))).alias("m"))
+    relocations = moved.select("object", "section", (8 * F.col("m.at")).cast("long").alias("offset"), F.lit("absolute").alias("kind"), F.lit(32).alias("size"), F.col("m.to").cast("int").alias("target_symbol"), F.lit(None).cast("int").alias("target_section"))
+    found = linking.loaded(shared.unionByName(entry), sections, symbols, relocations)
+    is_call = B.is_pseudo_call(F.col("insn"))
+    return found.groupBy("object").agg(F.count("*").alias("slots"), F.count_if(is_call).alias("calls"), F.sum(F.when(is_call, F.col("insn.imm"))).cast("long").alias("sum_steps"), F.sum(F.when(is_call, F.col("slot") * F.col("insn.imm"))).cast("long").alias("sum_places"))
+
+
+_LOADED_SQL = f"""WITH RECURSIVE items AS (
+  SELECT l_orderkey AS object, row_number() OVER (PARTITION BY l_orderkey ORDER BY {P.ORDER}) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey % 2 AS far, l_suppkey % 3 > 0 AS calls FROM lineitem
+), f AS (
+  SELECT object, k, n, CASE WHEN calls AND k + 1 + far <= n THEN k + 1 + far END AS callee FROM items
+), walk AS (
+  SELECT object, 1 AS first, 0::BIGINT AS step, k, callee FROM f WHERE k = 1
+  UNION ALL SELECT object, 2, 0::BIGINT, k, callee FROM f WHERE k = 1 + object % 3
+  UNION ALL SELECT w.object, w.first, w.step + 1, f.k, f.callee FROM walk w JOIN f ON f.object = w.object AND f.k = w.callee
+), placed AS (
+  SELECT object, k, callee, 3 + 2 * (row_number() OVER (PARTITION BY object ORDER BY first, step) - 1) AS loaded_at FROM (SELECT object, k, any_value(callee) AS callee, min(first) AS first, arg_min(step, first) AS step FROM walk GROUP BY object, k)
+), calls AS (
+  SELECT object, 0 AS slot, 2 AS imm FROM placed WHERE k = 1
+  UNION ALL SELECT object, 2, loaded_at - 3 FROM placed WHERE k = 1 + object % 3
+  UNION ALL SELECT a.object, a.loaded_at + 1, b.loaded_at - a.loaded_at - 2 FROM placed a JOIN placed b ON a.object = b.object AND a.callee = b.k
+), slots AS (
+  SELECT object, 3 + 2 * count(*) AS slots FROM placed GROUP BY object
+)
+SELECT object, any_value(slots) AS slots, count(*) AS calls, CAST(sum(imm) AS BIGINT) AS sum_steps, CAST(sum(slot * imm) AS BIGINT) AS sum_places FROM calls JOIN slots USING (object) GROUP BY object"""
+
 QUERIES = {
+    "loaded_programs": (loaded_programs, _LOADED_SQL),
     "register_facts": (register_facts, _facts_sql()),
     "kinsn_registers": (kinsn_registers, _kinsn_sql()),
     "spilled_slots": (spilled_slots, _SPILLED_SQL),
