@@ -194,3 +194,47 @@ def prompt_problems(cases: DataFrame, forbidden: tuple = FORBIDDEN) -> DataFrame
 def oracle_kinds(cases: DataFrame, default: tuple) -> DataFrame:
     """(case_id, kind): the kinds of checks of each case, its own or the manifest's."""
     return cases.select("case_id", F.explode(F.coalesce(F.col("kinds"), F.array(*map(F.lit, default)))).alias("kind"))
+
+
+# ---- checks of solutions' sources, and what oracles cover ----
+
+
+def source_checks(sources: DataFrame, predicates: DataFrame) -> DataFrame:
+    """(source_id, name, passed, error): each predicate of the source's case on its text.
+
+    sources: (source_id, case_id, text), null if it could not be read; predicates: (case_id, name, wanted, pattern), a row for each: a pattern
+    that the text without comments has to match (wanted) or must not. An unreadable text passes nothing and says so; a predicate without
+    a pattern is an error of its own."""
+    bare = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ")
+    met = sources.withColumn("_bare", bare).join(F.broadcast(predicates), "case_id")
+    error = F.when(F.col("text").isNull(), "cannot read the source").when(F.col("pattern").isNull(), "no pattern")
+    holds = F.expr("regexp_like(_bare, pattern)") == F.col("wanted")
+    return met.select("source_id", "name", F.coalesce(F.when(error.isNull(), holds), F.lit(False)).alias("passed"), error.alias("error"))
+
+
+#: What an oracle of its own may say that it covers.
+COVERED = ("expected_reject_substrings", "functional_tests", "required_success_substrings", "required_success_predicates")
+
+
+def oracle_coverage(oracles: DataFrame) -> DataFrame:
+    """Adds to oracles (case_id, text of a test's source) how many entries each list of its coverage has; null where it has none.
+
+    The lists are those of the literal CUSTOM_ORACLE_COVERAGE; for the rejected texts the list EXPECTED_REJECT_SUBSTRINGS counts where that
+    has none. Entries are counted at the top level of the literal: strings with commas and nested brackets are one."""
+    string = r"\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'"
+    inner = rf"(?:{string}|[^\[\]()\"'#]|\([^()]*\)|\[[^\[\]]*\])*"
+    plain = F.regexp_replace("text", r"(?m)^\s*#[^\n]*$", "")
+    declared = F.regexp_extract(plain, r"(?ms)^CUSTOM_ORACLE_COVERAGE\s*(?::[^=\n]*)?=\s*\{(.*?)^\}", 1)
+
+    def entries(body):
+        """Commas outside strings and brackets, and one more for what follows the last."""
+        flat = F.regexp_replace(F.regexp_replace(body, string, "s"), r"\([^()]*\)|\[[^\[\]]*\]", "s")
+        return F.size(F.filter(F.split(flat, ","), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != ""))
+
+    def count(source, head: str):
+        body = F.regexp_extract(source, rf"(?ms){head}\s*[\[(]({inner})[\])]", 1)
+        return F.when(source.rlike(rf"(?ms){head}\s*[\[(]{inner}[\])]"), entries(body))
+
+    named = {c: count(declared, rf"[\"']{c}[\"']\s*:") for c in COVERED}
+    named[COVERED[0]] = F.coalesce(named[COVERED[0]], count(plain, r"^EXPECTED_REJECT_SUBSTRINGS\s*(?::[^=\n]*)?="))
+    return oracles.select("case_id", *(c.cast("int").alias(n) for n, c in named.items()))

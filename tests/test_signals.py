@@ -4,14 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import signals as P
-from logloom.operators import diagnose, logs
-from logloom.plans.signal_logs import LOGS, texts
+from logloom.plans.signal_logs import LOGS
 
 @pytest.fixture(scope="module")
-def found(spark):
-    whole = list(texts().items())
-    lines = logs.lines(spark.createDataFrame(whole, "log_id string, text string")).checkpoint() if spark.sparkContext.getCheckpointDir() else logs.lines(spark.createDataFrame(whole, "log_id string, text string"))
-    return {r.log_id: r for r in diagnose.explained(lines).collect()}
+def found(explained_logs):
+    return explained_logs.found
 
 
 def test_each_signal_holds(found):
