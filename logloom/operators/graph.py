@@ -41,3 +41,21 @@ def live_in(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
         if new.isEmpty():
             return seen
         seen = seen.unionByName(new)
+
+
+def chain_places(links: DataFrame, key: list[str]) -> DataFrame:
+    """(key, node, head, place): of nodes in chains (key, node, next) with at most one link into and out of each, the chain's first node
+    and how many links lie before the node. Nodes that no link leads to are not returned; cycles have no head and are not either.
+
+    Pointer jumping: each round every node's pointer skips to where that of its target points, so rounds are the logarithm of a chain."""
+    now = _cut(links.select(*key, F.col("next").alias("node"), F.col("node").alias("head"), F.lit(1).cast("long").alias("place")))
+    n = now.count()
+    for _ in range(max(1, n.bit_length() + 1)):  # what still moves then goes round in a cycle
+        up = now.select(*key, F.col("node").alias("head"), F.col("head").alias("_head"), F.col("place").alias("_place"))
+        met = now.join(up, [*key, "head"], "left")
+        now = _cut(met.select(*key, "node", F.coalesce("_head", "head").alias("head"), (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place"), F.col("_head").isNotNull().alias("_went")))
+        if now.where("_went").isEmpty():
+            return now.drop("_went")
+        now = now.drop("_went")
+    targets = links.select(*key, F.col("next").alias("head")).distinct()
+    return now.join(targets, [*key, "head"], "left_anti")

@@ -12,7 +12,7 @@ from ..functions import instructions as I
 from ..functions import messages as M
 from ..functions import proofs
 from ..functions import sources as T
-from ..operators import cfg, classify, corpus, diagnose, evaluate, harness, loader, sites
+from ..operators import cfg, classify, corpus, diagnose, evaluate, harness, loader, rewriting, scoring, sites
 from . import projections as P
 from .text_queries import _CLASSIFIED
 
@@ -70,6 +70,38 @@ def eval_scores(spark, d):
     return scored.groupBy("proof", "root", "action").agg(F.count("*").alias("n"))
 
 
+def evaluation_summary(spark, d):
+    """Every metric of diagnostics and of a baseline over labelled documents, as counts, with macro-F1 in millionths."""
+    e = P.eval_rows(spark, d)
+    k = F.col("case_id")
+    rows = e.select(
+        F.col("gold").alias("taxonomy"), F.col("pred").alias("failure_class"), F.when(k % 2 == 0, F.col("gold")).otherwise("source_bug").alias("baseline_class"), F.concat(F.lit("E"), (k % 5).cast("string")).alias("label_error_id"), F.when(k % 9 == 0, V.UNKNOWN[0]).otherwise(F.concat(F.lit("E"), (k % 7).cast("string"))).alias("error_id"),
+        F.lit(V.UNKNOWN[0]).alias("baseline_id"), F.when(k % 3 == 0, "unspecified").otherwise(F.col("gold_action")).alias("label_action"), F.coalesce("pred_action", F.lit("other")).alias("action"), F.lit("action_1").alias("prose_action"), F.lit("action_0").alias("baseline_action"), "root_pc", "pcs", (k % 4 > 0).alias("primary_span"), (k % 3).cast("int").alias("related"),
+    )
+    f1 = scoring.macro_f1(rows, "failure_class").select(F.lit(99).alias("place"), F.lit("macro-F1").alias("metric"), F.round(F.col("f1") * 1_000_000).cast("long").alias("hits"), F.lit(0).cast("long").alias("baseline_hits"), F.lit(1_000_000).cast("long").alias("total"))
+    return scoring.counted(rows).unionByName(f1).drop("place")
+
+
+_EVALUATION_SQL = """e AS (
+  SELECT *, CASE WHEN case_id % 2 = 0 THEN gold ELSE 'source_bug' END AS bclass, 'E' || (case_id % 5) AS lid, CASE WHEN case_id % 9 = 0 THEN 'UNKNOWN' ELSE 'E' || (case_id % 7) END AS eid,
+         CASE WHEN case_id % 3 = 0 THEN 'unspecified' ELSE gold_action END AS la, coalesce(pred_action, 'other') AS action FROM eval_rows
+), m(metric, a, b, t) AS (
+  SELECT 'known error id', count(*) FILTER (WHERE eid <> 'UNKNOWN'), 0, count(*) FROM e
+  UNION ALL SELECT 'error-id exact', count(*) FILTER (WHERE eid = lid), 0, count(*) FROM e
+  UNION ALL SELECT 'taxonomy agreement', count(*) FILTER (WHERE pred = gold), count(*) FILTER (WHERE bclass = gold), count(*) FROM e
+  UNION ALL SELECT name, count(*) FILTER (WHERE gold = c AND pred = c), count(*) FILTER (WHERE gold = c AND bclass = c), count(*) FILTER (WHERE gold = c)
+    FROM (VALUES ('lowering-artifact recall', 'lowering_artifact'), ('environment recall', 'environment_or_configuration'), ('verifier-false-positive recall', 'verifier_false_positive'), ('verifier-limit recall', 'verifier_limit')) v(name, c), e GROUP BY name
+  UNION ALL SELECT 'primary span emitted', count(*) FILTER (WHERE case_id % 4 > 0), 0, count(*) FROM e
+  UNION ALL SELECT 'related proof spans emitted', count(*) FILTER (WHERE case_id % 3 > 0), 0, count(*) FROM e
+  UNION ALL SELECT 'root pc exact', count(*) FILTER (WHERE list_contains(pcs, root_pc)), 0, count(root_pc) FROM e
+  UNION ALL SELECT 'root pc within 5', count(*) FILTER (WHERE abs(pcs[1] - root_pc) <= 5 OR abs(pcs[2] - root_pc) <= 5), 0, count(root_pc) FROM e
+  UNION ALL SELECT 'next-action exact', count(*) FILTER (WHERE la <> 'unspecified' AND action = la), count(*) FILTER (WHERE la = 'action_0'), count(*) FILTER (WHERE la <> 'unspecified') FROM e
+  UNION ALL SELECT 'prose-action exact', count(*) FILTER (WHERE la = 'action_1'), count(*) FILTER (WHERE la = 'action_0'), count(*) FILTER (WHERE la <> 'unspecified') FROM e
+  UNION ALL SELECT 'macro-F1', CAST(round(sum(CASE WHEN g + p > 0 THEN 2.0 * tp / (g + p) ELSE 0 END) / 5 * 1000000) AS BIGINT), 0, 1000000
+    FROM (SELECT c, count(*) FILTER (WHERE gold = c) AS g, count(*) FILTER (WHERE pred = c) AS p, count(*) FILTER (WHERE gold = c AND pred = c) AS tp FROM (VALUES ('source_bug'), ('lowering_artifact'), ('environment_or_configuration'), ('verifier_false_positive'), ('verifier_limit')) v(c), e GROUP BY c)
+)"""
+
+
 def fallback_gate(spark, d):
     """Logs that the rules leave without a class, and whether the gate lets the corpus pass."""
     found = classify.classified(P.messages(spark, d))
@@ -162,6 +194,14 @@ def map_binding_order(spark, d):
     return found.groupBy("program").agg(F.count("*").alias("loads"), (F.max("map_index") + 1).cast("long").alias("maps"), F.sum("map_index").cast("long").alias("sum_index"))
 
 
+def compacted_programs(spark, d):
+    """Slots, jumps and blocks' first instructions of each program without unreachable code and needless jumps."""
+    rows = _programs(spark, d)
+    out = rewriting.compacted(rows.withColumn("high", F.lit(None).cast("int")))
+    code = F.col("insn.code")
+    return out.groupBy("program").agg(F.sum(B.width(code)).cast("long").alias("slots"), F.count_if(B.is_jump(code)).alias("jumps"), F.sum("old_pc").cast("long").alias("sum_old_pcs"), F.sum(B.branch_delta(F.col("insn"))).cast("long").alias("sum_deltas"))
+
+
 # ---- sources ----
 
 _SOURCES = ("if (p%d + 4 > data_end) return 0;", "if (!val%d) return 0;", "u8 *q%d = data + off%d;", "x%d = bpf_map_lookup_elem(&map%d, (void *)&key);", "bpf_ringbuf_submit(e%d, 0);", "int total_%d = 12; /* memset */", "for (i = 0; i < %d; i++) sum += buf[i];")
@@ -276,6 +316,7 @@ FROM (SELECT *, coalesce(list_extract({[c for _, c, _ in V.DICTIONARY]}, k + 1),
     CASE WHEN ga = 'unspecified' THEN 'na' WHEN pa = ga THEN 'correct' WHEN (ga = 'budget' AND pa IN ('bounds', 'null')) OR (ga IN ('bounds', 'null') AND pa = 'budget') THEN 'unsafe' ELSE 'partial' END AS action
   FROM (SELECT *, CASE gold_action WHEN 'action_0' THEN 'bounds' WHEN 'action_1' THEN 'budget' WHEN 'action_2' THEN 'null' ELSE 'unspecified' END AS ga, CASE pred_action WHEN 'action_0' THEN 'bounds' WHEN 'action_1' THEN 'budget' WHEN 'action_2' THEN 'null' ELSE 'unspecified' END AS pa FROM eval_rows)
 ) GROUP BY 1, 2, 3""")),
+    "evaluation_summary": (evaluation_summary, P.sql(P.EVAL_ROWS, _EVALUATION_SQL, query="SELECT metric, CAST(a AS BIGINT) AS hits, CAST(b AS BIGINT) AS baseline_hits, CAST(t AS BIGINT) AS total FROM m")),
     "fallback_gate": (fallback_gate, P.sql(P.MESSAGES, _CLASSIFIED, query="SELECT error_id, failure_class, count(*) AS n, sum(count(*)) OVER () AS failures, sum(count(*)) OVER () = 0 AS passed FROM classified WHERE error_id IN ('E099', 'UNKNOWN') GROUP BY 1, 2")),
     "prose_actions": (prose_actions, None),
     "obligation_texts": (obligation_texts, P.sql(P.MESSAGES, _CLASSIFIED, query=f"SELECT c.obligation, n, label, required, rejected FROM (SELECT obligation, count(*) AS n FROM classified GROUP BY 1) c JOIN (VALUES {_OBLIGATION_ROWS}) t(obligation, label, required, rejected) ON c.obligation = t.obligation")),
@@ -304,6 +345,7 @@ blocks AS (SELECT program, block, min(pc) AS start, max(pc) AS last, arg_max(cod
 tos AS (SELECT program, block, last + 1 + delta AS start, CASE WHEN code IN (5, 6) THEN 'jump' ELSE 'taken' END AS kind FROM blocks WHERE code IN (5, 6, 21) UNION ALL SELECT program, block, last + 1, 'fallthrough' FROM blocks WHERE code = 21
   UNION ALL SELECT program, block, last + 1 + callee, 'callee' FROM blocks WHERE callee IS NOT NULL UNION ALL SELECT program, block, last + 1, 'return' FROM blocks WHERE callee IS NOT NULL UNION ALL SELECT program, block, last + CASE WHEN code = 24 THEN 2 ELSE 1 END, 'fallthrough' FROM blocks WHERE NOT ends)
 SELECT kind, count(*) AS n, CAST(sum(b.block - t.block) AS BIGINT) AS sum_steps FROM tos t JOIN blocks b ON t.program = b.program AND t.start = b.start GROUP BY 1""".replace("\n, numbered", ", numbered", 1))),
+    "compacted_programs": (compacted_programs, None),
     "map_binding_order": (map_binding_order, P.sql(_PROGRAMS, query="""SELECT program, count(*) AS loads, max(k) AS maps, CAST(sum(k - 1) AS BIGINT) AS sum_index FROM (SELECT program, dense_rank() OVER (PARTITION BY program ORDER BY first) AS k FROM (SELECT program, min(pc) OVER (PARTITION BY program, dst) AS first FROM programs WHERE code = 24 AND src IN (1, 2, 5, 6))) GROUP BY 1""")),
     "source_heuristics": (source_heuristics, P.sql(_SOURCE_LINES, query=r"""SELECT form, count(*) FILTER (WHERE form = 0) AS guard, count(*) FILTER (WHERE form = 0) AS packet_check, count(*) FILTER (WHERE form = 1) AS null_check, count(*) FILTER (WHERE form = 3) AS nullable,
   count(*) FILTER (WHERE contains(text, '=') AND (contains(text, '0') OR contains(text, 'memset'))) AS initializes, CAST(0 AS BIGINT) AS acquires, count(*) FILTER (WHERE form = 4) AS releases, count(*) FILTER (WHERE form = 2) AS derives,
