@@ -138,13 +138,3 @@ def proof_events(ctx: DataFrame, events: DataFrame) -> DataFrame:
         found = F.when(o == name, F.array(*parts, rejected)).otherwise(found)
     out = ctx.withColumn("events", F.filter(found, lambda e: e.isNotNull()))
     return out.withColumn("required", F.col("_proof.required")).withColumn("rejection", F.col("_proof.rejected")).drop("_proof", "_r", "_sources")
-
-
-def has_event(role: str, evidence: str, obligation: str, source=None) -> Column:
-    """Whether a log has such an event, of which `source` (a condition on its text) holds."""
-
-    def fits(e: Column) -> Column:
-        kind = (e["role"] == role) & (e["evidence"] == evidence) & (e["obligation"] == obligation)
-        return kind if source is None else kind & F.coalesce(source(e["source"]["text"]), F.lit(False))
-
-    return F.coalesce(F.exists("events", fits), F.lit(False))

@@ -121,7 +121,7 @@ def obligation_texts(spark, d):
 
 def packet_proofs(spark, d):
     m = F.col("message")
-    return P.messages(spark, d).where("log_id % 26 = 0").select("log_id", proofs.packet_bounds(m, M.register(m)).alias("p")).select("log_id", "p.required", "p.rejected")
+    return classify.classified(P.messages(spark, d)).where("obligation = 'PacketBounds'").select("log_id", proofs.packet_bounds(m, M.register(m)).alias("p")).select("log_id", "p.required", "p.rejected")
 
 
 def nullable_proofs(spark, d):
@@ -320,8 +320,8 @@ FROM (SELECT *, coalesce(list_extract({[c for _, c, _ in V.DICTIONARY]}, k + 1),
     "fallback_gate": (fallback_gate, P.sql(P.MESSAGES, _CLASSIFIED, query="SELECT error_id, failure_class, count(*) AS n, sum(count(*)) OVER () AS failures, sum(count(*)) OVER () = 0 AS passed FROM classified WHERE error_id IN ('E099', 'UNKNOWN') GROUP BY 1, 2")),
     "prose_actions": (prose_actions, None),
     "obligation_texts": (obligation_texts, P.sql(P.MESSAGES, _CLASSIFIED, query=f"SELECT c.obligation, n, label, required, rejected FROM (SELECT obligation, count(*) AS n FROM classified GROUP BY 1) c JOIN (VALUES {_OBLIGATION_ROWS}) t(obligation, label, required, rejected) ON c.obligation = t.obligation")),
-    "packet_proofs": (packet_proofs, P.sql(P.MESSAGES, query=f"""SELECT log_id, 'prove R' || r || ' has packet range at least ' || need || ' bytes before this access; verifier currently has range ' || known AS required,
-  'rejected here: verifier needs R' || r || ' packet range >= ' || need || ', but only ' || known || ' bytes are proven' AS rejected FROM (SELECT log_id, {_R} AS r, {_N("off=")} + {_N("size=")} AS need, {_N("r=")} AS known FROM messages WHERE log_id % 26 = 0)""")),
+    "packet_proofs": (packet_proofs, P.sql(P.MESSAGES, _CLASSIFIED, query=f"""SELECT log_id, 'prove R' || r || ' has packet range at least ' || need || ' bytes before this access; verifier currently has range ' || known AS required,
+  'rejected here: verifier needs R' || r || ' packet range >= ' || need || ', but only ' || known || ' bytes are proven' AS rejected FROM (SELECT log_id, {_R} AS r, {_N("off=")} + {_N("size=")} AS need, {_N("r=")} AS known FROM classified WHERE obligation = 'PacketBounds')""")),
     "nullable_proofs": (nullable_proofs, P.sql(P.MESSAGES, _CLASSIFIED, query=f"""SELECT log_id, coalesce(CASE obligation WHEN 'NullablePointer' THEN 'prove R' || r || ' is non-null in the same verifier-visible branch before dereference, pointer arithmetic, or helper reuse' WHEN 'ReferenceLifecycle' THEN 'release verifier-tracked reference id ' || i || ' on every path before exit'
     ELSE 'initialize every stack byte reachable from R' || r || ' before it is read or passed to a helper' END, required) AS required,
   coalesce(CASE obligation WHEN 'NullablePointer' THEN 'rejected here: R' || r || ' is still nullable at the use site' WHEN 'ReferenceLifecycle' THEN 'rejected here: reference id ' || i || ' is not released on every path' ELSE 'rejected here: stack memory reachable from R' || r || ' is not fully initialized' END, rejected) AS rejected

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 REPORT = "source string, expect_reject boolean, compile struct<returncode: int, stdout: string, stderr: string>, load struct<returncode: int, stdout: string, stderr: string>, source_semantics array<struct<kind: string, name: string, passed: boolean>>, functional array<struct<name: string, expected_retval: long, actual_retval: long, passed: boolean>>, passed boolean"
 SUMMARY = "mode string, total int, passed int, results array<struct<case: string, status: string, failure_stage: string, mode: string, model: string, attempt: int, prompt_sha256: string, prompt_chars: long, source_chars: long, diagnostic_chars: long>>"
@@ -97,46 +94,3 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], ["path", "document"])
 
     return read_logs(spark, path).withColumnRenamed("log_id", "path").mapInArrow(parse, "path string, document string")
-
-
-class YamlSource(DataSource):
-    """`spark.read.format("yaml").load(path)`: (path, document as JSON) of each file that a glob names; needs PyYAML. For files on a disk
-    that all executors see; `read_yaml` reads any store.
-
-    Files are dealt to tasks by name; `from_json` with a schema makes columns of the documents."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "yaml"
-
-    def schema(self) -> str:
-        return "path string, document string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _YamlReader(self.options)
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _YamlReader(DataSourceReader):
-    def __init__(self, options):
-        self.pattern = options.get("path")
-
-    def partitions(self) -> list[InputPartition]:
-        import glob
-
-        return [_File(p) for p in sorted(glob.glob(self.pattern, recursive=True))]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        import json
-
-        import yaml
-
-        with open(partition.path, encoding="utf-8") as f:
-            document = yaml.safe_load(f)
-        if not isinstance(document, dict):
-            raise ValueError(f"{partition.path} is no mapping")
-        yield partition.path, json.dumps(document, default=str)
