@@ -29,8 +29,9 @@ TYPED = r"^([^(]*)\((.*)\)[^)]*$"
 #: One `name=` of a chain `a=b=value`, with the chain's value.
 ATTRIBUTE = r"(\w+?)(?:_value)?=(?=(?:\w+=)*((?:\([^()]*\)|[^,()=])*)(?:,|$))"
 U64 = "decimal(20,0)"
-#: Texts whose brackets nest two deep at most and balance.
-SHALLOW = rf"^(?:[^()]|{_NESTED})*$"
+#: Texts whose brackets balance and nest two deep at most, and one deep. Possessive, so that each character is read once.
+SHALLOW = r"^(?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+$"
+FLAT = r"^(?:[^()]++|\([^()]*+\))*+$"
 
 
 # ---- brackets ----
@@ -177,7 +178,7 @@ def attributes(text: Column) -> Column:
     text = F.regexp_replace(text, r"\bmem_size=", "sz=")
     found = lambda k: F.reverse(F.regexp_extract_all(text, F.lit(ATTRIBUTE), F.lit(k)))
     flat = named({"names": found(1), "values": F.transform(found(2), lambda x: F.trim(x))})
-    return F.when(text.rlike(r"^(?:[^()]|\([^()]*\))*$"), flat).otherwise(_nested_attributes(text))
+    return F.when(text.rlike(FLAT), flat).otherwise(_nested_attributes(text))
 
 
 def _nested_attributes(text: Column) -> Column:
