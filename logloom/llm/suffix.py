@@ -8,10 +8,15 @@ of the suffixes that stops at that depth. Suffixes of all places are never shuff
    lies. Equal strings choose the same gram at the same place, and neighbouring strings mostly share their gram, so one row
    (an anchor with its extent, all strings that chose it) stands for dozens of suffixes. Strings of an extent that equals
    an earlier one's are settled there; tasks do so for what they hold before anything is shuffled.
-2. The anchors of a gram meet in sorted order. Grams with a single distinct extent are done.
+2. The anchors of a gram meet in sorted order. Grams with a single distinct extent are done. Frequent grams are split over
+   tasks by their extents: whoever holds more than `SHARE` of all anchors does so in some task's batch as well, so batches name
+   the grams that do there, and those named often enough overall are at most 1/`SHARE`.
 3. Further digits. Extents that share a gram but differ go through passes of eight bytes a time over all their suffixes,
    which drop a suffix as soon as it is alone, up to the full depth. A gram with more than `large` different extents is
-   filed anew, each string under its whole self, and read in sorted order.
+   filed anew, each string under its whole self, and read in sorted order; tasks settle equal strings of theirs before that.
+
+So no task holds more than a small share of the anchors of all documents, whatever they have in common: of a gram at most
+`large` + 2 * `SHARE` of all, and of an extent or a string one row for each batch of a task.
 
 Strings are compared byte by byte, but for equal extents, which are told by 128 bits of hashes. Each extent's repeated
 strings all contain its gram, so they cover one interval. Intervals are merged per document at the end.
@@ -39,6 +44,10 @@ PIECE = 1 << 20
 HELD = 400_000
 #: Suffixes that go through the passes at a time.
 SORTED_AT_ONCE = 400_000
+#: A gram with more than this share of all anchors, and with more than `large` of them, is split over tasks.
+SHARE = 1 / 20_000
+#: Different strings of large grams that a task holds before it passes them on.
+STRINGS_HELD = 100_000
 _PLACE = np.uint64((1 << 24) - 1)
 #: Stands for a null id.
 NO_ID = -(1 << 63)
@@ -139,8 +148,12 @@ def _joined(ids: np.ndarray, marks: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     return ids[at], marks[at], lo[at], reach[np.concatenate((at[1:] - 1, [len(ids) - 1]))]
 
 
+#: What `until` says in rows that are no intervals: an anchor, or the number (as extent) of a batch's anchors of a frequent gram.
+ANCHOR, NAMED = 0, -1
+
+
 def _file(batches, depth: int, gram: int):
-    """Anchors, without those that repeat an earlier one of the same task, and intervals of the latter."""
+    """Anchors, without those that repeat an earlier one of the same task, intervals of the latter, and grams that are frequent here."""
     hashes = _Hashes()
     held: list[tuple] = []
     count = 0
@@ -151,7 +164,11 @@ def _file(batches, depth: int, gram: int):
         order = np.lexsort((place, marks, ids, extent, key))
         key, extent, place, ids, marks = (x[order] for x in (key, extent, place, ids, marks))
         begin = _changes(key, extent)
-        yield batch_of(_ANCHORS, key[begin].view(np.int64), extent[begin].view(np.int64), ids[begin], marks[begin], place[begin], np.zeros(begin.sum(), np.int64))
+        yield batch_of(_ANCHORS, key[begin].view(np.int64), extent[begin].view(np.int64), ids[begin], marks[begin], place[begin], np.full(begin.sum(), ANCHOR))
+        named, n = np.unique(key[begin], return_counts=True)
+        often = n > SHARE * begin.sum()
+        none = np.zeros(often.sum(), np.int64)
+        yield batch_of(_ANCHORS, named[often].view(np.int64), n[often], none, none, none, np.full(often.sum(), NAMED))
         # a row that repeats the first one itself is no repetition; equal rows of another repeat are settled with it
         leader = _leaders(begin)
         again = _changes(key, extent, ids, marks, place) & ((ids != ids[leader]) | (marks != marks[leader]) | (place != place[leader]))
@@ -174,15 +191,17 @@ def _file(batches, depth: int, gram: int):
 
 def _meet(batches, depth: int):
     """Reads anchors in order of key, extent, document and place. Gives intervals, and one anchor for each extent where a key has
-    two or more of them; remembers only the row before."""
+    two or more of them, or may have others elsewhere (`split`); remembers only the row before."""
     last = None  # key, extent, doc_id, mark, place of the last extent's first anchor, and whether it was given out
     for batch in batches:
         *columns, until = (batch.column(c).to_numpy() for c in _ANCHORS.names)
+        split = batch.column("split").to_numpy(zero_copy_only=False)
         done = until > 0
         out = [(np.zeros(done.sum(), np.int64), *(x[done] for x in columns[2:]), until[done])]
-        columns = [x[~done] for x in columns]
+        columns, split = [x[~done] for x in columns], split[~done]
         if len(columns[0]):
             if last is not None:
+                split = np.concatenate(([False], split))
                 columns = [np.concatenate(([x], y)) for x, y in zip(last[:5], columns, strict=True)]
             given = last is not None and last[5]
             key, extent, ids, marks, place = columns
@@ -194,19 +213,33 @@ def _meet(batches, depth: int):
             out.append((np.zeros(len(who), np.int64), who, mark, lo, hi))
             key, extent, ids, marks, place = (x[begin] for x in columns)
             near = key[1:] == key[:-1]
-            several = np.concatenate(([given], near)) | np.concatenate((near, [False]))
+            several = np.concatenate(([given], near)) | np.concatenate((near, [False])) | split[begin]
             last = (key[-1], extent[-1], ids[-1], marks[-1], place[-1], bool(several[-1]))
             several[0] &= not given
             out.append((key[several], ids[several], marks[several], place[several], np.zeros(several.sum(), np.int64)))
         yield batch_of(_FOUND, *(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
-_EXTENTS = pa.schema([*((c, pa.int64()) for c in ("key", "doc_id", "mark", "place")), ("data", pa.binary())])
+_EXTENTS = pa.schema([*((c, pa.int64()) for c in ("key", "doc_id", "mark", "place")), ("data", pa.binary()), ("until", pa.int64())])
 
 
 def _extents(batches, depth: int):
-    """The bytes of each extent; where its key is a large one, those of each of its strings, filed under all of them."""
+    """The bytes of each extent; where its key is a large one, those of each of its strings, filed under all of them. Of equal
+    strings that meet here only the first goes on; the others are intervals (no data, but `until`)."""
     hashes = _Hashes()
+    strings: dict[bytes, tuple[int, int, int, int]] = {}  # to the key and the document, mark and place of the first so far
+    again: list[tuple[int, int, int]] = []
+
+    def settle():
+        if strings:
+            yield batch_of(_EXTENTS, *zip(*((k, *at, _pack(place, 255, 0), data, 0) for data, (k, *at, place) in strings.items()), strict=True))
+            strings.clear()
+        if again:
+            ids, marks, lo = (np.array(c, np.int64) for c in zip(*again, strict=True))
+            who, mark, lo, hi = _joined(ids, marks, lo, lo + depth)
+            yield batch_of(_EXTENTS, mixed((who ^ mark).view(np.uint64)).view(np.int64), who, mark, lo, [None] * len(who), hi)
+            again.clear()
+
     for batch in batches:
         out, size = [], 0
         for doc_id, mark, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
@@ -215,17 +248,25 @@ def _extents(batches, depth: int):
                 first, before, more = _unpack(x["place"])
                 extent = data[first : first + more + depth]
                 if not x["hot"]:
-                    out.append((x["key"], doc_id, mark, x["place"], extent))
+                    out.append((x["key"], doc_id, mark, x["place"], extent, 0))
                 else:
                     sums, each = hashes.sums(np.frombuffer(extent, np.uint8)), np.arange(more + 1)
                     for k, h in enumerate(hashes.of(sums, each, each + depth).view(np.int64).tolist()):
-                        out.append((h, doc_id, mark, _pack(first + k, 255, 0), extent[k : k + depth]))
+                        at, string = (doc_id, mark, first + k), extent[k : k + depth]
+                        leader = strings.setdefault(string, (h, *at))[1:]
+                        if at < leader:
+                            strings[string] = (h, *at)
+                        if at != leader:
+                            again.append(max(at, leader))
                 size += len(extent)
             if size > 4_000_000:
                 yield batch_of(_EXTENTS, *zip(*out, strict=True))
                 out, size = [], 0
+            if len(strings) > STRINGS_HELD or len(again) > 4 * STRINGS_HELD:
+                yield from settle()
         if out:
             yield batch_of(_EXTENTS, *zip(*out, strict=True))
+    yield from settle()
 
 
 def radix_groups(data: np.ndarray, starts: np.ndarray, label: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +290,7 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, label: np.ndarray, depth:
 
 def _sort_extents(batches, depth: int):
     """Intervals of repeated strings inside groups of equal keys."""
-    held: list[tuple[int, int, int, int, bytes]] = []
+    held: list[tuple[int, int, int, int, bytes, int]] = []
     strings, key, seen = 0, None, {}
 
     def passes():
@@ -275,6 +316,9 @@ def _sort_extents(batches, depth: int):
     for batch in batches:
         late: list[tuple[int, int, int, int]] = []
         for x in zip(*(batch.column(c).to_pylist() for c in _EXTENTS.names), strict=True):
+            if x[5]:  # settled before
+                late.append((x[1], x[2], x[3], x[5]))
+                continue
             if x[0] != key:
                 key, seen = x[0], {}
                 if strings > SORTED_AT_ONCE:
@@ -299,8 +343,13 @@ def repeated(df: DataFrame, depth: int = DEPTH, gram: int = GRAM, large: int = 2
 
     `df` has doc_id (NO_ID for null), mark and text. Documents without any are left out.
     """
-    filed = df.mapInArrow(lambda b: _file(b, depth, gram), _ddl(_ANCHORS))
-    met = kept(filed.repartition("key").sortWithinPartitions("key", "extent", "doc_id", "mark", "place").mapInArrow(lambda b: _meet(b, depth), _ddl(_FOUND)))
+    filed = kept(df.mapInArrow(lambda b: _file(b, depth, gram), _ddl(_ANCHORS)))
+    least = max(large, SHARE * filed.where(F.col("until") == ANCHOR).count())
+    named = filed.where(F.col("until") == NAMED).groupBy("key").agg(F.sum("extent").alias("n")).where(F.col("n") > least)
+    # at most 1 / SHARE rows: each stands for more than that share of all anchors
+    split = filed.where(F.col("until") >= ANCHOR).join(F.broadcast(named.select("key", F.lit(True).alias("split"))), "key", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    route = F.when(F.col("split"), F.xxhash64("key", "extent")).otherwise(F.col("key"))
+    met = kept(split.repartition(route).sortWithinPartitions("key", "extent", "doc_id", "mark", "place").mapInArrow(lambda b: _meet(b, depth), _ddl(_FOUND)))
     open_ = met.where("until = 0")
     hot = open_.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("key", F.lit(True).alias("hot"))
     hot = hot.repartition(F.xxhash64("key"))  # dealt anew, so that the join has an exchange on both sides and can split a large key

@@ -1,7 +1,10 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import suffix as S
 
@@ -73,3 +76,21 @@ def test_repeated_rows_and_nulls(spark):
 
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_gram_of_all_documents_is_split(spark, monkeypatch):
+    """All documents share a gram, each with other bytes around it, and groups of them share whole strings with it. The share of a split gram
+    is so low that it goes to several tasks, and few strings are held, so that equal ones meet again after the shuffle."""
+    rng = random.Random(7)
+    middle = "".join(rng.choice("abcdefgh") for _ in range(60))
+    side = lambda: "".join(rng.choice("stuvwxyz") for _ in range(60))
+    sides = [side() for _ in range(12)]
+    docs = [(i, (rng.choice(sides) if i % 3 else side()) + middle + (rng.choice(sides) if i % 2 else side())) for i in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    filed = pa.Table.from_batches([*S._file(df.select("doc_id", F.xxhash64("text").alias("mark"), "text").toArrow().to_batches(), 100, 32)])
+    named = filed.filter(pc.equal(filed["until"], S.NAMED))
+    assert pc.max(named["extent"]).as_py() > 100  # one gram holds more than a hundred extents of this batch
+    for held in (1, 50, 100_000):
+        monkeypatch.setattr(S, "STRINGS_HELD", held)
+        got = S.remove_repeats(df, 100, 32, large=5).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain(docs, 100)
