@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut as _cut
 
+#: So many parts of a fixpoint's rows, each written at the end of a round, are written anew as one.
+PARTS = 8
+
+
+def _whole(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (rows for _, rows in parts))
+
+
+def _with_part(parts: list[tuple[int, DataFrame]], new: DataFrame) -> list[tuple[int, DataFrame]]:
+    """`parts` (rank, rows) and one more of rank 0. The last `PARTS` of one rank become one of the next, so that after any number of
+    rounds there are few parts to read, their number growing with its logarithm, and a row is written again as often as that."""
+    parts = [*parts, (0, new)]
+    while len(parts) >= PARTS and parts[-PARTS][0] == parts[-1][0]:
+        parts = [*parts[:-PARTS], (parts[-1][0] + 1, _cut(_whole(parts[-PARTS:])))]
+    return parts
+
 
 def predecessors(edges: DataFrame) -> DataFrame:
     """(node, predecessors): the sorted distinct sources of each node's edges (src, dst)."""
@@ -16,15 +34,15 @@ def predecessors(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(node, depth): the nodes that entries (node) reach, with the fewest steps. Only the frontier is joined each round."""
     frontier, depth = _cut(entries.select("node", F.lit(0).alias("depth")).distinct()), 0
-    seen = frontier  # one part for each round; no round writes those before it again
+    parts = [(0, frontier)]
     edges = _cut(edges.select("src", "dst").distinct())
     while True:
         depth += 1
         new = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = _cut(new.join(_whole(parts), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+            return _whole(parts)
+        parts = _with_part(parts, frontier)
 
 
 def live_in(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
@@ -32,15 +50,15 @@ def live_in(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
 
     edges (src, dst), uses (node, var), defs (node, var). Facts spread backwards; each round joins the new ones only.
     """
-    seen = _cut(uses.select("node", "var").distinct())
-    new = seen
+    new = _cut(uses.select("node", "var").distinct())
+    parts = [(0, new)]
     edges, defs = _cut(edges.select("src", "dst").distinct()), _cut(defs.select("node", "var").distinct())
     while True:
         back = new.join(edges, new.node == edges.dst).select(F.col("src").alias("node"), "var").distinct()
-        new = _cut(back.join(defs, ["node", "var"], "left_anti").join(seen, ["node", "var"], "left_anti"))
+        new = _cut(back.join(defs, ["node", "var"], "left_anti").join(_whole(parts), ["node", "var"], "left_anti"))
         if new.isEmpty():
-            return seen
-        seen = seen.unionByName(new)
+            return _whole(parts)
+        parts = _with_part(parts, new)
 
 
 def chain_places(links: DataFrame, key: list[str]) -> DataFrame:
