@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let, named
+
 # Fixed values of the instruction set: classes, operations, and opcodes of their own.
 LD, LDX, ST, STX, ALU, JMP, JMP32, ALU64 = range(8)
 JA, CALL, EXIT, MOV = 0x00, 0x80, 0x90, 0xB0
@@ -21,20 +23,17 @@ PACKET_LAYOUTS = {
 }
 
 
-def _unsigned(raw: Column, at: int, size: int) -> Column:
-    """Little-endian bytes from `at` (counted from 0) as a number."""
-    return F.conv(F.hex(F.reverse(F.substring(raw, at + 1, size))), 16, 10).cast("long")
-
-
 def _signed(value: Column, bits: int) -> Column:
     return F.when(value >= 1 << (bits - 1), value - (1 << bits)).otherwise(value)
 
 
 def decoded(raw: Column) -> Column:
-    """(code, dst, src, off, imm) of eight bytes; null for any other number."""
-    regs = _unsigned(raw, 1, 1)
-    fields = F.struct(_unsigned(raw, 0, 1).cast("int").alias("code"), regs.bitwiseAND(15).cast("int").alias("dst"), F.shiftright(regs, 4).cast("int").alias("src"), _signed(_unsigned(raw, 2, 2), 16).cast("int").alias("off"), _signed(_unsigned(raw, 4, 4), 32).cast("int").alias("imm"))
-    return F.when(F.length(raw) == 8, fields)
+    """(code, dst, src, off, imm) of eight little-endian bytes, read as one number; null for any other number of bytes."""
+    turned = lambda h: F.concat(*(F.substring(h, 2 * k + 1, 2) for k in reversed(range(8))))
+    field = lambda n, at, size: F.shiftright(n, at).bitwiseAND((1 << size) - 1).cast("int")
+    fields = lambda n: named({"code": field(n, 0, 8), "dst": field(n, 8, 4), "src": field(n, 12, 4), "off": _signed(field(n, 16, 16), 16), "imm": F.shiftright(n, 32).cast("int")})
+    number = let(F.hex(raw), lambda h: F.when(F.length(h) == 16, F.conv(turned(h), 16, -10).cast("long")))
+    return let(number, lambda n: F.when(n.isNotNull(), fields(n)))
 
 
 def kind(code: Column) -> Column:

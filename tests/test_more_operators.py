@@ -171,3 +171,14 @@ def test_loops(spark):
     from logloom.functions import states as S
 
     assert [r.x for r in found.select(S.same_loop_state(F.col("current"), F.col("previous")).alias("x")).collect()] == [False]
+
+
+def test_bytes_of_an_offset_that_look_like_a_letter(spark):
+    """Little-endian fields were turned round as text, which left a letter of two bytes as it was."""
+    from pyspark.sql import functions as F
+
+    from logloom.functions import bytecode as B
+
+    raw = [bytes([0x61, 0x21, 0xC3, 0x28, 0xE2, 0x82, 0xAC, 0x80]), bytes([0x18, 0xFA, 0xFF, 0xFF, 0xFE, 0xFF, 0xFF, 0xFF]), b"short"]
+    found = [r.i and tuple(r.i) for r in spark.createDataFrame([(bytearray(x),) for x in raw], "raw binary").select(B.decoded(F.col("raw")).alias("i")).collect()]
+    assert found == [(0x61, 1, 2, 0x28C3, 0x80AC82E2 - (1 << 32)), (0x18, 10, 15, -1, -2), None]
