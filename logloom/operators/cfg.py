@@ -54,10 +54,34 @@ def numbered(rows: DataFrame, starts: DataFrame, name: str) -> DataFrame:
     return rows.join(marks, ["program", "pc"], "left").withColumn(name, F.sum(F.coalesce("_start", F.lit(0))).over(w) - 1).drop("_start")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds block and frame to instructions (program, pc, insn, ...): as `numbered` by `block_starts` and `function_starts`.
+
+    What an instruction says of starts travels with it, so that starts and instructions meet in one shuffle by program, read in order."""
+    i, pc = F.col("insn"), F.col("pc")
+    rest = [c for c in rows.columns if c != "program"]
+    none = F.lit(None).cast(rows.select(F.struct(*rest).alias("r")).schema["r"].dataType)
+    mark = lambda at, of_frame: F.struct(at.cast("long").alias("at"), F.lit(0).alias("tag"), F.lit(of_frame).alias("of_frame"), none.alias("row"))
+    behind = F.when(is_terminator(i) & ~B.loads_function(i), pc + B.width(i["code"]))
+    marks = F.filter(F.array(mark(F.when(pc == 0, pc), True), mark(B.branch_target(i, pc), False), mark(B.relative_target(i, pc), True), mark(behind, False)), lambda x: x["at"].isNotNull())
+    own = F.struct(pc.cast("long").alias("at"), F.lit(1).alias("tag"), F.lit(False).alias("of_frame"), F.struct(*rest).alias("row"))
+    met = rows.select("program", F.inline(F.concat(marks, F.array(own))))
+    w = Window.partitionBy("program").orderBy("at", "tag").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.max(F.when((F.col("tag") == 0) & c, F.col("at"))).over(w)
+    met = met.withColumns({"_block": last(F.lit(True)), "_frame": last(F.col("of_frame"))})
+    count = lambda c: F.sum(((F.col("tag") == 1) & F.coalesce(F.col(c) == F.col("at"), F.lit(False))).cast("int")).over(w) - 1
+    met = met.withColumns({"block": count("_block"), "frame": count("_frame")}).where("tag = 1")
+    return met.select(*(F.col(f"row.{c}") if c != "program" else F.col(c) for c in rows.columns), "block", "frame")
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """(program, block, start, last, frame, terminator): each block with the instruction it ends with; a block without a jump falls
     through to the next, or ends the program."""
-    parts = numbered(numbered(rows, block_starts(rows), "block"), function_starts(rows), "frame")
+    return blocks_of(placed(rows))
+
+
+def blocks_of(parts: DataFrame) -> DataFrame:
+    """As `blocks`, of instructions that have block and frame."""
     out = parts.groupBy("program", "block").agg(F.min("pc").alias("start"), F.max("pc").alias("last"), F.min("frame").alias("frame"), F.max_by("insn", "pc").alias("insn"))
     i = F.col("insn")
     final = F.col("block") == F.max("block").over(Window.partitionBy("program"))
@@ -259,10 +283,10 @@ def kinsn_operands(rows: DataFrame, registry: DataFrame) -> DataFrame:
     registry: (call_imm, call_off, target), which pair of a call's numbers names which target. problem, with role and reg null: `no
     operands` where the instruction before, in the block, is not the move that carries them; `unknown call`; `bad register`. A target that
     writes nothing has no row for it. The dimension is a few dozen rows and the registry one for each target, so both are broadcast."""
-    placed = numbered(rows, block_starts(rows), "block")
+    found = placed(rows)
     before = F.lag("insn").over(Window.partitionBy("program", "block").orderBy("pc"))
     i = F.col("insn")
-    calls = placed.withColumn("_before", before).where(is_kinsn_call(i))
+    calls = found.withColumn("_before", before).where(is_kinsn_call(i))
     carried = F.coalesce(is_sidecar(F.col("_before")), F.lit(False))
     calls = calls.select("program", "pc", i["imm"].alias("call_imm"), i["off"].alias("call_off"), F.when(carried, K.payload(F.col("_before"))).alias("_payload"))
     known = calls.join(F.broadcast(registry.select("call_imm", "call_off", "target")), ["call_imm", "call_off"], "left")

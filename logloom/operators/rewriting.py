@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytecode as B
 from . import cfg, graph
-from .storage import cut
+from .storage import cut, kept
 
 FALLS = ("fallthrough", "branch", "call")
 
@@ -24,8 +24,8 @@ def references(rows: DataFrame) -> DataFrame:
 
 def without_unreachable(rows: DataFrame) -> DataFrame:
     """Instructions (program, pc, insn, high) of the blocks that the first one reaches: over jumps, branches, calls and references."""
-    placed = cut(cfg.numbered(rows, cfg.block_starts(rows), "block"))
-    blocks = cfg.blocks(rows)
+    placed = kept(cfg.placed(rows))
+    blocks = cfg.blocks_of(placed)
     starts = blocks.select("program", F.col("start").alias("target"), F.col("block").alias("dst"))
     named = references(placed).join(placed.select("program", "pc", F.col("block").alias("src")), ["program", "pc"]).join(starts, ["program", "target"])
     edges = cfg.successors(blocks).select("program", "src", "dst").unionByName(named.select("program", "src", "dst"))

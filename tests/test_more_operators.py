@@ -173,6 +173,26 @@ def test_loops(spark):
     assert [r.x for r in found.select(S.same_loop_state(F.col("current"), F.col("previous")).alias("x")).collect()] == [False]
 
 
+def test_blocks_and_frames_in_one_pass(spark):
+    """Random programs, wide loads and targets inside them included, against starts that are joined."""
+    import random
+
+    from logloom.operators import cfg
+
+    rng, code = random.Random(5), []
+    for program in range(30):
+        pc = 0
+        for _ in range(rng.randrange(1, 25)):
+            insn = (rng.choice([0x05, 0x15, 0x85, 0x95, 0xB7, 0x18, 0x06]), 0, rng.choice([0, 1, 4]), rng.randrange(-6, 6), rng.randrange(-6, 6))
+            code.append((program, pc, insn))
+            pc += 2 if insn[0] == 0x18 else 1
+    rows = spark.createDataFrame(code, "program int, pc int, insn struct<code:int,dst:int,src:int,off:int,imm:int>")
+    want = cfg.numbered(cfg.numbered(rows, cfg.block_starts(rows), "block"), cfg.function_starts(rows), "frame")
+    found = cfg.placed(rows)
+    assert sorted(found.collect()) == sorted(want.select(*found.columns).collect())
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_bytes_of_an_offset_that_look_like_a_letter(spark):
     """Little-endian fields were turned round as text, which left a letter of two bytes as it was."""
     from pyspark.sql import functions as F
