@@ -10,6 +10,8 @@ A program of a million instructions in a row takes twenty rounds, and no task wa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..functions import bytecode as B
 from . import cfg
 from .asof import latest
 from .cfg import is_kinsn_call, is_sidecar
-from .storage import cut
+from .storage import kept
 
 MIN32, MAX32, MIN64, MAX64 = -(1 << 31), (1 << 31) - 1, -(1 << 63), (1 << 63) - 1
 WIDE = "decimal(38,0)"
@@ -111,8 +113,8 @@ def segments(blocks: DataFrame) -> DataFrame:
 
 def with_segments(rows: DataFrame) -> DataFrame:
     """Adds segment to instructions (program, pc, insn, high), and how many calls that change everything stand before each in it."""
-    found = cfg.numbered(rows, cfg.block_starts(rows), "block")
-    placed = found.join(segments(cfg.blocks(rows)).select("program", "block", "segment"), ["program", "block"])
+    found = kept(cfg.placed(rows))
+    placed = found.drop("frame").join(segments(cfg.blocks_of(found)).select("program", "block", "segment"), ["program", "block"])
     w = Window.partitionBy("program", "segment").orderBy("pc").rowsBetween(Window.unboundedPreceding, -1)
     i = F.col("insn")
     calls = (B.is_call(i["code"]) & ~is_kinsn_call(i)).cast("int")
@@ -137,19 +139,22 @@ def definitions(placed: DataFrame, kinsn_defs: DataFrame | None = None) -> DataF
 
 def folded(links: DataFrame) -> DataFrame:
     """(program, pc, reg, root_pc, root_reg, chain): chains folded up to their roots, from (program, pc, reg, up_pc, up_reg, chain)."""
-    now = cut(links)
+    moving, settled = links, []
     while True:
-        up = now.select("program", F.col("pc").alias("up_pc"), F.col("reg").alias("up_reg"), F.col("up_pc").alias("_pc"), F.col("up_reg").alias("_reg"), F.col("chain").alias("_chain"))
-        met = now.join(up, ["program", "up_pc", "up_reg"], "left")
+        whole = reduce(DataFrame.unionByName, [moving, *settled])
+        up = whole.select("program", F.col("pc").alias("up_pc"), F.col("reg").alias("up_reg"), F.col("up_pc").alias("_pc"), F.col("up_reg").alias("_reg"), F.col("chain").alias("_chain"))
+        met = moving.join(up, ["program", "up_pc", "up_reg"], "left")
         goes = F.col("_pc").isNotNull()
         met = met.select(
             "program", "pc", "reg", F.when(goes, F.col("_pc")).otherwise(F.col("up_pc")).alias("up_pc"), F.when(goes, F.col("_reg")).otherwise(F.col("up_reg")).alias("up_reg"),
             F.when(goes, composed(F.col("_chain"), F.col("chain"))).otherwise(F.col("chain")).alias("chain"), goes.alias("_went"),
         )
-        met = cut(met)
-        now = met.drop("_went")
-        if met.where("_went").isEmpty():
-            return now.withColumnsRenamed({"up_pc": "root_pc", "up_reg": "root_reg"})
+        met = kept(met)
+        # chains at their roots are not written again; others still look them up
+        settled.append(met.where("not _went").drop("_went"))
+        moving = met.where("_went").drop("_went")
+        if moving.isEmpty():
+            return reduce(DataFrame.unionByName, settled).withColumnsRenamed({"up_pc": "root_pc", "up_reg": "root_reg"})
 
 
 def register_facts(rows: DataFrame, points: DataFrame, types: DataFrame, kinsn_defs: DataFrame | None = None) -> DataFrame:
@@ -157,8 +162,8 @@ def register_facts(rows: DataFrame, points: DataFrame, types: DataFrame, kinsn_d
     packet_end), value (the constant, or the offset), made_at (the pc of the load that a packet's pointers go back to). Null if nothing is.
 
     rows: (program, pc, insn, high); types: (program, program_type), by which loads from the context are loads of the packet's bounds."""
-    placed = cut(with_segments(rows))
-    defs = cut(definitions(placed, kinsn_defs))
+    placed = kept(with_segments(rows))
+    defs = kept(definitions(placed, kinsn_defs))
     key = ["program", "segment", "reg"]
     # what a segment starts with stands before its first instruction: a node of its own, at -1 - segment
     entries = placed.select("program", "segment").distinct().withColumn("reg", F.explode(F.when(F.col("segment") == 0, F.array(F.lit(CONTEXT), F.lit(FRAME))).otherwise(F.array(F.lit(FRAME))))).withColumn("node", (-1 - F.col("segment")).cast("int"))
@@ -166,7 +171,7 @@ def register_facts(rows: DataFrame, points: DataFrame, types: DataFrame, kinsn_d
     derived = defs.where("step.src is not null").select("program", "segment", "pc", F.col("reg").alias("_reg"), "step", F.col("step.src").alias("reg"))
     links = latest(derived, nodes, key, "pc", F.col("node"), name="up_pc").where("up_pc is not null")
     links = links.select("program", "pc", F.col("_reg").alias("reg"), "up_pc", F.col("reg").alias("up_reg"), chain(F.when(F.col("step.kind") == "load", "copy").otherwise(F.col("step.kind")), F.col("step.value")).alias("chain"), F.col("step.kind").alias("_kind"))
-    links = cut(links)
+    links = kept(links)
     loads = links.where("_kind = 'load'").select("program", "pc", F.col("up_pc").alias("node"), F.col("up_reg").alias("node_reg"))
     chains = folded(links.where("_kind <> 'load'").drop("_kind"))
     # loads from the context: by what their address goes back to

@@ -9,6 +9,7 @@ from ..functions import bytecode as B
 from ..functions import kinsn as K
 from ..functions import states as S
 from ..operators import cfg, facts, linking, states
+from ..operators.storage import kept
 from . import projections as P
 
 # ---- programs from line items: one for each supplier, a few hundred instructions long ----
@@ -43,7 +44,7 @@ _ITEMS = f"""items AS (
 
 def register_facts(spark, d):
     """What is known of the registers that instructions read, by kind, from the instructions of each program alone."""
-    rows = _programs(spark, d)
+    rows = kept(_programs(spark, d))  # read as points and types too, and numbering them is two ordered passes
     points = rows.select("program", "pc", F.explode(B.uses(F.col("insn"))).alias("reg"))
     types = rows.select("program").distinct().withColumn("program_type", F.when(F.col("program") % 2 == 0, "xdp").otherwise("kprobe"))
     found = facts.register_facts(rows, points, types)

@@ -167,3 +167,21 @@ def test_a_long_chain(spark):
 def test_no_instructions(spark):
     df = spark.createDataFrame([], "program string, pc int, insn struct<code:int,dst:int,src:int,off:int,imm:int>, high int")
     assert facts.register_facts(df, df.selectExpr("program", "pc", "0 as reg"), df.selectExpr("program", "'xdp' as program_type")).collect() == []
+
+
+def test_settled_chains_are_not_written_again(spark, monkeypatch):
+    """One chain of 300 steps takes nine rounds; a thousand chains of one step beside it are written in the first only."""
+    from pyspark.sql import functions as F
+
+    written = []
+
+    def kept(df):
+        found = df.localCheckpoint()
+        written.append(found.count())
+        return found
+
+    monkeypatch.setattr(facts, "kept", kept)
+    links = spark.createDataFrame([(0, k, 1, k - 1, 1) for k in range(1, 301)] + [(p, 5, 2, 0, 1) for p in range(1, 1001)], "program int, pc int, reg int, up_pc int, up_reg int")
+    rows = facts.folded(links.withColumn("chain", facts.chain(F.lit("add"), F.lit(1).cast("long")))).collect()
+    assert len(rows) == 1300 and {(r.root_pc, r.root_reg) for r in rows} == {(0, 1)} and all(r.chain["sum"] == (r.pc if r.program == 0 else 1) for r in rows)
+    assert len(written) >= 9 and sum(written[1:]) < 300 * len(written)
