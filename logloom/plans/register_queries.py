@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bytecode as B
 from ..functions import kinsn as K
 from ..functions import states as S
+from ..functions.binding import apart, with_stages
 from ..operators import cfg, facts, linking, states
 from ..operators.storage import kept
 from . import projections as P
@@ -151,10 +152,11 @@ def _slot_lines(spark, d):
 def spilled_slots(spark, d):
     """Slots by how they are written: types, a spilled number, pointer or object, or both; and attributes behind deep brackets."""
     found = states.states(_slot_lines(spark, d))
-    rows = found.select(F.explode(S.slots(F.col("tokens"))).alias("s"), F.get(F.filter(S.registers(F.col("tokens")), lambda r: r["reg"] == 3), F.lit(0))["state"]["id"].alias("id"))
-    state = S.register_state(F.col("s.value"), F.lit(False))
-    rows = rows.select(F.col("s.slot_off").cast("long").alias("slot_off"), F.col("s.slot_types").alias("slot_types"), F.when(F.col("s.value").isNotNull(), state).alias("v"), "id")
-    return rows.groupBy("slot_off", "slot_types", F.col("v.reg_type").alias("reg_type")).agg(F.count("*").alias("n"), F.sum("v.exact").cast("long").alias("sum_exact"), F.sum("v.off").cast("long").alias("sum_off"), F.sum("id").alias("sum_ids"))
+    rows = found.select(F.explode(S.slots(F.col("tokens"))).alias("s"), S.state_of(F.col("tokens"), F.lit(3))["id"].alias("id"))
+    rows, x = with_stages(rows.select("s.*", "id"), S.start(F.col("value"), F.lit(False)), *S.STAGES)
+    state = S.state_fields(x)
+    rows = rows.select(F.col("slot_off").cast("long").alias("slot_off"), "slot_types", "id", *(apart(F.when(F.col("value").isNotNull(), state[n])).alias(n) for n in ("reg_type", "exact", "off")))
+    return rows.groupBy("slot_off", "slot_types", "reg_type").agg(F.count("*").alias("n"), F.sum("exact").cast("long").alias("sum_exact"), F.sum("off").cast("long").alias("sum_off"), F.sum("id").alias("sum_ids"))
 
 
 _SPILLED_SQL = """WITH f AS (
