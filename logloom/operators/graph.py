@@ -32,14 +32,16 @@ def predecessors(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """(node, depth): the nodes that entries (node) reach, with the fewest steps. Only the frontier is joined each round."""
+    """(node, depth): the nodes that entries (node) reach, with the fewest steps. Only the frontier is joined each round.
+
+    Both joins are sort-merge joins: a broadcast would take each round's frontier through the driver."""
     frontier, depth = _cut(entries.select("node", F.lit(0).alias("depth")).distinct()), 0
     parts = [(0, frontier)]
     edges = _cut(edges.select("src", "dst").distinct())
     while True:
         depth += 1
-        new = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(new.join(_whole(parts), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        new = frontier.hint("merge").join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        frontier = _cut(new.hint("merge").join(_whole(parts), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return _whole(parts)
         parts = _with_part(parts, frontier)
@@ -54,8 +56,8 @@ def live_in(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
     parts = [(0, new)]
     edges, defs = _cut(edges.select("src", "dst").distinct()), _cut(defs.select("node", "var").distinct())
     while True:
-        back = new.join(edges, new.node == edges.dst).select(F.col("src").alias("node"), "var").distinct()
-        new = _cut(back.join(defs, ["node", "var"], "left_anti").join(_whole(parts), ["node", "var"], "left_anti"))
+        back = new.hint("merge").join(edges, new.node == edges.dst).select(F.col("src").alias("node"), "var").distinct()
+        new = _cut(back.hint("merge").join(defs, ["node", "var"], "left_anti").hint("merge").join(_whole(parts), ["node", "var"], "left_anti"))
         if new.isEmpty():
             return _whole(parts)
         parts = _with_part(parts, new)
@@ -70,7 +72,7 @@ def chain_places(links: DataFrame, key: list[str]) -> DataFrame:
     n = now.count()
     for _ in range(max(1, n.bit_length() + 1)):  # what still moves then goes round in a cycle
         up = now.select(*key, F.col("node").alias("head"), F.col("head").alias("_head"), F.col("place").alias("_place"))
-        met = now.join(up, [*key, "head"], "left")
+        met = now.hint("merge").join(up, [*key, "head"], "left")
         now = _cut(met.select(*key, "node", F.coalesce("_head", "head").alias("head"), (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place"), F.col("_head").isNotNull().alias("_went")))
         if now.where("_went").isEmpty():
             return now.drop("_went")
