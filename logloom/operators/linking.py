@@ -11,6 +11,8 @@ code is in one piece anywhere."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,10 +61,10 @@ def call_relocations(code: DataFrame, symbols: DataFrame, relocations: DataFrame
 
 
 def call_targets(code: DataFrame, relocated: DataFrame) -> DataFrame:
-    """(object, section, slot, to_section, to_slot): the place that each call of a function of the program names."""
-    calls = code.where(B.is_pseudo_call(F.col("insn"))).select("object", "section", F.col("slot").cast("long").alias("slot"), F.col("insn.imm").cast("long").alias("imm"))
+    """(object, section, slot, insn, to_section, to_slot): the place that each call of a function of the program names."""
+    calls = code.where(B.is_pseudo_call(F.col("insn"))).select("object", "section", F.col("slot").cast("long").alias("slot"), "insn")
     met = calls.join(relocated, ["object", "section", "slot"], "left")
-    return met.select("object", "section", "slot", F.coalesce("to_section", "section").alias("to_section"), (F.coalesce("base", "slot") + F.col("imm") + 1).alias("to_slot"))
+    return met.select("object", "section", "slot", "insn", F.coalesce("to_section", "section").alias("to_section"), (F.coalesce("base", "slot") + F.col("insn.imm").cast("long") + 1).alias("to_slot"))
 
 
 def covering(points: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -75,34 +77,42 @@ def covering(points: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def call_edges(code: DataFrame, sections: DataFrame, symbols: DataFrame, relocations: DataFrame) -> DataFrame:
-    """(object, section, slot, to_section, start, count): calls and the functions that they reach; start is null where there is none."""
-    return covering(call_targets(code, call_relocations(code, symbols, relocations)), functions(sections, symbols, code)).select("object", "section", "slot", "to_section", "start", "count")
+    """(object, section, slot, insn, to_section, start, count): calls and the functions that they reach; start is null where there is none."""
+    return covering(call_targets(code, call_relocations(code, symbols, relocations)), functions(sections, symbols, code)).select("object", "section", "slot", "insn", "to_section", "start", "count")
+
+
+def _shortest(reached: DataFrame, piece: list[str]) -> DataFrame:
+    """Of each piece the row with the smallest path."""
+    rest = [F.min_by("seen", "path").alias("seen")] if "seen" in reached.columns else []
+    return reached.groupBy(*piece).agg(F.first("count").alias("count"), F.min("path").alias("path"), *rest)
 
 
 def layouts(entries: DataFrame, edges: DataFrame, code: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(object, entry, section, start, count, loaded_at) of the pieces of each entry section, and (object, entry, problem) of entries that
-    cannot be laid out: a call without a function, or recursion. Those stay as they are."""
+    cannot be laid out: a call without a function, or recursion. Those stay as they are. Every round reads `edges`: a table by then."""
     sizes = code.groupBy("object", "section").agg((F.max("slot") + 1).cast("long").alias("count"))
     first = entries.join(sizes, ["object", "section"]).select("object", F.col("section").alias("entry"), "section", F.lit(0).cast("long").alias("start"), "count", F.array().cast("array<bigint>").alias("path"), F.array(F.struct("section", F.lit(0).cast("long").alias("start"))).alias("seen"))
-    edges = cut(edges.withColumnsRenamed({"start": "to_start", "count": "to_count"}))
-    known = new = cut(first)
+    edges = edges.select("object", "section", "slot", "to_section", F.col("start").alias("to_start"), F.col("count").alias("to_count"))
+    new = cut(first)
+    piece, parts = ["object", "entry", "section", "start"], [new]
     problems = None
     while True:
         calls = new.join(edges, ["object", "section"]).where("slot >= start and slot < start + count")
         callee = F.struct(F.col("to_section").alias("section"), F.col("to_start").alias("start"))
-        calls = cut(calls.withColumn("problem", F.when(F.col("to_start").isNull(), "no function").when(F.array_contains("seen", callee), "recursion")))
+        problem = F.when(F.col("to_start").isNull(), "no function").when(F.array_contains("seen", callee), "recursion")
+        calls = cut(calls.select("object", "entry", problem.alias("problem"), F.col("to_section").alias("section"), F.col("to_start").alias("start"), F.col("to_count").alias("count"), F.concat("path", F.array(F.col("slot") - F.col("start"))).alias("path"), F.concat("seen", F.array(callee)).alias("seen")))
         bad = calls.where("problem is not null").select("object", "entry", "problem").distinct()
         problems = bad if problems is None else problems.unionByName(bad)
-        reached = calls.where("problem is null").select("object", "entry", F.col("to_section").alias("section"), F.col("to_start").alias("start"), F.col("to_count").alias("count"), F.concat("path", F.array(F.col("slot") - F.col("start"))).alias("path"), F.concat("seen", F.array(callee)).alias("seen"))
-        piece = ["object", "entry", "section", "start"]
-        best = reached.groupBy(*piece).agg(F.first("count").alias("count"), F.min_by("seen", "path").alias("seen"), F.min("path").alias("path"))
-        old = known.select(*piece, F.col("path").alias("_old"))
-        new = cut(best.join(old, piece, "left").where("_old is null or path < _old").select(*known.columns))  # a smaller path opens the function anew
+        best = _shortest(calls.where("problem is null"), piece)
+        old = reduce(DataFrame.unionByName, parts).select(*(F.col(c).alias(f"_{c}") for c in piece), F.col("path").alias("_path"))
+        known = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in piece)) & (F.col("_path") <= F.col("path"))
+        new = cut(best.join(old, known, "left_anti").select(*new.columns))  # a smaller path opens the function anew
         if new.isEmpty():
             break
-        known = cut(known.unionByName(new).groupBy(*piece).agg(F.first("count").alias("count"), F.min_by("seen", "path").alias("seen"), F.min("path").alias("path")).select(*known.columns))
+        parts.append(new)  # what is known is read again, and never written again
     problems = cut(problems.distinct())
     w = Window.partitionBy("object", "entry").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    known = _shortest(reduce(DataFrame.unionByName, (part.select(*piece, "count", "path") for part in parts)), piece)
     good = known.join(problems, ["object", "entry"], "left_anti")
     return good.select("object", "entry", "section", "start", "count", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("loaded_at")), problems
 
@@ -116,12 +126,16 @@ def loaded(code: DataFrame, sections: DataFrame, symbols: DataFrame, relocations
     spoilt = misplaced_symbols(sections, symbols).select("object").distinct()
     pieces, problems = layouts(entries.join(spoilt, "object", "left_anti"), edges, code)
     pieces = cut(pieces)
-    placed = pieces.join(code, ["object", "section"]).where("slot >= start and slot < start + count").withColumn("at", F.col("loaded_at") + F.col("slot") - F.col("start"))
-    target = edges.where("start is not null").select("object", "section", "slot", F.col("to_section").alias("_section"), F.col("start").alias("_start"))
+    # only calls look for what they call
+    is_call = F.coalesce(B.is_pseudo_call(F.col("insn")), F.lit(False))
+    at = F.col("loaded_at") + F.col("slot") - F.col("start")
+    plain = pieces.join(code.where(~is_call), ["object", "section"]).where("slot >= start and slot < start + count").select("object", "entry", at.alias("slot"), "insn")
+    target = edges.select("object", "section", "slot", "insn", F.col("to_section").alias("_section"), F.col("start").alias("_start"))
+    calls = pieces.join(target, ["object", "section"]).where("slot >= start and slot < start + count").select("object", "entry", at.alias("slot"), "insn", "_section", "_start")
     where = pieces.select("object", "entry", F.col("section").alias("_section"), F.col("start").alias("_start"), F.col("loaded_at").alias("_to"))
-    met = placed.join(target, ["object", "section", "slot"], "left").join(where, ["object", "entry", "_section", "_start"], "left")
-    moved = F.when(B.is_pseudo_call(F.col("insn")), F.col("insn").withField("imm", (F.col("_to") - F.col("at") - 1).cast("int"))).otherwise(F.col("insn"))
-    good = met.select("object", "entry", F.col("at").alias("slot"), moved.alias("insn"), F.lit(None).cast("string").alias("problem"))
+    moved = F.col("insn").withField("imm", (F.col("_to") - F.col("slot") - 1).cast("int"))
+    calls = calls.join(where, ["object", "entry", "_section", "_start"], "left").select("object", "entry", "slot", moved.alias("insn"))
+    good = plain.unionByName(calls).withColumn("problem", F.lit(None).cast("string"))
     why = problems.groupBy("object", "entry").agg(F.min("problem").alias("problem")).unionByName(entries.join(spoilt, "object", "left_semi").select("object", F.col("section").alias("entry"), F.lit("misplaced symbol").alias("problem")))
     bad = why.join(code.withColumnRenamed("section", "entry"), ["object", "entry"]).select("object", "entry", "slot", "insn", "problem")
     return good.unionByName(bad)

@@ -190,6 +190,7 @@ def loaded_programs(spark, d):
     """Each order as an object: a function for each item, of which many call a later one, and an entry that calls two of them."""
     w = Window.partitionBy("l_orderkey").orderBy(*P.ORDER.split(", "))
     items = P.table(spark, d, "lineitem").withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+    items = kept(items.select("l_orderkey", "l_partkey", "l_suppkey", "k", "n"))  # all tables of the objects are made of these
     insn = lambda code, src, imm: F.struct(F.lit(code).alias("code"), F.lit(0).alias("dst"), F.lit(src).alias("src"), F.lit(0).alias("off"), imm.cast("int").alias("imm"))
     to = F.col("k") + 1 + F.col("l_partkey") % 2
     calls = (to <= F.col("n")) & (F.col("l_suppkey") % 3 > 0)

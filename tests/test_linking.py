@@ -148,3 +148,15 @@ def test_misplaced_symbols_leave_sections_as_they_are(spark):
     x["symbols"] = [(1, "text", 4, 16), (1, "text", 0, 16)]
     rows = linking.loaded(*tables(spark, {"x": x})).collect()
     assert sorted((r.slot, tuple(r.insn), r.problem) for r in rows) == [(0, call(-1), "misplaced symbol"), (1, other(3), "misplaced symbol")]
+
+
+def test_rounds_write_what_is_new_only(spark, monkeypatch):
+    """A chain of functions: rows written in all rounds grow with its length, not with its square."""
+    written, cut = [], linking.cut
+    monkeypatch.setattr(linking, "cut", lambda df: written.append(cut(df)) or written[-1])
+    n = 6
+    edges = spark.createDataFrame([("o", 2, 0, 1, 0, 2), *(("o", 1, 2 * k, 1, 2 * k + 2, 2) for k in range(n - 1))], "object string, section int, slot long, to_section int, start long, count long")
+    code = spark.createDataFrame([("o", 2, 0), *(("o", 1, k) for k in range(2 * n))], "object string, section int, slot long")
+    pieces, problems = linking.layouts(spark.createDataFrame([("o", 2)], "object string, section int"), edges, code)
+    assert sorted((r.section, r.start, r.loaded_at) for r in pieces.collect()) == [(1, 2 * k, 1 + 2 * k) for k in range(n)] + [(2, 0, 0)]
+    assert problems.isEmpty() and sum(w.count() for w in written) <= 2 * (n + 1)  # a call and a piece each
