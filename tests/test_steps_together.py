@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import states as S
-from logloom.operators import signals
-from logloom.operators.storage import side_by_side, together
+from logloom.operators import diagnose, signals
+from logloom.operators.storage import shared_folder, side_by_side, together
 
 
 def test_steps_are_in_work_at_the_same_time(spark):
@@ -49,3 +49,22 @@ def test_entries_of_callbacks_come_from_the_registers(spark, monkeypatch):
     ctx = spark.createDataFrame([], "log_id int, call struct<line:int,pc:int,tail:string,fragment:int>")
     origin = spark.createDataFrame([], "log_id int, origin_line int, slot struct<frame:int,off:int>")
     assert signals.callback_writes(origin, ctx, rows, found, long).isEmpty()
+
+
+def test_lines_are_made_once(spark, monkeypatch):
+    """All steps of `explained` read a table of the lines, not what the lines are made of."""
+
+    class Seen(Exception):
+        pass
+
+    def prepared(all_lines, classified, full_lines=None):
+        raise Seen(all_lines, classified)
+
+    monkeypatch.setattr(signals, "prepared", prepared)
+    lines = spark.createDataFrame([(1, 1, "0: (95) exit"), (1, 2, "R0 !read_ok")], "log_id int, line_no int, line string")
+    with pytest.raises(Seen) as seen:
+        diagnose.explained(lines)
+    tables = shared_folder(spark).rstrip("/").split("/")[-1] + "/tables/"
+    for df in seen.value.args:
+        assert df.inputFiles() and all(tables in f for f in df.inputFiles())
+    assert sorted(map(tuple, seen.value.args[0].collect())) == sorted(map(tuple, lines.collect()))
