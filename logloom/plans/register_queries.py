@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import bytecode as B
 from ..functions import kinsn as K
 from ..functions import states as S
-from ..functions.binding import apart, with_stages
 from ..operators import cfg, facts, linking, states
 from ..operators.storage import kept
 from . import projections as P
@@ -152,10 +151,9 @@ def _slot_lines(spark, d):
 def spilled_slots(spark, d):
     """Slots by how they are written: types, a spilled number, pointer or object, or both; and attributes behind deep brackets."""
     found = states.states(_slot_lines(spark, d))
-    rows = found.select(F.explode(S.slots(F.col("tokens"))).alias("s"), S.state_of(F.col("tokens"), F.lit(3))["id"].alias("id"))
-    rows, x = with_stages(rows.select("s.*", "id"), S.start(F.col("value"), F.lit(False)), *S.STAGES)
-    state = S.state_fields(x)
-    rows = rows.select(F.col("slot_off").cast("long").alias("slot_off"), "slot_types", "id", *(apart(F.when(F.col("value").isNotNull(), state[n])).alias(n) for n in ("reg_type", "exact", "off")))
+    rows = kept(found.select(F.inline(S.slots(F.col("tokens"))), S.text_of(F.col("tokens"), F.lit(3)).alias("r3")).select("slot_off", "slot_types", "value", F.col("r3.value").alias("r3"), F.col("r3.narrow").alias("narrow")))
+    rows = states.with_states(rows, {"value": None, "r3": "narrow"})
+    rows = rows.select(F.col("slot_off").cast("long").alias("slot_off"), "slot_types", *(F.col(f"value_state.{n}").alias(n) for n in ("reg_type", "exact", "off")), F.col("r3_state.id").alias("id"))
     return rows.groupBy("slot_off", "slot_types", "reg_type").agg(F.count("*").alias("n"), F.sum("exact").cast("long").alias("sum_exact"), F.sum("off").cast("long").alias("sum_off"), F.sum("id").alias("sum_ids"))
 
 
@@ -168,7 +166,7 @@ _SPILLED_SQL = """WITH f AS (
 
 def known_stack_bytes(spark, d):
     """The four bytes behind r2 that all visits of a site agree on."""
-    found = states.states(_slot_lines(spark, d)).withColumnRenamed("log_id", "program")
+    found = kept(states.states(_slot_lines(spark, d)).select(F.col("log_id").alias("program"), "pc", "kind", "tokens"))  # read as visits and as what is asked
     asked = found.select("program", "pc").distinct().select("program", "pc", F.lit(2).alias("reg"), F.lit(4).alias("width"))
     out = cfg.known_stack_bytes(found, asked)
     return out.select("program", F.col("pc").cast("long").alias("pc"), "bytes")
