@@ -262,16 +262,23 @@ def known_stack_bytes(found: DataFrame, asked: DataFrame) -> DataFrame:
 
     found: states (program, pc, kind, tokens); asked: (program, pc, reg, width). Each byte comes from the slot that covers it. A visit that
     enters over an edge, has no stack pointer in the register, or leaves one byte open, leaves the site's bytes open."""
-    met = asked.join(found.select("program", "pc", "kind", "tokens"), ["program", "pc"])
-    pointer = F.get(F.filter(S.registers(F.col("tokens")), lambda r: r["reg"] == F.col("reg")), F.lit(0))["state"]
-    stack = F.map_from_entries(F.transform(S.slots(F.col("tokens")), lambda x: F.struct(x["slot_off"], F.struct(x["slot_types"].alias("slot_types"), F.when(x["value"].isNotNull(), S.register_state(x["value"], F.lit(False))).alias("state")))))
-    met = met.withColumn("_pointer", pointer).withColumn("_stack", stack)
-    start = F.when((F.col("_pointer.reg_type") == "fp") & (F.col("kind") != "edge_full"), F.coalesce("_pointer.off", F.lit(0)))
-    digits = F.transform(F.sequence(start, start + F.col("width") - 1), lambda o: F.lower(F.lpad(F.hex(S.stack_byte(F.col("_stack"), o).cast("long")), 2, "0")))
-    whole = F.when(F.forall(digits, lambda x: x.isNotNull()), F.array_join(digits, ""))
     from .asof import agreed
+    from .states import once_for_each, with_states
+    from .storage import kept
 
-    return agreed(met.withColumn("bytes", whole), ["program", "pc", "reg", "width"], "bytes")
+    site = ["program", "pc", "reg", "width"]
+    met = asked.join(found.select("program", "pc", "kind", "tokens"), ["program", "pc"])
+    met = kept(met.select(*site, "kind", S.text_of(F.col("tokens"), F.col("reg")).alias("_p"), S.slots(F.col("tokens")).alias("_slots")).select(*site, "kind", "_slots", F.col("_p.value").alias("_pointer"), F.col("_p.narrow").alias("_narrow")))
+    met = with_states(met, {"_pointer": "_narrow"})
+    start = F.when((F.col("_pointer_state.reg_type") == "fp") & (F.col("kind") != "edge_full"), F.coalesce("_pointer_state.off", F.lit(0)))
+    met = met.select(*site, start.alias("_start"), "_slots")
+    near = F.filter("_slots", lambda x: x["slot_off"].between(F.col("_start") - 7, F.col("_start") + F.col("width") - 1))
+    met = kept(met.select(*site, "_start", near.alias("_near")))
+    stack = F.map_from_entries(F.transform("_near", lambda x: F.struct(x["slot_off"], F.struct(x["slot_types"].alias("slot_types"), F.when(x["value"].isNotNull(), S.register_state(x["value"], F.lit(False))).alias("state")))))
+    digits = F.transform(F.sequence(F.col("_start"), F.col("_start") + F.col("width") - 1), lambda o: F.lower(F.lpad(F.hex(S.stack_byte(F.col("_stack"), o).cast("long")), 2, "0")))
+    whole = F.when(F.forall(digits, lambda x: x.isNotNull()), F.array_join(digits, ""))
+    met = once_for_each(met, ["_start", "width", "_near"], lambda texts: texts.withColumn("_stack", stack).select("_start", "width", "_near", whole.alias("bytes")))
+    return agreed(met, site, "bytes")
 
 
 # ---- calls of kernel instructions ----
