@@ -5,6 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions import instructions as I
 from logloom.functions import states as S
 from logloom.operators import diagnose, signals
 from logloom.operators.storage import shared_folder, side_by_side, together
@@ -68,3 +69,30 @@ def test_lines_are_made_once(spark, monkeypatch):
     for df in seen.value.args:
         assert df.inputFiles() and all(tables in f for f in df.inputFiles())
     assert sorted(map(tuple, seen.value.args[0].collect())) == sorted(map(tuple, lines.collect()))
+
+
+def test_logs_are_joined_by_shuffle(spark, monkeypatch):
+    """Nothing with a row for each log goes through the driver: steps of `explained` join by shuffle, in a session of their own."""
+
+    class Seen(Exception):
+        pass
+
+    def prepared(all_lines, classified, full_lines=None):
+        raise Seen(all_lines, full_lines)
+
+    monkeypatch.setattr(signals, "prepared", prepared)
+    lines = spark.createDataFrame([(1, 1, "0: (95) exit"), (1, 2, "R0 !read_ok")], "log_id int, line_no int, line string")
+    with pytest.raises(Seen) as seen:
+        diagnose.explained(lines, lines)
+    for rows in seen.value.args:
+        joined = rows.join(rows.groupBy("log_id").count(), "log_id")
+        assert len(joined.collect()) == 2 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert rows.sparkSession.conf.get("spark.sql.session.timeZone") == "UTC" and rows.sparkSession.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_only_lines_with_a_call_are_searched_for_its_target(spark):
+    tails = ["(85) call bpf_loop#181", "(85) call pc+3", "(b7) r1 = 0", "recall x", "call", "(85) recall call  f", None]
+    rows = spark.createDataFrame([(t,) for t in tails], "tail string").select(I.call_target(F.col("tail")).alias("target"))
+    assert [r.target for r in rows.collect()] == ["bpf_loop", "pc+3", None, None, None, "f", None]
+    assert "contains" in rows._jdf.queryExecution().optimizedPlan().toString().lower()
