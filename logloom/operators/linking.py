@@ -7,7 +7,7 @@ offsets and sizes in bytes. Reading them out of files is left to a loader.
 A call names a place; the function there is the one that starts last among those that cover it. The call tree of an entry is expanded
 round by round. A function is laid out where a walk that follows every call at once would meet it first, and that is the order of the
 smallest paths of call places: so each round keeps the smallest path to each function, and places are sums over that order. No entry's
-code is in one piece anywhere."""
+code is in one piece anywhere. Calls and what is reached are dealt out by object once, and rounds shuffle nothing."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytecode as B
-from .storage import cut
+from .storage import cut, dealt, in_place, kept
 
 WORD = 8
 # The section of shared functions, and sections that hold no programs.
@@ -71,8 +71,8 @@ def covering(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """Adds to points (object, to_section, to_slot) start and count of the interval (object, section, start, count) that starts last among
     those that hold the slot; null if none does. Intervals may nest: each is spread over its slots, which are no more than the code's
     for each level of nesting."""
-    spread = intervals.withColumn("to_slot", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)))
-    last = spread.groupBy("object", F.col("section").alias("to_section"), "to_slot").agg(F.max(F.struct("start", "count")).alias("_f"))
+    spread = intervals.withColumnRenamed("section", "to_section").withColumn("to_slot", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)))
+    last = spread.groupBy("object", "to_section", "to_slot").agg(F.max(F.struct("start", "count")).alias("_f"))
     return points.join(last, ["object", "to_section", "to_slot"], "left").select(*points.columns, "_f.start", "_f.count")
 
 
@@ -89,11 +89,12 @@ def _shortest(reached: DataFrame, piece: list[str]) -> DataFrame:
 
 def layouts(entries: DataFrame, edges: DataFrame, code: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(object, entry, section, start, count, loaded_at) of the pieces of each entry section, and (object, entry, problem) of entries that
-    cannot be laid out: a call without a function, or recursion. Those stay as they are. Every round reads `edges`: a table by then."""
+    cannot be laid out: a call without a function, or recursion. Those stay as they are. Every round reads `edges`, dealt out by object in
+    a session that works `in_place`."""
     sizes = code.groupBy("object", "section").agg((F.max("slot") + 1).cast("long").alias("count"))
     first = entries.join(sizes, ["object", "section"]).select("object", F.col("section").alias("entry"), "section", F.lit(0).cast("long").alias("start"), "count", F.array().cast("array<bigint>").alias("path"), F.array(F.struct("section", F.lit(0).cast("long").alias("start"))).alias("seen"))
     edges = edges.select("object", "section", "slot", "to_section", F.col("start").alias("to_start"), F.col("count").alias("to_count"))
-    new = cut(first)
+    new = dealt(first, "object", edges.sparkSession)
     piece, parts = ["object", "entry", "section", "start"], [new]
     problems = None
     while True:
@@ -121,7 +122,7 @@ def loaded(code: DataFrame, sections: DataFrame, symbols: DataFrame, relocations
     """(object, entry, slot, insn, problem): the slots of each program as they are loaded, its calls pointing to the functions behind it.
     An entry with a problem, or of an object with misplaced symbols, keeps its section's slots."""
     code = code.withColumn("slot", F.col("slot").cast("long"))
-    edges = cut(call_edges(code, sections, symbols, relocations))
+    edges = dealt(call_edges(code, sections, symbols, relocations), "object", in_place(code.sparkSession))
     entries = entry_sections(sections, code)
     spoilt = misplaced_symbols(sections, symbols).select("object").distinct()
     pieces, problems = layouts(entries.join(spoilt, "object", "left_anti"), edges, code)
@@ -136,6 +137,9 @@ def loaded(code: DataFrame, sections: DataFrame, symbols: DataFrame, relocations
     moved = F.col("insn").withField("imm", (F.col("_to") - F.col("slot") - 1).cast("int"))
     calls = calls.join(where, ["object", "entry", "_section", "_start"], "left").select("object", "entry", "slot", moved.alias("insn"))
     good = plain.unionByName(calls).withColumn("problem", F.lit(None).cast("string"))
-    why = problems.groupBy("object", "entry").agg(F.min("problem").alias("problem")).unionByName(entries.join(spoilt, "object", "left_semi").select("object", F.col("section").alias("entry"), F.lit("misplaced symbol").alias("problem")))
+    spoilt = kept(entries.join(spoilt, "object", "left_semi").select("object", F.col("section").alias("entry"), F.lit("misplaced symbol").alias("problem")), edges.sparkSession)
+    why = problems.groupBy("object", "entry").agg(F.min("problem").alias("problem")).unionByName(spoilt)
+    if why.isEmpty():  # else all code is shuffled once more
+        return good
     bad = why.join(code.withColumnRenamed("section", "entry"), ["object", "entry"]).select("object", "entry", "slot", "insn", "problem")
     return good.unionByName(bad)
