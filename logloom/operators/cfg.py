@@ -268,8 +268,8 @@ def known_stack_bytes(found: DataFrame, asked: DataFrame) -> DataFrame:
 
     site = ["program", "pc", "reg", "width"]
     met = asked.join(found.select("program", "pc", "kind", "tokens"), ["program", "pc"])
-    met = kept(met.select(*site, "kind", S.text_of(F.col("tokens"), F.col("reg")).alias("_p"), S.slots(F.col("tokens")).alias("_slots")).select(*site, "kind", "_slots", F.col("_p.value").alias("_pointer"), F.col("_p.narrow").alias("_narrow")))
-    met = with_states(met, {"_pointer": "_narrow"})
+    met = kept(met.select(*site, "kind", S.text_of(F.col("tokens"), F.col("reg")).alias("_p"), S.slots(F.col("tokens")).alias("_slots")))
+    met = with_states(met.select(*site, "kind", "_slots", F.col("_p.value").alias("_pointer"), F.col("_p.narrow").alias("_narrow")), {"_pointer": "_narrow"})
     start = F.when((F.col("_pointer_state.reg_type") == "fp") & (F.col("kind") != "edge_full"), F.coalesce("_pointer_state.off", F.lit(0)))
     met = met.select(*site, start.alias("_start"), "_slots")
     near = F.filter("_slots", lambda x: x["slot_off"].between(F.col("_start") - 7, F.col("_start") + F.col("width") - 1))

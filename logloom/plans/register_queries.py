@@ -151,8 +151,8 @@ def _slot_lines(spark, d):
 def spilled_slots(spark, d):
     """Slots by how they are written: types, a spilled number, pointer or object, or both; and attributes behind deep brackets."""
     found = states.states(_slot_lines(spark, d))
-    rows = kept(found.select(F.inline(S.slots(F.col("tokens"))), S.text_of(F.col("tokens"), F.lit(3)).alias("r3")).select("slot_off", "slot_types", "value", F.col("r3.value").alias("r3"), F.col("r3.narrow").alias("narrow")))
-    rows = states.with_states(rows, {"value": None, "r3": "narrow"})
+    rows = kept(found.select(S.slots(F.col("tokens")).alias("slots"), S.text_of(F.col("tokens"), F.lit(3)).alias("r3")))  # else a line is read anew for each slot
+    rows = states.with_states(rows.select(F.inline("slots"), F.col("r3.value").alias("r3"), F.col("r3.narrow").alias("narrow")), {"value": None, "r3": "narrow"})
     rows = rows.select(F.col("slot_off").cast("long").alias("slot_off"), "slot_types", *(F.col(f"value_state.{n}").alias(n) for n in ("reg_type", "exact", "off")), F.col("r3_state.id").alias("id"))
     return rows.groupBy("slot_off", "slot_types", "reg_type").agg(F.count("*").alias("n"), F.sum("exact").cast("long").alias("sum_exact"), F.sum("off").cast("long").alias("sum_off"), F.sum("id").alias("sum_ids"))
 
